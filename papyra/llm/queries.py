@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe
-from .common import table
+from . import byte_bpe, language, mixing, quality, simhash, substring_dedup
+from .common import fold, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -19,5 +20,109 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_byte_bpe": op1_byte_bpe}
-ORACLES: dict[str, str] = {}
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of each document; the model has seen no held-out row."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (fold() == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy that the mix draws, in its shuffled order, with the digest of the text that went along."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", F.col("copy").cast("int").alias("copy"), "shuffle_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document without its repeated units, and the spans removed as ``start-end`` in the original text."""
+    found = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.array_join(F.transform("removed", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",")
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + (r["end"] - r["start"]).cast("long"))
+    return found.select("doc_id", "text", spans.alias("removed_spans"), gone.alias("removed_chars"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of each document; the model has seen no held-out row."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs)
+    predicted = language.predict(docs.select("doc_id", "text"), model)
+    return predicted.select("doc_id", (fold() == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of each document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op2_quality": op2_quality,
+    "op5_mix": op5_mix,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_language": op8_language,
+    "op10_simhash": op10_simhash,
+}
+
+ORACLES: dict[str, str] = {
+    "op5_mix": """
+WITH sized AS (SELECT source, count(*) AS n_docs, sqrt(count(*)::DOUBLE) AS weight FROM documents GROUP BY source),
+total AS (SELECT sum(weight) AS w, sum(n_docs)::DOUBLE AS n FROM sized),
+rated AS (SELECT source, n / w * weight / n_docs AS rate FROM sized, total),
+pmf AS (
+  SELECT source, rate, k, exp(k * ln(rate) - rate - lgamma(k + 1.0)) AS p
+  FROM rated, LATERAL (SELECT unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::BIGINT + 1)) AS k)
+),
+cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM pmf),
+digests AS (SELECT doc_id, source, md5(coalesce(text, '')) AS d FROM documents),
+drawn AS (
+  SELECT doc_id, source, d, (('0x' || substr(md5('17|' || doc_id || '|' || d), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496 AS u
+  FROM digests
+),
+counted AS (
+  SELECT doc_id, drawn.source, d, count(*) FILTER (WHERE c <= u) AS n
+  FROM drawn JOIN cdf ON drawn.source IS NOT DISTINCT FROM cdf.source GROUP BY doc_id, drawn.source, d
+),
+copies AS (SELECT doc_id, source, d, unnest(range(1, n + 1))::INTEGER AS copy FROM counted)
+SELECT doc_id, source, copy, md5('17-order|' || doc_id || '|' || d || '|' || copy) AS shuffle_key, d AS text_md5 FROM copies
+""",
+    "op7_substring_dedup": r"""
+WITH tiles AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?]+|[^.!?\n]+|\n') AS units FROM documents
+),
+listed AS (SELECT doc_id, unnest(units) AS unit, unnest(range(0, len(units))) AS no FROM tiles),
+plain AS (SELECT *, trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS norm FROM listed),
+counted AS (SELECT *, CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END AS words FROM plain),
+marked AS (
+  SELECT *, words > 0 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, no) > 1 AS rep,
+    sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY no) AS stop,
+    count(*) FILTER (WHERE unit = chr(10)) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS line
+  FROM counted
+),
+runs AS (
+  SELECT *, count(*) FILTER (WHERE words > 0 AND NOT rep) OVER (PARTITION BY doc_id ORDER BY no) AS run FROM marked
+),
+spread AS (
+  SELECT *, min(no) FILTER (WHERE rep) OVER w AS first_rep, max(no) FILTER (WHERE rep) OVER w AS last_rep, sum(words) FILTER (WHERE rep) OVER w AS run_words
+  FROM runs WINDOW w AS (PARTITION BY doc_id, run)
+),
+in_runs AS (SELECT *, coalesce(run_words >= 8 AND no BETWEEN first_rep AND last_rep AND (rep OR words = 0), false) AS cut_run FROM spread),
+by_line AS (
+  SELECT *, sum(words) OVER l AS line_words, bool_and(rep OR words = 0) OVER l AS all_rep, bool_and(cut_run OR words = 0) OVER l AS all_cut
+  FROM in_runs WINDOW l AS (PARTITION BY doc_id, line)
+),
+cuts AS (SELECT *, cut_run OR (line_words > 0 AND (all_cut OR (all_rep AND line_words >= 5))) AS cut FROM by_line),
+islands AS (SELECT *, count(*) FILTER (WHERE NOT cut) OVER (PARTITION BY doc_id ORDER BY no) AS island FROM cuts),
+spans AS (
+  SELECT doc_id, island, min(stop - length(unit)) AS a, max(stop) AS b FROM islands WHERE cut GROUP BY doc_id, island
+),
+joined AS (
+  SELECT doc_id, string_agg(a::BIGINT || '-' || b::BIGINT, ',' ORDER BY a) AS removed_spans, sum(b - a)::BIGINT AS removed_chars FROM spans GROUP BY doc_id
+),
+kept AS (SELECT doc_id, string_agg(unit, '' ORDER BY no) FILTER (WHERE NOT cut) AS text FROM cuts GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text,
+  coalesce(removed_spans, '') AS removed_spans, coalesce(removed_chars, 0) AS removed_chars
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN joined USING (doc_id)
+""",
+}
