@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, mixing, quality, simhash, substring_dedup
-from .common import fold, table
+from . import byte_bpe, cover_tree, cross_polytope, language, lm_scoring, mixing, quality, sharding, simhash, substring_dedup
+from .common import fold, shared_dir, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -28,12 +29,33 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold() == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best integer inner products of every 50th vector with all others."""
+    return cover_tree.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of each document between models of the benchmark passages and of all documents."""
+    scored = lm_scoring.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return scored.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy that the mix draws, in its shuffled order, with the digest of the text that went along."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", F.col("copy").cast("int").alias("copy"), "shuffle_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
 
 
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight arrivals, each appended as shards and compacted; read back by the last manifest."""
+    store = sharding.ShardedTable(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    arrival = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(8)).cast("int")
+    store.append_each(table(spark, sf_dir, "documents").withColumn("arrival", arrival), "arrival")
+    version, _ = store.manifest()
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return store.read().select("doc_id", "lang", "source", "n_chars", digest.alias("text_sha256"), "shard", F.lit(version).alias("version"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document without its repeated units, and the spans removed as ``start-end`` in the original text."""
     found = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -50,6 +72,11 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", (fold() == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest found for every 20th vector."""
+    return cross_polytope.approximate(table(spark, sf_dir, "embeddings"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of each document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -59,13 +86,61 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality": op2_quality,
+    "op3_cover_tree": op3_cover_tree,
+    "op4_lm_score": op4_lm_score,
     "op5_mix": op5_mix,
+    "op6_shards": op6_shards,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_language": op8_language,
+    "op9_cross_polytope": op9_cross_polytope,
     "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_cover_tree": """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+pairs AS (
+  SELECT q.vec_id AS query_id, r.vec_id AS vec_id, list_inner_product(q.v, r.v)::BIGINT AS score
+  FROM whole q JOIN whole r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id
+),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM pairs)
+SELECT * FROM ranked WHERE rank <= 5
+""",
+    "op4_lm_score": r"""
+WITH texts AS (
+  SELECT 'b' AS side, doc_id AS id, lower(text) AS t FROM documents UNION ALL SELECT 't', item_id, lower(text) FROM benchmark
+),
+lists AS (SELECT side, id, list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '') AS ws FROM texts WHERE t IS NOT NULL),
+listed AS (SELECT side, id, unnest(ws) AS w, unnest(range(0, len(ws))) AS no FROM lists),
+vocab AS (
+  SELECT w, (row_number() OVER (ORDER BY n DESC, w)) - 1 AS c FROM (SELECT w, count(*) AS n FROM listed WHERE side = 'b' GROUP BY w)
+  QUALIFY row_number() OVER (ORDER BY n DESC, w) <= 2048
+),
+size AS (SELECT count(*) AS s FROM vocab),
+coded AS (SELECT side, id, no, coalesce(c, s) AS c FROM listed LEFT JOIN vocab USING (w), size),
+pairs AS (SELECT side, id, coalesce(lag(c) OVER (PARTITION BY side, id ORDER BY no), s + 1) AS a, c AS b FROM coded, size),
+bi AS (SELECT side, a, b, count(*)::DOUBLE AS n FROM pairs GROUP BY ALL),
+uni AS (SELECT side, b, sum(n) AS n FROM bi GROUP BY ALL),
+hist AS (SELECT side, a, sum(n) AS n FROM bi GROUP BY ALL),
+total AS (SELECT side, sum(n) AS n FROM bi GROUP BY side),
+asked AS (SELECT m.side, p.a, p.b FROM (SELECT DISTINCT a, b FROM pairs WHERE side = 'b') p, (SELECT unnest(['b', 't']) AS side) m),
+loss AS (
+  SELECT k.side, k.a, k.b, -ln((coalesce(bi.n, 0) + 100.0::DOUBLE * (coalesce(uni.n, 0) + 1) / (total.n + s + 1)) / (coalesce(hist.n, 0) + 100.0::DOUBLE)) AS l
+  FROM asked k CROSS JOIN size JOIN total ON total.side = k.side
+  LEFT JOIN bi ON bi.side = k.side AND bi.a = k.a AND bi.b = k.b
+  LEFT JOIN uni ON uni.side = k.side AND uni.b = k.b
+  LEFT JOIN hist ON hist.side = k.side AND hist.a = k.a
+),
+scored AS (
+  SELECT p.id, count(*) FILTER (WHERE loss.side = 't') AS n, avg(l) FILTER (WHERE loss.side = 't') AS t, avg(l) FILTER (WHERE loss.side = 'b') AS b
+  FROM pairs p JOIN loss ON loss.a = p.a AND loss.b = p.b WHERE p.side = 'b' GROUP BY p.id
+)
+SELECT doc_id, coalesce(n, 0) AS n_tokens, round(t, 6) AS target_loss, round(b, 6) AS background_loss, round(t - b, 6) AS score
+FROM documents LEFT JOIN scored ON scored.id = doc_id
+""",
     "op5_mix": """
 WITH sized AS (SELECT source, count(*) AS n_docs, sqrt(count(*)::DOUBLE) AS weight FROM documents GROUP BY source),
 total AS (SELECT sum(weight) AS w, sum(n_docs)::DOUBLE AS n FROM sized),
