@@ -1,4 +1,4 @@
-"""Name -> (query, SQL): what ``__spark_entry__`` offers."""
+"""Name -> (query, SQL): what ``__spark_entry__`` offers.  Query modules register themselves here."""
 
 from __future__ import annotations
 
@@ -10,3 +10,20 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its own name, with the SQL that gives the same rows."""
+
+    def add(made: Query) -> Query:
+        QUERIES[made.__name__] = made
+        if oracle is not None:
+            ORACLES[made.__name__] = oracle
+        return made
+
+    return add
+
+
+def load() -> None:
+    """Import every module of queries."""
+    from papyra.plans import evaluation, retrieval, service, structure, text  # noqa: F401

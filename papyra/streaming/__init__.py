@@ -1 +1 @@
-
+"""Structured Streaming over status events."""
