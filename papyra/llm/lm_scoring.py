@@ -18,9 +18,11 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,9 +80,12 @@ def bigrams(docs: DataFrame, vocab: list[str], *, text: str = "text") -> np.ndar
                     held.update(dict(zip(pair.tolist(), n.tolist(), strict=True)))
         yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array(held.values(), pa.int64())], names=["pair", "n"])
 
-    rows = _texts(docs, text).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(width * width, np.int64)
-    out[rows["pair"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    # Arrow batches, not rows, come to the driver: at most 16 bytes for each pair of classes
+    rows = _texts(docs, text).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    most = pc.max(rows.column("n")).as_py() or 0
+    out = np.zeros(width * width, np.int32 if most < 1 << 31 else np.int64)
+    for batch in rows.to_batches():
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     return out.reshape(width, width)
 
 
@@ -97,33 +102,39 @@ def classes(text: str | None, index: dict[str, int]) -> np.ndarray:
     return out
 
 
-def losses(counts: np.ndarray, prior: float = PRIOR) -> np.ndarray:
-    """-log P(word | history) for every pair of classes; the start mark is never a word."""
-    width = len(counts)
-    single = counts.sum(axis=0)
-    share = (single + 1) / (single.sum() + width - 1)
-    return -np.log((counts + prior * share[None]) / (counts.sum(axis=1)[:, None] + prior))
+@dataclass
+class Model:
+    """Bigram counts, smoothed as they are asked for; the start mark is never a word."""
+
+    counts: np.ndarray
+    prior: float = PRIOR
+
+    def __post_init__(self) -> None:
+        single = self.counts.sum(axis=0, dtype=np.float64)
+        self.share = (single + 1) / (single.sum() + len(self.counts) - 1)
+        self.history = self.counts.sum(axis=1, dtype=np.float64)
+
+    def losses(self, classes_: np.ndarray) -> np.ndarray:
+        """-log P(word | history) for each word of a class sequence, but for the start mark."""
+        a, b = classes_[:-1], classes_[1:]
+        return -np.log((self.counts[a, b] + self.prior * self.share[b]) / (self.history[a] + self.prior))
 
 
 def score(docs: DataFrame, target: DataFrame, *, size: int = SIZE, prior: float = PRIOR, doc_id: str = "doc_id", text: str = "text", target_text: str = "text") -> DataFrame:
     """``doc_id, n_tokens, target_loss, background_loss, score`` for each of docs, which are the background as well."""
     vocab = vocabulary(docs, size, text=text)
-    background = losses(bigrams(docs, vocab, text=text), prior)
-    wanted = losses(bigrams(target, vocab, text=target_text), prior)
-    width = len(vocab) + 2
+    models = Model(bigrams(target, vocab, text=target_text), prior), Model(bigrams(docs, vocab, text=text), prior)
     schema = T.StructType([docs.schema[doc_id], *(T.StructField(n, t()) for n, t in (("n_tokens", T.LongType), ("target_loss", T.DoubleType), ("background_loss", T.DoubleType), ("score", T.DoubleType)))])
     schema.fields[0] = T.StructField("doc_id", docs.schema[doc_id].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {w: i for i, w in enumerate(vocab)}
-        tables = wanted.ravel(), background.ravel()
         for batch in batches:
             for part in text_slices(batch, "t"):
                 rows = []
                 for t in part.column("t").to_pylist():
                     code = classes(t, index)
-                    pair = code[:-1] * width + code[1:]
-                    rows.append((len(pair), *(float(table[pair].mean()) if len(pair) else None for table in tables)))
+                    rows.append((max(0, len(code) - 1), *(float(m.losses(code).mean()) if len(code) else None for m in models)))
                 n, a, b = zip(*rows, strict=True)
                 gap = [None if x is None else x - y for x, y in zip(a, b, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in (a, b, gap))], names=schema.names)
