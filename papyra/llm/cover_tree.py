@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .search import search, vectors
 
-LEAF, GROUP, CENTRES = 24, 256, 256
+LEAF, GROUP, CENTRES, SEEDS = 24, 256, 256, 512
 
 
 @dataclass
@@ -28,6 +28,7 @@ class CoverTree:
     """Nodes over the rows of ``x``: centre, radius, and children or else points."""
 
     x: np.ndarray
+    leaf: int = LEAF
     centre: list[int] = field(default_factory=list)
     radius: list[float] = field(default_factory=list)
     children: list[np.ndarray | None] = field(default_factory=list)
@@ -50,7 +51,7 @@ class CoverTree:
         self.radius.append(radius)
         self.children.append(None)
         self.points.append(own)
-        if len(own) > LEAF and radius > 0:
+        if len(own) > self.leaf and radius > 0:
             centres, nearest, near = self._cover(centre, own, radius / 2)
             order = np.argsort(nearest, kind="stable")
             cuts = np.cumsum(np.bincount(nearest, minlength=len(centres)))[:-1]
@@ -93,21 +94,39 @@ class DualSearch:
     """The k best rows of ``rows`` for each query; the row at ``skip`` (its own, or -1) takes no part."""
 
     def __init__(self, queries: np.ndarray, rows: np.ndarray, k: int, skip: np.ndarray) -> None:
-        self.q, self.r, self.k, self.skip = CoverTree(queries), CoverTree(rows), k, skip
+        self.q, self.r, self.k, self.skip = CoverTree(queries, leaf=2), CoverTree(rows), k, skip
         #: keys are score * n - row number, so that the larger key is the better row
         self.n = len(rows) + 1
         self.best = np.full((len(queries), k), np.iinfo(np.int64).min, np.int64)
+        self.floor = np.full(len(queries), -np.inf)
         self.tried = 0
 
     def run(self) -> np.ndarray:
         """Keys, best first."""
         if len(self.q.x) and len(self.r.x):
+            self._seed()
             self._visit(np.zeros(1, np.int64), np.zeros(1, np.int64))
         return -np.sort(-self.best, axis=1)
 
+    def _seed(self) -> None:
+        """A floor for each query's k-th score: that among the centres of the topmost row nodes, which are rows."""
+        top, at = [0], 0
+        while at < len(top) and len(top) < SEEDS:
+            children = self.r.children[top[at]]
+            top += [] if children is None else children.tolist()
+            at += 1
+        rows = np.unique(self.r.centre_at[top])
+        if len(rows) <= self.k:
+            return
+        for start in range(0, len(self.q.x), 1024):
+            own = slice(start, start + 1024)
+            score = self.q.x[own] @ self.r.x[rows].T
+            score[rows[None] == self.skip[own][:, None]] = -np.inf
+            self.floor[own] = np.partition(score, len(rows) - self.k, axis=1)[:, -self.k]
+
     def _worst(self, queries: np.ndarray) -> np.ndarray:
         low = self.best[queries].min(axis=1)
-        return np.where(low == np.iinfo(np.int64).min, -np.inf, np.ceil(low / self.n))
+        return np.maximum(self.floor[queries], np.where(low == np.iinfo(np.int64).min, -np.inf, np.ceil(low / self.n)))
 
     def _bounds(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Largest inner product that the node pairs can have, by query node and row node."""
@@ -131,7 +150,19 @@ class DualSearch:
             for y in self._packs(self.q.children[x]):
                 self._visit(y, b)
         if small:
-            self._scan(np.array(small), b[np.argsort(-bound, kind="stable")])
+            fine = np.concatenate([self._leaves(x) for x in small])
+            self._scan(fine, b)
+
+    def _leaves(self, node: int) -> np.ndarray:
+        """The query nodes below a node that have no children."""
+        open_, out = [node], []
+        while open_:
+            x = open_.pop()
+            if self.q.children[x] is None:
+                out.append(x)
+            else:
+                open_ += self.q.children[x].tolist()
+        return np.array(out, np.int64)
 
     def _packs(self, nodes: np.ndarray) -> list[np.ndarray]:
         """Sibling query nodes in packs of about GROUP queries; a larger node is a pack of its own."""
@@ -146,14 +177,31 @@ class DualSearch:
         return [*packs, np.array(now)] if now else packs
 
     def _scan(self, a: np.ndarray, b: np.ndarray) -> None:
-        """All queries below nodes a against row nodes b, the most promising first."""
+        """All queries of nodes a against row nodes b, the most promising first.
+
+        The nodes share matrix products while they need about the same rows; if most of the shared work would be
+        for pairs that bounds exclude, each goes on alone.
+        """
         queries = np.concatenate([self.q.points[x] for x in a])
-        owner = np.repeat(np.arange(len(a)), [len(self.q.points[x]) for x in a])
+        size = np.array([len(self.q.points[x]) for x in a])
+        owner = np.repeat(np.arange(len(a)), size)
         while len(b):
-            now, b = b[:512], b[512:]
             worst = np.full(len(a), np.inf)
             np.minimum.at(worst, owner, self._worst(queries))
-            now = now[(self._bounds(a, now) >= worst[:, None]).any(axis=0)]
+            bound = self._bounds(a, b)
+            open_ = bound >= worst[:, None]
+            some = open_.any(axis=0)
+            b, open_, bound = b[some], open_[:, some], bound[:, some]
+            if not len(b):
+                return
+            if len(a) > 1:
+                held = np.array([len(self.r.points[x]) for x in b])
+                if 2 * (size[:, None] * open_ * held[None]).sum() < size.sum() * held.sum():
+                    for i in range(len(a)):
+                        self._scan(a[i : i + 1], b[open_[i]])
+                    return
+            b = b[np.argsort(-bound.max(axis=0), kind="stable")]
+            now, b = b[:512], b[512:]
             leaves = [x for x in now.tolist() if self.r.children[x] is None]
             inner = [self.r.children[x] for x in now.tolist() if self.r.children[x] is not None]
             if leaves:

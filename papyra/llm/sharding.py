@@ -8,8 +8,8 @@ Shards of runs that the last version no longer lists are deleted afterwards.
 
 All files are in a folder that the cluster shares, reached through Spark and Hadoop's file systems only.  Shards are
 written by ordinary Spark jobs into a folder of their own and aren't listed before the job has committed, so a lost
-executor or driver leaves at most files that no manifest names.  Merging reads whole splits and writes them on
-without a shuffle; only manifests (a line per shard) come to the driver.
+executor or driver leaves at most files that no manifest names.  Merging deals rows round to as many shards as the
+target size asks for (one exchange of the rows merged); only manifests (a line per shard) come to the driver.
 
 Defined results: every row of every arrival stays exactly once, with all columns, nulls and repeats; an empty
 arrival is a run without rows; appending after a failed append or merge is safe.
@@ -143,7 +143,7 @@ class ShardedTable:
         paths = [p for r in runs for p, _ in r.shards]
         if paths:
             shards = max(1, round(sum(r.bytes for r in runs) / self.target_bytes))
-            self.spark.read.parquet(*paths).coalesce(shards).write.parquet(f"{self.root}/runs/{name}")
+            self.spark.read.parquet(*paths).repartition(shards).write.parquet(f"{self.root}/runs/{name}")
         return self._written(name)
 
     def read(self) -> DataFrame:
