@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -127,37 +128,55 @@ def quality(text: Column) -> Column:
 
     The text is taken as it is; compose with :func:`papyra.functions.unicode.nfkc` for compatibility forms.
     """
-    compact = F.regexp_replace(text, SPACE, "")
-    n = F.length(compact)
-    share = lambda pattern: count_of(compact, pattern).cast("double") / n
-    garbage = share("[\\uFFFD\\p{Cc}\\p{Co}\\p{Cs}\\p{Cn}]")
-    letters = share("[\\p{L}\\p{N}]")
-    shapes = share("[\\uFB50-\\uFDFF\\uFE70-\\uFEFF]")
-    parts = words(text)
-    lone = F.size(F.filter(parts, lambda w: (F.length(w) == 1) & w.rlike("^\\p{L}$") & ~w.rlike("^[وأإاAaIi]$")))
-    singles = F.when(F.size(parts) >= 10, lone.cast("double") / F.size(parts)).otherwise(F.lit(0.0))
-    arabic = F.transform(F.regexp_extract_all(text, F.lit("([\\u0600-\\u06FF]+)")), lambda w: F.translate(F.regexp_replace(w, f"[{fixed.TASHKEEL}]", ""), fixed.ALEF_FORMS + "ى", "ااااي"))
+    return let(F.struct(F.regexp_replace(text, SPACE, "").alias("compact"), words(text).alias("words"), text.alias("text")), lambda t: let(_measures(t), _judged))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _measures(t: Column) -> Column:
+    """Ratios and counts that the quality test weighs; t has compact, words and text."""
+    n = F.length(t["compact"])
+    kept = lambda other: F.length(F.regexp_replace(t["compact"], other, "")).cast("double")
+    single = F.filter(F.filter(t["words"], lambda w: F.length(w) == 1), lambda w: w.rlike("^\\p{L}$") & ~w.isin(*"وأإاAaIi"))
+    arabic = F.when(
+        t["text"].rlike("[\\u0600-\\u06FF]"),
+        F.transform(F.regexp_extract_all(t["text"], F.lit("([\\u0600-\\u06FF]+)")), lambda w: F.translate(F.regexp_replace(w, f"[{fixed.TASHKEEL}]", ""), fixed.ALEF_FORMS + "ى", "ااااي")),
+    ).otherwise(F.array().cast("array<string>"))
     hits = lambda listed: F.size(F.filter(arabic, lambda w: w.isin(*listed)))
-    normal, turned = hits(fixed.STOP_WORDS), hits([w[::-1] for w in fixed.STOP_WORDS])
-    backwards = (turned >= 3) & (turned > normal)
-    few = (n >= 30) & (letters < 0.55)
-    legacy = (shapes > 0.3) & backwards
+    return F.struct(
+        n.alias("n"),
+        ((n - kept("[\\uFFFD\\p{Cc}\\p{Co}\\p{Cs}\\p{Cn}]+")) / n).alias("garbage"),
+        (kept("[^\\p{L}\\p{N}]+") / n).alias("letters"),
+        ((n - kept("[\\uFB50-\\uFDFF\\uFE70-\\uFEFF]+")) / n).alias("shapes"),
+        F.when(F.size(t["words"]) >= 10, F.size(single).cast("double") / F.size(t["words"])).otherwise(F.lit(0.0)).alias("singles"),
+        hits(fixed.STOP_WORDS).alias("normal"),
+        hits([w[::-1] for w in fixed.STOP_WORDS]).alias("turned"),
+    )
+
+
+def _judged(m: Column) -> Column:
+    backwards = (m["turned"] >= 3) & (m["turned"] > m["normal"])
+    few = (m["n"] >= 30) & (m["letters"] < 0.55)
+    legacy = (m["shapes"] > 0.3) & backwards
     less = [
-        F.least(F.lit(0.6), garbage * 6),
-        F.when(backwards, 0.5).otherwise(0.0),
-        F.when(singles > 0.10, F.least(F.lit(0.4), (singles - 0.10) * 1.5)).otherwise(0.0),
+        F.least(F.lit(0.6), m["garbage"] * 6),
+        F.when(m["singles"] > 0.10, F.least(F.lit(0.4), (m["singles"] - 0.10) * 1.5)).otherwise(0.0),
         F.when(few, 0.3).otherwise(0.0),
+        F.when(backwards, 0.5).otherwise(0.0),
         F.when(legacy, 0.45).otherwise(0.0),
     ]
-    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - reduce(lambda a, b: a + b, less))), 3)
+    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), reduce(lambda a, b: a - b, less, F.lit(1.0)))), 3)
     named = F.array(
-        F.when(garbage > 0.02, "GARBAGE_CHARS"),
+        F.when(m["garbage"] > 0.02, "GARBAGE_CHARS"),
         F.when(backwards, "REVERSED_ARABIC"),
-        F.when(singles > 0.25, "FRAGMENTED_TOKENS"),
+        F.when(m["singles"] > 0.25, "FRAGMENTED_TOKENS"),
         F.when(few, "LOW_LETTER_RATIO"),
         F.when(legacy, "LEGACY_ARABIC_ENCODING"),
     )
-    empty = F.coalesce(n, F.lit(0)) == 0
+    empty = F.coalesce(m["n"], F.lit(0)) == 0
     return F.struct(
         F.when(empty, 0.0).otherwise(score).alias("score"),
         F.when(empty, F.array(F.lit("EMPTY"))).otherwise(F.filter(named, lambda f: f.isNotNull())).alias("flags"),

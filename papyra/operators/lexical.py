@@ -14,7 +14,10 @@ from pyspark.sql.window import Window
 
 from papyra import fixed
 from papyra.functions import text as T
-from papyra.operators.sizes import is_small
+from papyra.operators.sizes import held, is_small
+
+#: Stands for a whole text among its terms; no token looks like it.
+MARK = "\u0001"
 
 
 def tokenised(corpus: DataFrame, id_column: str, text: Column, *, empty: str | None = None) -> DataFrame:
@@ -52,21 +55,22 @@ def bm25(
 ) -> DataFrame:
     """``query_id, id, score`` of every pair with a term in common; an empty corpus gives no rows."""
     docs = tokenised(corpus, corpus_id, F.col("text") if corpus_text is None else corpus_text, empty=empty)
-    stats = statistics(docs).first()
-    n, mean = float(stats["n_docs"]), float(stats["mean_length"] or 1.0)
     asked = query_terms(queries, query_id, F.col("text") if query_text is None else query_text)
-    narrow = is_small(asked)  # bounds the vocabulary and the weighted terms as well
-    hint = F.broadcast if narrow else lambda df: df
-    vocabulary = hint(asked.select("term").distinct())
-    # grouping by document comes first: the later sums over (query, document) keep that partitioning
-    found = (
-        docs.select("id", F.size("terms").cast("double").alias("length"), F.explode("terms").alias("term"))
-        .join(vocabulary, "term", "left_semi")
+    # few queries bound their vocabulary and the weighted terms as well
+    hint = F.broadcast if is_small(asked) else lambda df: df
+    # each text keeps the query terms that it has, and one mark, so that the whole corpus is counted in the same pass;
+    # dealing by document comes first, and the later sums over (query, document) keep that partitioning
+    mark = F.array(F.lit(MARK))
+    found = held(
+        docs.select("id", F.size("terms").cast("double").alias("length"), F.explode(F.concat(mark, "terms")).alias("term"))
+        .join(hint(asked.select("term").distinct().unionByName(asked.sparkSession.createDataFrame([(MARK,)], "term string"))), "term", "left_semi")
         .repartition("id")
         .groupBy("id", "term")
         .agg(F.count("*").cast("double").alias("f"), F.first("length").alias("length"))
     )
-    frequency = found.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    counted = found.where(F.col("term") == MARK).agg(F.sum("f").alias("n"), (F.sum(F.col("f") * F.col("length")) / F.sum("f")).alias("mean")).first()
+    n, mean = float(counted["n"] or 0.0), float(counted["mean"] or 1.0)
+    frequency = found.where(F.col("term") != MARK).groupBy("term").agg(F.count("*").cast("double").alias("df"))
     idf = F.ln(F.lit(1.0) + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = hint(hint(asked).join(frequency, "term").select("query_id", "term", idf.alias("idf")))
     gain = F.col("idf") * F.col("f") * (k1 + 1.0) / (F.col("f") + k1 * (1.0 - b + b * F.col("length") / mean))

@@ -1,7 +1,9 @@
-"""Joins that broadcast one side only if it is seen to be small."""
+"""Plans that depend on sizes: broadcasts of what is seen to be small, spreading of few files, reuse within a query."""
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,3 +19,28 @@ def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """df with a broadcast hint while it has at most ``rows`` rows; beyond that Spark chooses the join."""
     return F.broadcast(df) if is_small(df, rows) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if it comes from fewer files than there are cores; else as it is.
+
+    A file written as one row group is one task however large; with many files there is nothing to gain, and the
+    rows stay where they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
+_held: deque[DataFrame] = deque()
+
+
+def held(df: DataFrame, most: int = 12) -> DataFrame:
+    """df kept for the several uses that one query makes of it; the oldest of more than ``most`` are let go.
+
+    Only storage: what is let go or lost with an executor is computed again.
+    """
+    kept = df.persist()
+    _held.append(kept)
+    while len(_held) > most:
+        _held.popleft().unpersist()
+    return kept

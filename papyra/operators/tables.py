@@ -33,13 +33,25 @@ def is_layout_grid(n_cols: Column, fill: Column) -> Column:
 
 
 def compact_rows(rows: Column) -> Column:
-    """Rows without empty ones; empty cells go if 60 % of the rows then have one width; null if nothing is left."""
-    some = F.filter(F.transform(rows, lambda r: F.transform(r, lambda c: F.trim(F.coalesce(c, F.lit(""))))), lambda r: F.exists(r, lambda c: c != ""))
-    dense = F.transform(some, lambda r: F.filter(r, lambda c: c != ""))
-    widths = F.transform(dense, F.size)
-    commonest = F.array_max(F.transform(widths, lambda w: F.size(F.filter(widths, lambda x: x == w))))
-    ragged = F.size(F.array_distinct(F.transform(some, F.size))) > 1
-    return F.when(F.size(some) == 0, None).when(ragged & (commonest >= 0.6 * F.size(some)), dense).otherwise(some)
+    """A table's rows, or null if they are none: fewer than two rows or columns with anything in them, or a page's layout.
+
+    Empty rows and columns go; if 60 % of the rows of two or more filled cells have as many of them, so do empty cells.
+    """
+    filled = lambda c: c != ""
+    trimmed = F.transform(rows, lambda r: F.transform(r, lambda c: F.trim(F.coalesce(c, F.lit("")))))
+    some = F.filter(trimmed, lambda r: F.exists(r, filled))
+    width = F.coalesce(F.array_max(F.transform(some, F.size)), F.lit(0))
+    cell = lambda r, j: F.coalesce(F.try_element_at(r, j), F.lit(""))
+    columns = F.filter(F.sequence(F.lit(1), F.greatest(width, F.lit(1))), lambda j: F.exists(some, lambda r: cell(r, j) != ""))
+    whole = F.transform(some, lambda r: F.transform(columns, lambda j: cell(r, j)))
+    dense = F.transform(whole, lambda r: F.filter(r, filled))
+    wide = F.filter(F.transform(dense, F.size), lambda n: n >= 2)
+    commonest = F.coalesce(F.array_max(F.transform(wide, lambda n: F.size(F.filter(wide, lambda m: m == n)))), F.lit(0))
+    chosen = F.when((commonest > 0) & (commonest >= 0.6 * F.size(wide)), dense).otherwise(whole)
+    n_cols = F.coalesce(F.array_max(F.transform(chosen, F.size)), F.lit(0))
+    held = F.aggregate(chosen, F.lit(0), lambda n, r: n + F.size(F.filter(r, filled)))
+    grid = is_layout_grid(n_cols, held / F.greatest(F.lit(1), F.size(chosen) * n_cols))
+    return F.when((F.size(some) < 2) | (F.size(columns) < 2) | grid, None).otherwise(chosen)
 
 
 def continued(tables: DataFrame, doc: str = "doc_id") -> DataFrame:

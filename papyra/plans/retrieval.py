@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from papyra import fixed
 from papyra.functions import text as T
 from papyra.operators import dense, fusion, lexical
+from papyra.operators.sizes import held
 from papyra.plans import sql as S
 from papyra.plans.catalog import query
-from papyra.sources.tables import table
+from papyra.sources.tables import documents, table
 
 #: The source that stands for the pinned section.
 PINNED = "src3"
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return documents(spark, sf_dir)
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,11 +138,12 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unit_lists(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Three searches of each passage, with units: its words, its nearest vectors, its titles."""
-    return {
+    lists = {
         "clause": with_source(spark, sf_dir, lexical.ranked(scored(spark, sf_dir), fixed.SEARCH_DEPTH)),
         "lexical": with_source(spark, sf_dir, dense.nearest(item_vectors(spark, sf_dir), vectors(spark, sf_dir), fixed.SEARCH_DEPTH)),
         "title": with_source(spark, sf_dir, lexical.ranked(titles_scored(spark, sf_dir), 5)),
     }
+    return {name: held(hits) for name, hits in lists.items()}
 
 
 UNIT_LISTS = f"""{BM25}, {S.ranked('clause_hits', 'scored', fixed.SEARCH_DEPTH)}, {KNN},

@@ -12,7 +12,7 @@ from papyra.operators import chunking, cleaning, segmentation, structure, tables
 from papyra.plans import sql as S
 from papyra.plans.catalog import query
 from papyra.plans.text import LINES, literal, values
-from papyra.sources.tables import table
+from papyra.sources.tables import documents, table
 
 
 @query(
@@ -31,7 +31,7 @@ SELECT doc_id, chunk::INTEGER AS chunk, min(line_no)::INTEGER AS first_line, max
 )
 def greedy_chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's lines packed into chunks of balanced size."""
-    return chunking.pack_lines(table(spark, sf_dir, "documents"))
+    return chunking.pack_lines(documents(spark, sf_dir))
 
 
 PIECES = "pieces AS (SELECT source, doc_id, n, least(300, n - k * 300) AS w, ceil(n / 300.0) AS parts FROM (SELECT source, doc_id, n, unnest(range(0, ceil(n / 300.0)::BIGINT)) AS k FROM (SELECT source, doc_id, len({words}) AS n FROM documents))),".format(
@@ -41,7 +41,7 @@ PIECES = "pieces AS (SELECT source, doc_id, n, least(300, n - k * 300) AS w, cei
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of 300 words as chunks: source is the document, each text a section."""
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "lang", T.word_count(F.col("text")).alias("n"))
+    docs = documents(spark, sf_dir).select("source", "doc_id", "lang", T.word_count(F.col("text")).alias("n"))
     cut = docs.where("n > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 300))))
     return cut.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("sec_no"), "lang", F.least(F.lit(300), F.col("n") - F.col("k") * 300).cast("int").alias("words"), F.ceil(F.col("n") / 300).alias("chunk_count"))
 
@@ -64,7 +64,7 @@ def prep_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The digest of a group is over its texts' digests in order of id: 32 characters a row, not the texts.
     """
-    docs = table(spark, sf_dir, "documents").select("source", "lang", "doc_id", F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("d"))
+    docs = documents(spark, sf_dir).select("source", "lang", "doc_id", F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("d"))
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "d"))), lambda s: s["d"]), "")
     grouped = docs.groupingSets([["source"], ["lang"], []], "source", "lang")
     return grouped.agg(F.count("*").alias("n"), F.max("chars").alias("chars_max"), F.md5(ordered.cast("binary")).alias("digest"))
@@ -78,7 +78,7 @@ SELECT doc_id, problem FROM (
 )
 def ingest_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What speaks against taking a record in, one row per record and problem."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    docs, labels = documents(spark, sf_dir), table(spark, sf_dir, "labels").select("doc_id", "quality")
     copies = docs.groupBy(F.md5(F.col("text").cast("binary")).alias("d")).agg(F.count("*").alias("copies")).where("copies > 1")
     told = docs.withColumn("d", F.md5(F.col("text").cast("binary"))).join(copies, "d", "left").join(labels, "doc_id", "left")
     found = F.array(
@@ -97,7 +97,7 @@ SELECT doc_id, concat_ws(' › ', source, CASE WHEN lang <> 'en' THEN 'lang: ' |
 )
 def breadcrumb_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breadcrumb, citation and chunk id of each document's first chunk."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", T.first_line(F.col("text")).alias("title"), F.ceil(T.word_count(F.col("text")) / 300).alias("n"))
+    docs = documents(spark, sf_dir).select("doc_id", "source", "lang", T.first_line(F.col("text")).alias("title"), F.ceil(T.word_count(F.col("text")) / 300).alias("n"))
     chapter = F.when(F.col("lang") != "en", chunking.labelled(F.lit("lang"), F.col("lang")))
     crumb = chunking.breadcrumb(F.col("source"), F.lit(None).cast("string"), chapter, F.col("title"))
     cited = chunking.citation(F.col("source"), F.col("title"), chunking.top_labels(F.array(F.concat(F.lit("("), F.col("lang"), F.lit(")")))), F.col("n"))
@@ -150,7 +150,7 @@ def clause_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All fields of the clauses of documents whose lines are the items."""
-    lines = cleaning.lines(table(spark, sf_dir, "documents"), "doc_id").where("trim(line) <> ''")
+    lines = cleaning.lines(documents(spark, sf_dir), "doc_id").where("trim(line) <> ''")
     items = lines.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("line_no").alias("item_no"), F.concat_ws("-", F.lit("l"), "line_no").alias("id"), F.lit("paragraph").alias("type"), F.col("line").alias("text"), F.lit(1).alias("page"))
     return segmentation.segment(items).select("doc_id", "clause_id", "section_type", "part", "parts", "word_count", "oversize", "char_count")
 
@@ -163,7 +163,7 @@ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY first_line))::IN
 )
 def pipe_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables made of neighbouring lines with pipes."""
-    return tables.pipe_tables(cleaning.lines(table(spark, sf_dir, "documents"), "doc_id"))
+    return tables.pipe_tables(cleaning.lines(documents(spark, sf_dir), "doc_id"))
 
 
 @query(
@@ -174,7 +174,7 @@ SELECT doc_id, table_no::INTEGER AS table_no, coalesce(last_cols = n_cols AND fi
 )
 def adjacent_table_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a table goes on with the one before."""
-    found = tables.pipe_tables(cleaning.lines(table(spark, sf_dir, "documents"), "doc_id"))
+    found = tables.pipe_tables(cleaning.lines(documents(spark, sf_dir), "doc_id"))
     return tables.continued(found).select("doc_id", "table_no", "continues")
 
 

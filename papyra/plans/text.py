@@ -12,7 +12,7 @@ from papyra.functions import text as T
 from papyra.operators import cleaning
 from papyra.plans import sql as S
 from papyra.plans.catalog import query
-from papyra.sources.tables import table
+from papyra.sources.tables import documents
 
 
 def literal(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
@@ -35,14 +35,14 @@ def values(rows: list[tuple], names: str) -> str:
 )
 def search_normalize_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of each normalised text, and its number of sentences."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return docs.select("doc_id", F.sha2(T.search_normalize(F.col("text")), 256).alias("digest"), F.size(T.sentences(F.col("text"))).alias("n_sentences"))
 
 
 @query(f"SELECT doc_id, len({S.tokens('text')})::INTEGER AS n_tokens, len(list_distinct({S.tokens('text')}))::INTEGER AS n_distinct FROM documents")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search tokens of each document, and how many differ."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    docs = documents(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("t"))
     return docs.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"))
 
 
@@ -52,7 +52,7 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_char_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, characters and first line of each document."""
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", T.word_count(text).alias("n_words"), T.char_count(text).alias("n_chars"), T.first_line(text).alias("first_line"))
+    return documents(spark, sf_dir).select("doc_id", T.word_count(text).alias("n_words"), T.char_count(text).alias("n_chars"), T.first_line(text).alias("first_line"))
 
 
 @query(
@@ -62,7 +62,7 @@ SELECT lang, count(*) AS n_docs, count(*) FILTER (WHERE a > l) AS right_to_left,
 def script_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters by script, and documents written right to left, by language."""
     text = F.col("text")
-    docs = table(spark, sf_dir, "documents").select("lang", T.is_right_to_left(text).alias("rtl"), T.count_of(text, "[A-Za-z]").alias("l"), T.count_of(text, "[À-ÿ]").alias("x"))
+    docs = documents(spark, sf_dir).select("lang", T.is_right_to_left(text).alias("rtl"), T.count_of(text, "[A-Za-z]").alias("l"), T.count_of(text, "[À-ÿ]").alias("x"))
     return docs.groupBy("lang").agg(F.count("*").alias("n_docs"), F.count_if("rtl").alias("right_to_left"), F.sum("l").alias("latin"), F.sum("x").alias("accented"))
 
 
@@ -78,14 +78,14 @@ FROM r"""
 )
 def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score and flags of each document's text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.quality(F.col("text")).alias("q"))
+    docs = documents(spark, sf_dir).select("doc_id", T.quality(F.col("text")).alias("q"))
     return docs.select("doc_id", F.col("q.score").alias("score"), F.array_join("q.flags", ",").alias("flags"))
 
 
 @query(f"SELECT word, count(*) AS n FROM (SELECT unnest({S.words('text')}) AS word FROM documents) GROUP BY word")
 def vocab_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word and how often it occurs."""
-    return cleaning.unigrams(table(spark, sf_dir, "documents"))
+    return cleaning.unigrams(documents(spark, sf_dir))
 
 
 @query(
@@ -95,7 +95,7 @@ SELECT p[1] AS first, p[2] AS second, count(*) AS n FROM p WHERE p[2] IS NOT NUL
 )
 def vocab_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of neighbouring words and how often it occurs."""
-    return cleaning.bigrams(table(spark, sf_dir, "documents"))
+    return cleaning.bigrams(documents(spark, sf_dir))
 
 
 LINES = "lines AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents)"
@@ -110,7 +110,7 @@ SELECT source, key, on_pages FROM heads JOIN n USING (source) WHERE pages >= 3 A
 )
 def repeated_line_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that recur on many pages (documents) of a file (source), by their key: running heads and feet."""
-    return cleaning.running_lines(cleaning.lines(table(spark, sf_dir, "documents"), "source", "doc_id"), "source", "doc_id", share=0.02)
+    return cleaning.running_lines(cleaning.lines(documents(spark, sf_dir), "source", "doc_id"), "source", "doc_id", share=0.02)
 
 
 @query(
@@ -119,7 +119,7 @@ SELECT doc_id, count(*) AS n_lines, max(CASE WHEN r = 1 THEN line_no END)::INTEG
 )
 def last_digit_line_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each page the number of its last line without letters but with digits: its page number, which is dropped."""
-    lines = cleaning.lines(table(spark, sf_dir, "documents"), "doc_id")
+    lines = cleaning.lines(documents(spark, sf_dir), "doc_id")
     found = cleaning.last_matching(lines, "doc_id", F.trim("line").rlike("^[^a-zA-Z]*[0-9]+[^a-zA-Z]*$"))
     return found.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.max(F.when(F.col("last"), F.col("line_no"))).alias("dropped"))
 
@@ -131,7 +131,7 @@ NOISE = """CASE WHEN regexp_matches(trim(line), '^(-?[0-9]{1,2}-?|\\(\\.\\.\\.\\
 @query(f"WITH {LINES} SELECT source, {NOISE} AS category, count(*) AS n FROM lines WHERE {NOISE} IS NOT NULL GROUP BY ALL")
 def noise_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each category of noise, by file."""
-    return cleaning.noise_counts(cleaning.lines(table(spark, sf_dir, "documents"), "source"), "source")
+    return cleaning.noise_counts(cleaning.lines(documents(spark, sf_dir), "source"), "source")
 
 
 PARAGRAPH_MARKS = [("أ) شروط الطرح",), ("(ب) نطاق",), ("(12) بند",), ("3- رقم",), ("4. رقم",), ("• نقطة",), ("أولا: تمهيد",), ("نص بلا علامة",), ("",), ("2030",)]
@@ -204,7 +204,7 @@ SELECT doc_id, paragraph::BIGINT AS paragraph, count(*) AS n_lines, min(line_no)
 )
 def paragraph_sessionize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines joined to paragraphs: a line that begins with a capital opens one."""
-    lines = cleaning.lines(table(spark, sf_dir, "documents"), "doc_id").where(F.trim("line") != "")
+    lines = cleaning.lines(documents(spark, sf_dir), "doc_id").where(F.trim("line") != "")
     opens = (F.col("line_no") == 1) | F.col("line").rlike("^[A-ZÀ-Þ]")
     grouped = cleaning.sessions(lines, "doc_id", "line_no", opens, name="paragraph")
     return grouped.groupBy("doc_id", "paragraph").agg(F.count("*").alias("n_lines"), F.min("line_no").alias("first_line"), F.sum(T.word_count(F.col("line"))).alias("n_words"))
@@ -217,7 +217,7 @@ SELECT doc_id, no::INTEGER AS no, len({S.words('sentence')})::INTEGER AS n_words
 )
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence, its words and digest."""
-    parts = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("p", "sentence"))
+    parts = documents(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("p", "sentence"))
     return parts.select("doc_id", (F.col("p") + 1).alias("no"), T.word_count(F.col("sentence")).alias("n_words"), F.md5(F.col("sentence").cast("binary")).alias("digest"))
 
 
@@ -228,7 +228,7 @@ SELECT doc_id, (k + 1)::INTEGER AS piece, md5(array_to_string(ws[k * 300 + 1 : (
 )
 def hard_word_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts cut into pieces of 300 words."""
-    pieces = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.cut_words(F.col("text"), fixed.MAX_WORDS)).alias("p", "piece"))
+    pieces = documents(spark, sf_dir).select("doc_id", F.posexplode(T.cut_words(F.col("text"), fixed.MAX_WORDS)).alias("p", "piece"))
     return pieces.select("doc_id", (F.col("p") + 1).alias("piece"), F.md5(F.col("piece").cast("binary")).alias("digest"))
 
 

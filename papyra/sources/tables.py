@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from papyra.operators.sizes import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """``<folder>/<name>.parquet``, wherever the folder is: only Spark's reader gets the path."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The table ``documents``, for work on whole texts: spread over all cores if it is only a few files."""
+    return spread(table(spark, folder, "documents"))
