@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyra.operators.sizes import spread
+
 #: Bytes of text that a Python worker unpacks at once (a longer text is a slice of its own).
 SLICE_BYTES = 2 << 20
 
@@ -19,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table ``documents``, spread over all cores if it is only a few files."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that no slice has more than ``max_bytes`` of text, unless a single text has."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

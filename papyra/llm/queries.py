@@ -10,20 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, cover_tree, cross_polytope, language, lm_scoring, mixing, quality, sharding, simhash, substring_dedup
-from .common import fold, shared_dir, table
+from .common import documents, fold, shared_dir, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded bytes, for each document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     return byte_bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, ids=False)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of each document; the model has seen no held-out row."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     scored = quality.score(docs, model)
     return scored.select("doc_id", (fold() == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
@@ -36,7 +36,7 @@ def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-entropy difference of each document between models of the benchmark passages and of all documents."""
-    scored = lm_scoring.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    scored = lm_scoring.score(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return scored.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
 
 
@@ -58,7 +58,7 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document without its repeated units, and the spans removed as ``start-end`` in the original text."""
-    found = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = substring_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
     spans = F.array_join(F.transform("removed", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",")
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + (r["end"] - r["start"]).cast("long"))
     return found.select("doc_id", "text", spans.alias("removed_spans"), gone.alias("removed_chars"))
@@ -66,7 +66,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of each document; the model has seen no held-out row."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     model = language.fit(docs)
     predicted = language.predict(docs.select("doc_id", "text"), model)
     return predicted.select("doc_id", (fold() == 1).alias("held_out"), "lang_pred", "score")
@@ -79,7 +79,7 @@ def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of each document."""
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
