@@ -138,7 +138,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def _measures(t: Column) -> Column:
     """Ratios and counts that the quality test weighs; t has compact, words and text."""
-    n = F.length(t["compact"])
+    length = F.length(t["compact"])
+    n = F.nullif(length, F.lit(0))  # ratios of an empty text are null
     kept = lambda other: F.length(F.regexp_replace(t["compact"], other, "")).cast("double")
     single = F.filter(F.filter(t["words"], lambda w: F.length(w) == 1), lambda w: w.rlike("^\\p{L}$") & ~w.isin(*"وأإاAaIi"))
     arabic = F.when(
@@ -147,11 +148,11 @@ def _measures(t: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
     hits = lambda listed: F.size(F.filter(arabic, lambda w: w.isin(*listed)))
     return F.struct(
-        n.alias("n"),
+        length.alias("n"),
         ((n - kept("[\\uFFFD\\p{Cc}\\p{Co}\\p{Cs}\\p{Cn}]+")) / n).alias("garbage"),
         (kept("[^\\p{L}\\p{N}]+") / n).alias("letters"),
         ((n - kept("[\\uFB50-\\uFDFF\\uFE70-\\uFEFF]+")) / n).alias("shapes"),
-        F.when(F.size(t["words"]) >= 10, F.size(single).cast("double") / F.size(t["words"])).otherwise(F.lit(0.0)).alias("singles"),
+        F.when(F.size(t["words"]) >= 10, F.try_divide(F.size(single).cast("double"), F.size(t["words"]))).otherwise(F.lit(0.0)).alias("singles"),
         hits(fixed.STOP_WORDS).alias("normal"),
         hits([w[::-1] for w in fixed.STOP_WORDS]).alias("turned"),
     )

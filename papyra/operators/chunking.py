@@ -167,7 +167,8 @@ def chunk_sections(paragraphs: DataFrame, *, most: int = fixed.MAX_WORDS) -> Dat
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("para_no")
-        own = [Paragraph(t or "", int(n or 0), p or "", bool(s)) for t, n, p, s in zip(pdf["text"], pdf["level"], pdf["path"], pdf["is_subheading"], strict=True)]
+        level, heading = pdf["level"].fillna(0).astype(int), pdf["is_subheading"].fillna(value=False).astype(bool)
+        own = [Paragraph(t or "", n, p or "", s) for t, n, p, s in zip(pdf["text"], level, pdf["path"], heading, strict=True)]
         chunks = pack(*pieces(own, most), most)
         shown = lambda t: FOOTNOTE.sub(r" [\1]", t).strip()
         return pd.DataFrame(

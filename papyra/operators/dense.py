@@ -19,7 +19,7 @@ BLOCK = 8192
 def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     table = table.sort_by("id").combine_chunks()
     lengths = pc.list_value_length(table.column("v")).to_numpy()
-    width = int(lengths.max()) if len(lengths) else 0
+    width = int(lengths.max()) if len(lengths) else 1
     flat = np.concatenate([c.values.to_numpy(zero_copy_only=False)[c.offsets[0].as_py() : c.offsets[-1].as_py()] for c in table.column("v").chunks]) if len(lengths) else np.zeros(0)
     return table.column("id").to_numpy(), flat.reshape(-1, width).astype(np.float64)
 

@@ -91,7 +91,7 @@ def summary(rows: DataFrame, values: dict[str, str], *, digits: int = 3) -> Data
     """``stage, n, mean, median, min, max, share``: each value's statistics, and its mean's share of all means."""
     stacked = rows.select(F.explode(F.array(*[F.struct(F.lit(name).alias("stage"), F.col(column).cast("double").alias("x")) for name, column in values.items()])).alias("s")).select("s.*")
     told = stacked.groupBy("stage").agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.median("x").alias("median"), F.min("x").alias("min"), F.max("x").alias("max"))
-    share = F.col("m") / F.sum("m").over(Window.partitionBy(F.lit(1)))  # a row per stage
+    share = F.try_divide(F.col("m"), F.sum("m").over(Window.partitionBy(F.lit(1))))  # a row per stage
     return told.select("stage", "n", *[F.round(c, digits).alias(n) for c, n in ((F.col("m"), "mean"), (F.col("median"), "median"), (F.col("min"), "min"), (F.col("max"), "max"), (share, "share"))])
 
 

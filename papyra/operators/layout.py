@@ -213,7 +213,7 @@ def document_kind(extension: Column, pages: Column, ocr_pages: Column) -> Column
 def weighted_confidence(rows: DataFrame, *group: str) -> DataFrame:
     """``<group>, conf``: confidence weighted by length."""
     size = F.length("text")
-    return rows.groupBy(*group).agg((F.sum(size * F.col("conf")) / F.sum(size)).alias("conf"))
+    return rows.groupBy(*group).agg(F.try_divide(F.sum(size * F.col("conf")), F.sum(size)).alias("conf"))
 
 
 def page_of_blocks(blocks: DataFrame, pages: DataFrame, *, least: float = 0.3, ahead: int = 3) -> DataFrame:

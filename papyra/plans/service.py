@@ -88,7 +88,7 @@ def stage_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, event_id, max((props::JSON ->> '$.k')::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS progress FROM events")
 def progress_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's progress (the number in props) as the largest so far."""
-    events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").try_cast("int"))
     return service.monotone(events, "user_id", ["ts", "event_id"], "k").select("user_id", "event_id", "progress")
 
 

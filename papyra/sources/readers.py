@@ -5,6 +5,8 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from datetime import UTC, datetime
+from fnmatch import fnmatch
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -18,8 +20,18 @@ _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def files(spark: SparkSession, path: str, *, pattern: str = "*") -> DataFrame:
-    """``path, modificationTime, length, content`` of all files below a path, as Spark's binary source reads them."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    """``path, modificationTime, length, content`` of all files below a path.
+
+    Spark's binary source has no rows for empty files; their names come from a listing.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed, empty = top.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(top, True), []
+    while listed.hasNext():
+        file = listed.next()
+        if file.getLen() == 0 and fnmatch(file.getPath().getName(), pattern):
+            empty.append((file.getPath().toString(), datetime.fromtimestamp(file.getModificationTime() / 1000, UTC), 0, b""))
+    return found.unionByName(spark.createDataFrame(empty, found.schema)) if empty else found
 
 
 def file_error(path: Column, length: Column, content: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 def keyed_state(events: DataFrame) -> DataFrame:
     """``user_id, latest, done, n``: out-of-order messages change nothing that a later one has said."""
-    told = events.withColumn("__k", F.get_json_object("props", "$.k").cast("int"))
+    told = events.withColumn("__k", F.get_json_object("props", "$.k").try_cast("int"))
     order = F.struct("ts", "event_id")
     return told.groupBy("user_id").agg(F.max_by("event_type", order).alias("latest"), F.max("__k").alias("done"), F.count("*").alias("n"))
 
