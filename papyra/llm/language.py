@@ -39,11 +39,12 @@ _LETTER = np.array([chr(c).isalpha() for c in range(0x110000)], bool)
 def word_features(p: Packed, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, bucket) of the hashed features, and the words' own 64-bit hashes."""
     own = word_hashes(p)
-    words, hashes, word_at = [np.arange(len(own))], [own], p.word_at()
+    bucket = lambda h: (h % np.uint64(buckets)).astype(np.int32)
+    words, found, word_at = [np.arange(len(own), dtype=np.int32)], [bucket(own)], p.word_at()
     for _, at, h in grams(p, GRAMS):
         words.append(word_at[at])
-        hashes.append(h)
-    return np.concatenate(words), (np.concatenate(hashes) % np.uint64(buckets)).astype(np.int64), own
+        found.append(bucket(h))
+    return np.concatenate(words), np.concatenate(found), own
 
 
 def _chain(n: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -150,19 +151,25 @@ def train(texts: list[str], languages: list[str], *, buckets: int = 1 << 17, seg
     names = sorted(set(languages))
     k = len(names)
     model = Model(names, np.zeros((buckets, max(1, k)), np.float32), np.zeros((k, k)), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((k, k)))
-    p = pack([t.lower() for t in texts])
-    if not k or not len(p.start):
+    # a few texts at a time: of the features only the buckets stay, by word, and where each word's begin
+    buckets_of, counts_of, own_of, doc_of = [], [], [], []
+    for start in range(0, len(texts), 100):
+        p = pack([t.lower() for t in texts[start : start + 100]])
+        word, found, hashes = word_features(p, buckets)
+        buckets_of.append(found[np.argsort(word, kind="stable")])
+        counts_of.append(np.bincount(word, minlength=len(hashes)))
+        own_of.append(hashes)
+        doc_of.append(p.doc + start)
+    if not k or not sum(map(len, own_of)):
         return Model([], model.weight, model.transition, model.lexicon, model.entry, model.listed)
-    word, bucket, own = word_features(p, buckets)
-    label = np.array([names.index(x) for x in languages])[p.doc]
+    bucket, own, doc = np.concatenate(buckets_of), np.concatenate(own_of), np.concatenate(doc_of)
+    feature = np.concatenate([[0], np.cumsum(np.concatenate(counts_of))])
+    label = np.array([names.index(x) for x in languages])[doc]
     distinct, which = np.unique(own, return_inverse=True)
     counts = np.stack([np.bincount(which[label == j], minlength=len(distinct)) for j in range(k)], axis=1)
     sure = (counts.sum(axis=1) >= 5) & (counts.max(axis=1) >= 0.9 * counts.sum(axis=1))
     model.lexicon, model.entry = distinct[sure], counts[sure].argmax(axis=1)
-    order = np.argsort(word, kind="stable")
-    word, bucket = word[order], bucket[order]
-    feature = np.searchsorted(word, np.arange(len(own) + 1))
-    _, _, first, length = _chain(np.bincount(p.doc, minlength=len(texts)), segment)
+    _, _, first, length = _chain(np.bincount(doc, minlength=len(texts)), segment)
     rng = np.random.default_rng(seed)
     groups = [g for _ in range(epochs) for g in np.array_split(rng.permutation(len(first)), -(-len(first) // batch))]
     for i, g in enumerate(groups):
@@ -192,7 +199,7 @@ def train(texts: list[str], languages: list[str], *, buckets: int = 1 << 17, seg
     return model
 
 
-def sample(docs: DataFrame, *, max_rows: int = 3000, max_chars: int = 6_000) -> tuple[list[str], list[str]]:
+def sample(docs: DataFrame, *, max_rows: int = 3000, max_chars: int = 5_000) -> tuple[list[str], list[str]]:
     """Texts and languages to learn from; held-out rows never take part."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 1) & (F.length("text") <= max_chars))
     chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # max_rows ids: broadcast below
