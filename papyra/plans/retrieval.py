@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from papyra import fixed
 from papyra.functions import text as T
 from papyra.operators import dense, fusion, lexical
-from papyra.operators.sizes import held
+from papyra.operators.sizes import held, small
 from papyra.plans import sql as S
 from papyra.plans.catalog import query
 from papyra.sources.tables import documents, table
@@ -45,7 +45,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item's vector: the embedding that has its number."""
-    return vectors(spark, sf_dir).join(F.broadcast(items(spark, sf_dir).select(F.col("item_id").alias("id"))), "id")
+    return vectors(spark, sf_dir).join(small(items(spark, sf_dir).select(F.col("item_id").alias("id"))), "id")
 
 
 BM25 = S.bm25("scored", S.DOCS, S.ITEMS)
