@@ -17,6 +17,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from pyspark.sql import types as T
 
 from .common import text_slices
 
-#: Merged pieces that a worker remembers before it starts anew.
-CACHE_PIECES = 600_000
+#: Pieces that a worker remembers in each of two generations; a piece used again moves to the younger one.
+CACHE_PIECES = 350_000
 _MASK = (1 << 64) - 1
 
 
@@ -109,82 +110,77 @@ class ByteBPE:
         self.split = regex.compile(pattern).findall
         self.whole = PerfectHash(tokens)
         rank = {t: i for i, t in enumerate(tokens)}
+        if len(tokens[0]) != 1:
+            raise ValueError("rank 0 must be a single byte")
         self.byte_id = [rank[bytes([b])] for b in range(256)]
-        #: (left id << 32 | right id) -> id of the two joined
+        #: (left id, right id) -> id of the two joined, which is never 0 as single bytes come first
         self.joined = {
-            rank[t[:k]] << 32 | rank[t[k:]]: i
+            (rank[t[:k]], rank[t[k:]]): i
             for i, t in enumerate(tokens)
             for k in range(1, len(t))
             if t[:k] in rank and t[k:] in rank
         }
-        self._forget()
-
-    def _forget(self) -> None:
-        self.seen: dict[str, int] = {}
-        self.found: list[tuple[int, ...]] = []
-        self.sizes: list[int] = []
+        self.seen: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of a piece that is no token: join the pair of lowest rank, the leftmost first, until none is left."""
         joined = self.joined.get
-        ids = [self.byte_id[b] for b in piece]
+        ids = list(map(self.byte_id.__getitem__, piece))
         n = len(ids)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        pair = [joined(ids[i] << 32 | ids[i + 1], -1) for i in range(n - 1)]
-        pair.append(-1)
-        heap = [p << 32 | i for i, p in enumerate(pair) if p >= 0]
-        heapify(heap)
+        pair = list(map(joined, zip(ids, ids[1:], strict=False)))
+        pair.append(None)
+        heap = [p << 32 | i for i, p in enumerate(pair) if p]
+        if len(heap) > 1:
+            heapify(heap)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
             top = heappop(heap)
             i, new = top & 0xFFFFFFFF, top >> 32
             if pair[i] != new:
                 continue
             j = after[i]
+            k = after[i] = after[j]
             ids[i] = new
-            pair[j] = -1
             ids[j] = -1
-            k = after[j]
-            after[i] = k
+            pair[j] = None
             if k < n:
                 before[k] = i
-                p = pair[i] = joined(new << 32 | ids[k], -1)
-                if p >= 0:
+                p = pair[i] = joined((new, ids[k]))
+                if p:
                     heappush(heap, p << 32 | i)
             else:
-                pair[i] = -1
+                pair[i] = None
             h = before[i]
             if h >= 0:
-                p = pair[h] = joined(ids[h] << 32 | new, -1)
-                if p >= 0:
+                p = pair[h] = joined((ids[h], new))
+                if p:
                     heappush(heap, p << 32 | h)
-        return tuple(x for x in ids if x >= 0)
-
-    def _learn(self, pieces: list[str]) -> None:
-        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
-        for piece, b, at in zip(pieces, raw, self.whole.find(raw), strict=True):
-            ids = (at,) if at >= 0 else self.merge(b)
-            self.seen[piece] = len(self.found)
-            self.found.append(ids)
-            self.sizes.append(len(ids))
+        return tuple([x for x in ids if x >= 0])
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Look up, or merge, pieces that the younger generation doesn't have."""
+        older, seen = self.older, self.seen
+        new = []
+        for piece in pieces:
+            if (ids := older.get(piece)) is not None:
+                seen[piece] = ids
+            else:
+                new.append(piece)
+        raw = [p.encode("utf-8", "surrogatepass") for p in new]
+        for piece, b, at in zip(new, raw, self.whole.find(raw), strict=True):
+            seen[piece] = (at,) if at >= 0 else self.merge(b)
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as unsigned 32-bit integers."""
-        if len(self.seen) > CACHE_PIECES:
-            self._forget()
-        split = [self.split(t) for t in texts]
-        seen = self.seen
-        for pieces in split:
-            fresh = [p for p in dict.fromkeys(pieces) if p not in seen]
-            if fresh:
+        out = []
+        for text in texts:
+            pieces = self.split(text)
+            if len(self.seen) > CACHE_PIECES:
+                self.older, self.seen = self.seen, {}
+            if fresh := set(pieces).difference(self.seen):
                 self._learn(fresh)
-        found, out = self.found, []
-        for pieces in split:
-            ids: list[int] = []
-            extend = ids.extend
-            for at in map(seen.__getitem__, pieces):
-                extend(found[at])
-            out.append(np.array(ids, dtype="<u4"))
+            out.append(np.array(list(chain.from_iterable(map(self.seen.__getitem__, pieces))), dtype="<u4"))
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
