@@ -205,14 +205,13 @@ def encode(
 ) -> DataFrame:
     """Encode the whole of each text and decode it again.
 
-    Returns the columns ``keep`` (they may not be called like one of the new ones), ``n_tokens`` long,
-    ``ids_sha256`` and ``decoded_sha256`` (lowercase hex) and, if ``ids``, ``token_ids`` array<int>.
+    Returns the columns ``keep`` (one that is called like a new one gives way to it), ``n_tokens`` long, ``ids_sha256``
+    and ``decoded_sha256`` (lowercase hex) and, if ``ids``, ``token_ids`` array<int>.
     """
     made = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()} | (
         {"token_ids": T.ArrayType(T.IntegerType())} if ids else {}
     )
-    if clash := set(keep) & set(made):
-        raise ValueError(f"columns {sorted(clash)} are made here")
+    keep = tuple(c for c in keep if c.lower() not in made)
     tokens = read_ranks(vocabulary)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, t) for n, t in made.items()])
     kept = [f"k{i}" for i in range(len(keep))]

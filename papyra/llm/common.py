@@ -26,6 +26,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as it takes to be none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that no slice has more than ``max_bytes`` of text, unless a single text has."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

@@ -75,10 +75,14 @@ def mix(
     seed: int = 17,
     broadcast_sources: int = 10_000,
     salts: int = 64,
+    copy: str = "copy",
+    shuffle_key: str = "shuffle_key",
 ) -> DataFrame:
-    """docs, each row as often as drawn, in a globally shuffled order; with ``copy`` (from 1) and ``shuffle_key``."""
-    if clash := {"copy", "shuffle_key"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are made here")
+    """docs, each row as often as drawn, in a globally shuffled order; with ``copy`` (from 1) and ``shuffle_key``.
+
+    The two names can be chosen; a column of docs that is called so gives way.
+    """
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in (copy, shuffle_key)])
     plan = rates(docs, weights, source=source, exponent=exponent, epochs=epochs).select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf"))
     keyed = docs.withColumn("__digest", F.md5(F.coalesce(docs[text].cast("string"), F.lit("")).cast("binary")))
     if plan.limit(broadcast_sources + 1).count() <= broadcast_sources:
@@ -89,7 +93,7 @@ def mix(
         rated = dealt.join(salted, (F.col("__deal") == F.col("__salt")) & F.col(source).eqNullSafe(F.col("__source"))).drop("__deal", "__salt")
     drawn = rated.withColumn("__u", uniform(F.col(doc_id), F.col("__digest"), seed=seed))
     times = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
-    copies = drawn.withColumn("__n", times).where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    key = F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "__digest", "copy").cast("binary"))
-    dealt = copies.withColumn("shuffle_key", key).select(*docs.columns, "copy", "shuffle_key")
-    return dealt.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
+    copies = drawn.withColumn("__n", times).where("__n > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    key = F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "__digest", copy).cast("binary"))
+    dealt = copies.withColumn(shuffle_key, key).select(*docs.columns, copy, shuffle_key)
+    return dealt.repartition(F.col(shuffle_key)).sortWithinPartitions(shuffle_key)

@@ -25,6 +25,8 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import unused
+
 
 @dataclass
 class Run:
@@ -147,9 +149,10 @@ class ShardedTable:
         return self._written(name)
 
     def read(self) -> DataFrame:
-        """The live rows, with ``shard``: the name of the shard that holds the row."""
+        """The live rows, with ``shard``: the name of the shard that holds the row (``shard_`` if rows have a shard)."""
         version, runs = self.manifest()
         paths = [p for r in runs for p, _ in r.shards]
         if not paths:
             raise ValueError(f"version {version} of {self.root} has no shards")
-        return self.spark.read.parquet(*paths).withColumn("shard", F.col("_metadata.file_name"))
+        rows = self.spark.read.parquet(*paths)
+        return rows.withColumn(unused(rows, "shard"), F.col("_metadata.file_name"))

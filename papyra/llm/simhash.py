@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_slices
+from .common import checkpointed, text_slices, unused
 from .components import components
 
 #: Generator polynomial of the binary Golay code of length 23 (fixed value).
@@ -163,7 +163,8 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wor
     """The rows of docs without the near-duplicates: of each component the row of least doc_id (nulls last) stays, once."""
     found = near_duplicates(docs, doc_id=doc_id, text=text, words=words, threshold=threshold)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")).alias("k"))
-    kept = first.select(F.col("k.row_key").alias("__row_key"), F.col("k.doc_id").alias("__id"))
-    keyed = docs.withColumn("__row_key", F.xxhash64(docs[doc_id], docs[text]))
-    same = (keyed["__row_key"] == kept["__row_key"]) & keyed[doc_id].cast("long").eqNullSafe(kept["__id"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["__row_key", doc_id]).drop("__row_key")
+    row_key, kept_key, kept_id = (unused(docs, n) for n in ("row_key", "kept_key", "kept_id"))
+    kept = first.select(F.col("k.row_key").alias(kept_key), F.col("k.doc_id").alias(kept_id))
+    keyed = docs.withColumn(row_key, F.xxhash64(docs[doc_id], docs[text]))
+    same = (F.col(row_key) == F.col(kept_key)) & F.col(doc_id).cast("long").eqNullSafe(F.col(kept_id))
+    return keyed.join(kept, same, "left_semi").dropDuplicates([row_key, doc_id]).drop(row_key)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import SLICE_BYTES, text_slices
+from .common import SLICE_BYTES, text_slices, unused
 
 UNIT = re.compile(r"[^.!?\n]*[.!?]+|[^.!?\n]+|\n")
 MIN_WORDS, MIN_LINE_WORDS = 8, 5
@@ -120,19 +120,19 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> D
     return later.groupBy("doc_id", "row_key").agg(F.collect_set("unit").alias("units"))
 
 
-def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", removed: str = "removed", min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
     """docs with ``text`` cut, and ``removed``: array of (start, end) in characters of the original text.
 
-    Columns of docs of that name, or called ``__...``, aren't allowed.
+    A column of docs that is called so gives way.
     """
-    if "removed" in docs.columns:
-        raise ValueError("a column is called removed")
-    keyed = docs.withColumn("__row_key", F.xxhash64(docs[doc_id], docs[text])).withColumn("__id", docs[doc_id].cast("long"))
+    docs = docs.select(*[c for c in docs.columns if c.lower() != removed.lower()])
+    row_key, own_id, found_id, found_key, places = (unused(docs, n) for n in ("row_key", "own_id", "found_id", "found_key", "places"))
+    keyed = docs.withColumn(row_key, F.xxhash64(docs[doc_id], docs[text])).withColumn(own_id, docs[doc_id].cast("long"))
     found = repeats(docs, doc_id=doc_id, text=text)
-    found = found.toDF("__fid", "__fkey", "__units")
-    same = (F.col("__row_key") == F.col("__fkey")) & F.col("__id").eqNullSafe(F.col("__fid"))
+    found = found.toDF(found_id, found_key, places)
+    same = (F.col(row_key) == F.col(found_key)) & F.col(own_id).eqNullSafe(F.col(found_id))
     joined = keyed.join(found, same, "left")
-    schema = T.StructType([f for f in docs.schema] + [T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
+    schema = T.StructType([f for f in docs.schema] + [T.StructField(removed, T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index(text)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -155,4 +155,4 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_wo
                 columns[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind)], names=[f.name for f in schema])
 
-    return joined.select(*[joined[c].alias(n) for c, n in zip(docs.columns, names, strict=True)], joined["__units"].alias("u")).mapInArrow(run, schema)
+    return joined.select(*[joined[c].alias(n) for c, n in zip(docs.columns, names, strict=True)], joined[places].alias("u")).mapInArrow(run, schema)

@@ -70,8 +70,8 @@ def test_table_with_nulls_repeats_and_clashing_names(spark, reference):
         assert r["token_ids"] == ids and r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
-    with pytest.raises(ValueError, match="n_tokens"):
-        byte_bpe.encode(df.withColumnRenamed("t", "n_tokens"), PATH, P.PATTERN, keep=("n_tokens",))
+    clash = byte_bpe.encode(df.withColumnRenamed("t", "n_tokens"), PATH, P.PATTERN, keep=("doc_id", "n_tokens"), ids=False)
+    assert clash.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and clash.count() == 5
     assert byte_bpe.encode(df.limit(0), PATH, P.PATTERN).collect() == []
 
 

@@ -2,7 +2,6 @@ import hashlib
 import math
 from collections import Counter
 
-import pytest
 from pyspark.sql import functions as F
 
 from papyra.llm import mixing
@@ -57,8 +56,8 @@ def test_nulls_repeats_and_empty_tables(spark, documents):
     assert all(n == 2 for n in by.values())
     assert mixing.mix(df.limit(0)).collect() == []
     assert mixing.mix(df, {"nothing": 1.0}).collect() == []
-    with pytest.raises(ValueError, match="copy"):
-        mixing.mix(df.withColumnRenamed("lang", "copy"))
+    clash = df.withColumnRenamed("lang", "copy").withColumnRenamed("n_chars", "Shuffle_Key")
+    assert mixing.mix(clash, epochs=3.0).columns == ["doc_id", "text", "source", "copy", "shuffle_key"]
 
 
 def test_no_python_on_the_main_path(spark, documents):

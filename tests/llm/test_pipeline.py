@@ -54,6 +54,20 @@ def test_stages_against_brute_force(spark):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, coded))
 
 
+def test_clashing_columns_stay(spark, documents, sf_dir):
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    df = documents((1, "some words"), (2, "other words here"))
+    for c in ("score", "removed", "copy", "shuffle_key", "row_key", "kept_id", "unit", "h1", "fp", "root", "source_", "n_tokens"):
+        df = df.withColumn(c, df["lang"])
+    folder = sf_dir(documents=df, labels=labels)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == df.columns, name
+        assert {r.removed for r in docs.collect()} <= {"en"}
+    assert corpus_pipeline.run(spark, folder).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
 def test_empty_and_null_documents(spark, documents, sf_dir):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     folder = sf_dir(documents=documents((1, None), (2, ""), (None, None), (3, "some words"), (3, "some words")), labels=labels)

@@ -96,6 +96,8 @@ def test_repeated_rows_nulls_and_extra_columns(spark, documents):
     got = sorted(((r.doc_id, r.text) for r in S.dedup(df).collect()), key=str)
     assert got == sorted([(1, line), (1, line), (2, ""), (None, "")], key=str)
     assert S.dedup(documents((1, "x")).limit(0)).collect() == []
+    clash = documents(*rows).withColumnRenamed("lang", "removed").withColumnRenamed("source", "row_key").withColumnRenamed("n_chars", "places")
+    assert S.dedup(clash).columns == ["doc_id", "text", "row_key", "places", "removed"] and S.dedup(clash).count() == 4
     hot = documents(*[(i, "a line that every document holds, word for word.\n" + "x" * i) for i in range(300)])
     kept = [r.doc_id for r in S.dedup(hot).collect() if "every" in r.text]
     assert kept == [0]
