@@ -13,14 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.llm import byte_bpe, mixing, quality, simhash, substring_dedup
-from papyra.llm.common import shared_dir, table
+from papyra.llm.common import shared_dir, table, unused
 from papyra.llm.queries import VOCABULARY
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject (score of 0.5 or more)."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, column="__score").where("__score >= 0.5").drop("__score")
+    score = unused(docs, "score")
+    return quality.score(docs, model, column=score).where(F.col(score) >= 0.5).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines and passages that an earlier document has; ``n_chars`` follows the text."""
-    cut = substring_dedup.dedup(docs).drop("removed")
+    removed = unused(docs, "removed")
+    cut = substring_dedup.dedup(docs, removed=removed).drop(removed)
     if "n_chars" in cut.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(docs.columns)
@@ -38,7 +40,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated by Poisson draws, so that sources weigh as the square roots of their sizes; in random order."""
-    return mixing.mix(docs).select(docs.columns)
+    return mixing.mix(docs, copy=unused(docs, "copy"), shuffle_key=unused(docs, "shuffle_key")).select(docs.columns)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
