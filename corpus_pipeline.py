@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import byte_bpe, mixing, quality, simhash, substring_dedup
+from papyra.llm import byte_bpe, mixing, near_copies, quality, substring_dedup
 from papyra.llm.common import shared_dir, table, unused
 from papyra.llm.queries import VOCABULARY
 
@@ -25,8 +25,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document of least id."""
-    return simhash.keep_one(docs)
+    """Of each component of documents that share four fifths of their five-word shingles, the document of least id."""
+    return near_copies.keep_one(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

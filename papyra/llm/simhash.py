@@ -162,6 +162,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 3, threshold: int = 2) -> DataFrame:
     """The rows of docs without the near-duplicates: of each component the row of least doc_id (nulls last) stays, once."""
     found = near_duplicates(docs, doc_id=doc_id, text=text, words=words, threshold=threshold)
+    return keep_first(docs, found, doc_id=doc_id, text=text)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of the rows of docs, found again by ``doc_id, row_key, root``, the one of least doc_id (nulls last) of each root, once."""
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")).alias("k"))
     row_key, kept_key, kept_id = (unused(docs, n) for n in ("row_key", "kept_key", "kept_id"))
     kept = first.select(F.col("k.row_key").alias(kept_key), F.col("k.doc_id").alias(kept_id))
