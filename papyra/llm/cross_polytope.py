@@ -6,9 +6,10 @@ in every table, the ``probes`` axes nearest to it; rows filed there are its cand
 ranked by their exact inner products with the original vectors in double precision.
 
 ``probes`` is fitted on a bounded sample (``fit_rows`` rows and ``fit_queries`` queries, by a hash of the id): it is
-the least number that finds ``aim`` of the sample's true neighbours.  A sample is harder than the whole table, as
+the least number by which every query of the sample finds ``aim`` of its own true neighbours.  A sample is harder than the whole table, as
 its neighbours are farther away, so the recall on the whole is at least that, but for chance.  Every row is indexed,
-and every probed bucket is read in full: there is no cap on buckets or candidates.
+and every probed bucket is read in full: there is no cap on buckets or candidates.  The fitted number is where a query
+starts: its probes are doubled until its k best stay the same and are k, or all axes are probed, which is exact.
 
 :mod:`papyra.llm.search` deals rows into blocks, each with its own tables, so that a bucket which holds a third of
 all rows is spread over all blocks.
@@ -96,25 +97,35 @@ def kernel(k: int, tables: int, probes: int):
         for start in range(0, len(qi), 128):
             q = qv[start : start + 128]
             hit = np.zeros((len(q), len(ri)), bool)
-            for t, (rows, first) in enumerate(buckets):
-                probed = turns.ranked(q, t, probes)
-                size = (first[probed + 1] - first[probed]).ravel()
-                which = np.repeat(np.repeat(np.arange(len(q)), probed.shape[1]), size)
-                nth = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
-                hit[which, rows[np.repeat(first[probed].ravel(), size) + nth]] = True
-            for i in range(len(q)):
-                own = np.flatnonzero(hit[i])
-                own = own[ri[own] != qi[start + i]]
-                at, score = nearest(ri[own], rv[own], q[i], k)
-                for out, value in zip(found, (np.full(len(at), start + i), own[at], score), strict=True):
-                    out.append(value)
+            ranked = [turns.ranked(q, t, 2 * turns.size) for t in range(tables)]
+            best: list[np.ndarray | None] = [None] * len(q)
+            done, most, active = 0, probes, np.arange(len(q))
+            while len(active):
+                for order, (rows, first) in zip(ranked, buckets, strict=True):
+                    probed = order[active, done:most]
+                    size = (first[probed + 1] - first[probed]).ravel()
+                    which = np.repeat(np.repeat(active, probed.shape[1]), size)
+                    nth = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+                    hit[which, rows[np.repeat(first[probed].ravel(), size) + nth]] = True
+                wider = []
+                for i in active:
+                    own = np.flatnonzero(hit[i])
+                    own = own[ri[own] != qi[start + i]]
+                    at, score = nearest(ri[own], rv[own], q[i], k)
+                    if most < 2 * turns.size and (len(at) < k or best[i] is None or (best[i] != own[at]).any()):
+                        best[i] = own[at] if len(at) == k else None
+                        wider.append(i)
+                        continue
+                    for out, value in zip(found, (np.full(len(at), start + i), own[at], score), strict=True):
+                        out.append(value)
+                done, most, active = most, 2 * most, np.array(wider, np.int64)
         return tuple(np.concatenate(x) for x in found)
 
     return run
 
 
 def fit_probes(x: np.ndarray, q: np.ndarray, k: int, tables: int, aim: float) -> int:
-    """The least number of probes by which ``tables`` tables find ``aim`` of the true k nearest in x of each q, all of x."""
+    """The least number of probes by which ``tables`` tables find, for each q, ``aim`` of its true k nearest in x; each q is of x."""
     if len(x) < 2 or not len(q):
         return 1
     turns = Rotations(x.shape[1], tables)
@@ -124,7 +135,7 @@ def fit_probes(x: np.ndarray, q: np.ndarray, k: int, tables: int, aim: float) ->
     for t in range(tables):
         place = np.argsort(turns.ranked(q, t, 2 * turns.size), axis=1)  # axis -> its rank for the query
         best = np.minimum(best, np.take_along_axis(place, turns.axes(x, t)[true], axis=1))
-    return int(np.sort(best.ravel())[int(np.ceil(aim * best.size)) - 1]) + 1
+    return int(np.sort(best, axis=1)[:, int(np.ceil(aim * best.shape[1])) - 1].max()) + 1
 
 
 def approximate(

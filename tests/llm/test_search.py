@@ -101,6 +101,20 @@ def test_approximate(spark):
     assert sorted(tuple(r) for r in cross_polytope.approximate(vectors(spark, two), aim=1.0).collect()) == [(0, 1, 20, 1.0), (20, 1, 0, 1.0)]
 
 
+def test_no_query_is_left_out(spark):
+    rng = np.random.default_rng(4)
+    few = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(15, 64)))]
+    got = [(r.query_id, r.vec_id) for r in cross_polytope.approximate(vectors(spark, few), every=1).collect()]
+    assert sorted(got) == [(q, i) for q in range(15) for i in range(15) if i != q]
+    tight = np.repeat(rng.normal(size=(20, 64)), 100, axis=0) + 0.01 * rng.normal(size=(2000, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate([*tight, *rng.normal(size=(60, 64))])]
+    lone = {(q, i) for q, _, i, _ in brute(rows, 1, 20) if q >= 2000}
+    got = [(r.query_id, r.vec_id) for r in cross_polytope.approximate(vectors(spark, rows), every=1).collect()]
+    assert len(got) == 20 * 2060
+    found = {q: sum((q, i) in lone for p, i in got if p == q) for q in range(2000, 2060)}
+    assert min(found.values()) >= 10 and sum(found.values()) >= 0.9 * len(lone)
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.1"])
 def test_recall_of_the_query(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
