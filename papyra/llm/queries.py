@@ -115,28 +115,21 @@ WITH texts AS (
 ),
 lists AS (SELECT side, id, list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '') AS ws FROM texts WHERE t IS NOT NULL),
 listed AS (SELECT side, id, unnest(ws) AS w, unnest(range(0, len(ws))) AS no FROM lists),
-vocab AS (
-  SELECT w, (row_number() OVER (ORDER BY n DESC, w)) - 1 AS c FROM (SELECT w, count(*) AS n FROM listed WHERE side = 'b' GROUP BY w)
-  QUALIFY row_number() OVER (ORDER BY n DESC, w) <= 2048
+pairs AS (SELECT side, id, coalesce(lag(w) OVER (PARTITION BY side, id ORDER BY no), '') AS h, w FROM listed),
+bi AS (SELECT h, w, count(*) FILTER (WHERE side = 't')::DOUBLE AS t, count(*) FILTER (WHERE side = 'b')::DOUBLE AS b FROM pairs GROUP BY h, w),
+hist AS (SELECT h, sum(t) AS t, sum(b) AS b FROM bi GROUP BY h),
+total AS (SELECT sum(t) AS t, sum(b) AS b FROM bi),
+uni AS (
+  SELECT w, (sum(bi.t) + 1000 * sum(bi.t + bi.b) / (total.t + total.b)) / (total.t + 1000) AS t,
+    (sum(bi.b) + 1000 * sum(bi.t + bi.b) / (total.t + total.b)) / (total.b + 1000) AS b
+  FROM bi, total GROUP BY w, total.t, total.b
 ),
-size AS (SELECT count(*) AS s FROM vocab),
-coded AS (SELECT side, id, no, coalesce(c, s) AS c FROM listed LEFT JOIN vocab USING (w), size),
-pairs AS (SELECT side, id, coalesce(lag(c) OVER (PARTITION BY side, id ORDER BY no), s + 1) AS a, c AS b FROM coded, size),
-bi AS (SELECT side, a, b, count(*)::DOUBLE AS n FROM pairs GROUP BY ALL),
-uni AS (SELECT side, b, sum(n) AS n FROM bi GROUP BY ALL),
-hist AS (SELECT side, a, sum(n) AS n FROM bi GROUP BY ALL),
-total AS (SELECT side, sum(n) AS n FROM bi GROUP BY side),
-asked AS (SELECT m.side, p.a, p.b FROM (SELECT DISTINCT a, b FROM pairs WHERE side = 'b') p, (SELECT unnest(['b', 't']) AS side) m),
 loss AS (
-  SELECT k.side, k.a, k.b, -ln((coalesce(bi.n, 0) + 100.0::DOUBLE * (coalesce(uni.n, 0) + 1) / (total.n + s + 1)) / (coalesce(hist.n, 0) + 100.0::DOUBLE)) AS l
-  FROM asked k CROSS JOIN size JOIN total ON total.side = k.side
-  LEFT JOIN bi ON bi.side = k.side AND bi.a = k.a AND bi.b = k.b
-  LEFT JOIN uni ON uni.side = k.side AND uni.b = k.b
-  LEFT JOIN hist ON hist.side = k.side AND hist.a = k.a
+  SELECT bi.h, bi.w, -ln((bi.t + 10 * uni.t) / (hist.t + 10)) AS t, -ln((bi.b + 10 * uni.b) / (hist.b + 10)) AS b
+  FROM bi JOIN hist ON hist.h = bi.h JOIN uni ON uni.w = bi.w
 ),
 scored AS (
-  SELECT p.id, count(*) FILTER (WHERE loss.side = 't') AS n, avg(l) FILTER (WHERE loss.side = 't') AS t, avg(l) FILTER (WHERE loss.side = 'b') AS b
-  FROM pairs p JOIN loss ON loss.a = p.a AND loss.b = p.b WHERE p.side = 'b' GROUP BY p.id
+  SELECT id, count(*) AS n, avg(t) AS t, avg(b) AS b FROM pairs JOIN loss ON loss.h = pairs.h AND loss.w = pairs.w WHERE side = 'b' GROUP BY id
 )
 SELECT doc_id, coalesce(n, 0) AS n_tokens, round(t, 6) AS target_loss, round(b, 6) AS background_loss, round(t - b, 6) AS score
 FROM documents LEFT JOIN scored ON scored.id = doc_id

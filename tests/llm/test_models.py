@@ -6,11 +6,13 @@ import random
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from papyra.llm import hashing, language, lm_scoring, quality
-from papyra.llm.queries import op2_quality, op4_lm_score, op8_language
+from papyra.llm.queries import ORACLES, op2_quality, op4_lm_score, op8_language
 
 SF = "/root/testdata/sf0.01"
 LONG = "w" * 200_000 + " end"
@@ -106,32 +108,29 @@ def test_language_query(spark):
     assert sum(told) >= 0.95 * len(told) and all(0 <= r.score <= 1 for r in got)
 
 
-def plain_losses(texts, vocabulary, prior=lm_scoring.PRIOR):
-    index = {w: i for i, w in enumerate(vocabulary)}
-    coded = [[len(index) + 1, *(index.get(w, len(index)) for w in t.lower().split())] for t in texts if t and t.split()]
+def plain_losses(texts, other, prior=lm_scoring.PRIOR, base=lm_scoring.BASE):
+    """-log P(b | a) by the counts of texts, with the words of both sides as the shared vocabulary."""
+    coded = [["", *t.lower().split()] for t in texts if t and t.split()]
     pairs = Counter(p for c in coded for p in itertools.pairwise(c))
-    single, history = Counter(), Counter()
+    single, history, shared = Counter(), Counter(), Counter(w for t in [*texts, *other] if t for w in t.lower().split())
     for (a, b), n in pairs.items():
         single[b] += n
         history[a] += n
-    total = sum(single.values())
-    return lambda a, b: -math.log((pairs[a, b] + prior * (single[b] + 1) / (total + len(index) + 1)) / (history[a] + prior))
+    total, both = sum(single.values()), sum(shared.values())
+    share = lambda w: (single[w] + base * shared[w] / both) / (total + base)
+    return lambda a, b: -math.log((pairs[a, b] + prior * share(b)) / (history[a] + prior))
 
 
-def test_cross_entropy_difference(spark, documents):
+@pytest.mark.parametrize("chunk_bytes", [lm_scoring.CHUNK_BYTES, 64])
+def test_cross_entropy_difference(spark, documents, chunk_bytes):
     texts = ["the river runs the river bends", "stones stones STONES", None, "", "  ", "the stones of the river", "one two three four", "the river runs the river bends", "z " * 3000]
     target = ["river the river", None, "stones of the river"]
-    df = documents(*[(i, t) for i, t in enumerate(texts)], (None, "the"))
-    vocabulary = lm_scoring.vocabulary(df, 5)
-    counts = Counter(w for t in [*texts, "the"] if t for w in t.lower().split())
-    assert vocabulary == [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))][:5]
-    a, b = plain_losses(target, vocabulary), plain_losses([*texts, "the"], vocabulary)
+    df = documents(*[(i, t) for i, t in enumerate(texts)], (None, "the")).withColumn("chunk", F.lit("c")).withColumn("score", F.lit(1))
+    a, b = plain_losses(target, [*texts, "the"]), plain_losses([*texts, "the"], target)
     wanted = documents(*[(i, t) for i, t in enumerate(target)])
-    got = {r.doc_id: r for r in lm_scoring.score(df, wanted, size=5).collect()}
-    index = {w: i for i, w in enumerate(vocabulary)}
+    got = {r.doc_id: r for r in lm_scoring.score(df, wanted, chunk_bytes=chunk_bytes).collect()}
     for i, t in [*enumerate(texts), (None, "the")]:
-        code = [6, *(index.get(w, 5) for w in (t or "").lower().split())]
-        pairs = list(itertools.pairwise(code))
+        pairs = list(itertools.pairwise(["", *(t or "").lower().split()]))
         assert got[i].n_tokens == len(pairs)
         if not pairs:
             assert got[i].score is None and got[i].target_loss is None
@@ -139,10 +138,49 @@ def test_cross_entropy_difference(spark, documents):
         assert got[i].target_loss == pytest.approx(sum(a(*p) for p in pairs) / len(pairs))
         assert got[i].background_loss == pytest.approx(sum(b(*p) for p in pairs) / len(pairs))
         assert got[i].score == pytest.approx(got[i].target_loss - got[i].background_loss)
-    assert lm_scoring.score(df.limit(0), wanted).collect() == []
-    assert len(lm_scoring.score(df, wanted.limit(0)).collect()) == len(texts) + 1
+
+
+def test_cross_entropy_difference_of_empty_tables(spark, documents):
+    df = documents((1, "a b c"), (1, "a b c"), (2, None))
+    assert lm_scoring.score(df.limit(0), df).collect() == []
+    got = lm_scoring.score(df, df.limit(0)).collect()
+    a, b = plain_losses(["a b c"] * 2, []), -math.log(1 / 3)  # an empty target knows the shared vocabulary alone
+    for r in got:
+        if r.doc_id == 1:
+            assert r.target_loss == pytest.approx(b) and r.background_loss == pytest.approx((a("", "a") + a("a", "b") + a("b", "c")) / 3)
+    assert sorted(r.doc_id for r in got) == [1, 1, 2]
+
+
+def test_words_of_long_texts_are_cut_at_white_space(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "PIECE", 4)
+    text = "Ab cdefghij k\u00a0l  mnopq\n" * 3
+    assert [w for piece in lm_scoring.words(text) for w in piece] == text.lower().split()
+
+
+def test_rare_words_and_repeated_texts_tell(spark, documents):
+    plain = [(i, f"common words stand here w{i} x{i} y{i}") for i in range(40)]
+    df = documents(*plain, (100, "common words stand here rare1 rare2 rare3"), (101, "common words stand here rare1 rare2 rare3"))
+    got = {r.doc_id: r for r in lm_scoring.score(df, documents((0, "rare1 rare2 rare3"))).collect()}
+    assert got[100].score < min(got[i].score for i in range(40))  # what only the target shares sets it apart
+    assert got[100].background_loss < min(got[i].background_loss for i in range(40))  # so does standing twice in the background
 
 
 def test_scores_prefer_the_target(spark):
-    got = op4_lm_score(spark, "/root/testdata/sf0.001").collect()
-    assert got and all(r.score is not None or r.n_tokens == 0 for r in got)
+    got = {r.doc_id: r for r in op4_lm_score(spark, SF).collect()}
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    hold = [got[r.doc_id].score for r in docs if r.text and any(x in r.text for x in items)]
+    rest = [got[r.doc_id].score for r in docs if got[r.doc_id].score is not None and not any(x in r.text for x in items)]
+    assert hold and sum(hold) / len(hold) < sum(rest) / len(rest) - 0.5
+
+
+def test_scores_by_sql(spark):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, n_tokens, target_loss, background_loss, score FROM ({ORACLES['op4_lm_score']})").fetchall()}
+    got = {r.doc_id: (r.n_tokens, r.target_loss, r.background_loss, r.score) for r in op4_lm_score(spark, SF).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i] == pytest.approx(want[i], abs=2e-6) if want[i][1] is not None else got[i] == want[i] for i in want)
+
