@@ -26,6 +26,15 @@ TENS_ORDINALS = {
 }
 ORDINAL_ADVERBS = ("أولا", "ثانيا", "ثالثا", "رابعا", "خامسا", "سادسا", "سابعا", "ثامنا", "تاسعا", "عاشرا")
 
+# --- fixed values: headings, footnote marks and the margins of a document without lines of body size ---
+_ORDINAL = r"(?:ال[ء-ي]+)(?:\s+(?:و?ال[ء-ي]+|عشرة?|بعد))*"
+PART = rf"^الباب\s+({_ORDINAL})\s*(?::\s*(.+))?$"
+CHAPTER = rf"^الفصل\s+({_ORDINAL})\s*(?::\s*(.+))?$"
+ARTICLE = rf"^(المادة\s+)?({_ORDINAL})\s*:\s*(.+)$"
+ANNEX = r"^(?:الملحق|ملحق)\s*\(?\s*(\d+(?:\s*-\s*\d+)?)\s*\)?(?:\s*\(([ء-ي])\))?\s*(?::\s*)?(.*)$"
+FOOTNOTE_MARK = r"\[\^(\d+)\]"
+LEFT_MARGIN, RIGHT_MARGIN = 70.0, 530.0
+
 # --- fixed values: list markers, by style in order of precedence; group 1 is the number or letter ---
 _NUMBER = "(\\d{1,2}|[" + ABJAD + "])"
 MARKER_STYLES = (

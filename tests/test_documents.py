@@ -43,14 +43,15 @@ def test_text_functions(spark):
 
 
 def test_markers_agree_with_the_plain_versions(spark):
-    for text in ("أ) x", "(ب) x", "(12) x", "3- x", "• x", "أولا: x", "x", "2030"):
+    letters = [("أ) x", ("letter", "أ")), ("(ب) x", ("letter", "ب")), ("(12) x", ("number", "12")), ("3- x", ("number", "3"))]
+    for text, want in [*letters, ("• x", ("bullet", "•")), ("أولا: x", ("ordinal_word", "أولا")), ("x", None), ("2030", None)]:
         got = one(spark, markers.paragraph_marker, text)
-        assert (None if got is None else (got.kind, got.marker)) == structure.marker(text)
+        assert (None if got is None else (got.kind, got.marker)) == want
     for text in ("(3) x", ")4( x", "5) x", "6. x", "6.2 x", "7- x", "- 8 x", "ه – x", "9 x", "100 x", "x"):
         got = one(spark, markers.list_marker, text)
         assert (None if got is None else (got.kind, got.style, got.value)) == segmentation.marker_of(text)
-    for text in ("الأولى", "الثالثة والتسعون", "الثانية عشرة", "كلمة", "عشر"):
-        assert one(spark, markers.ordinal, text) == structure.ordinal(text)
+    for text, want in (("الأولى", 1), ("الثالثة والتسعون", 93), ("الثانية عشرة", 12), ("كلمة", None), ("عشر", None)):
+        assert one(spark, markers.ordinal, text) == want
 
 
 def test_clean_versions(spark):
@@ -173,6 +174,49 @@ def test_hierarchy(spark):
     assert {r.number: r.status for r in structure.validate(contents, articles).collect()} == {1: "ok", 2: "mismatch", 3: "missing"}
 
 
+LINES = "doc_id string, line_no int, page int, text string, size double, x0 double, x1 double, body_size double"
+
+
+def read_lines(spark, *lines):
+    """Paragraph rows of (text, size, x0, x1) lines on pages of two lines."""
+    return structure.paragraphs(spark.createDataFrame([("d", n, n // 2, *x, 14.0) for n, x in enumerate(lines)], LINES)).orderBy("sec_no", "para_no").collect()
+
+
+def test_headings_go_on_below(spark):
+    wide, mid = (14.0, 100.0, 520.0), (18.0, 250.0, 370.0)
+    got = read_lines(
+        spark, ("الباب الأول", *mid), ("أحكام", *mid), ("عامة", *mid), ("الفصل الثاني", *mid), ("عنوان", *mid), ("نص قبل المادة", *wide),
+        ("المادة الأولى: تعريفات[^1]", *wide), ("واسعة", 14.0, 300.0, 520.0), ("نص المادة.", *wide), ("الثالثة: ليست مادة", *wide), ("الثانية: النطاق", *wide), ("نص.", *wide),
+        ("الباب الثاني: آخر", *mid), ("المادة الثالثة: بلا نص", *wide), ("الملحق (1 - 2) (أ)", 18.0, 100.0, 370.0), ("نموذج", *mid), ("نص", *wide),
+    )
+    assert [(r.sec_no, r.type, r.number, r.title, r.part_title, r.chapter_title, r.repaired, r.para_no) for r in got] == [
+        (1, "preamble", None, "عنوان", "أحكام عامة", "عنوان", False, 1),
+        (2, "article", "1", "تعريفات واسعة", "أحكام عامة", "عنوان", False, 1),
+        (3, "article", "2", "النطاق", "أحكام عامة", "عنوان", True, 1),
+        (4, "article", "3", "بلا نص", "آخر", None, False, None),
+        (5, "annex", "1-2(أ)", "نموذج", "آخر", None, False, 1),
+    ]
+    assert got[1].text == "نص المادة. الثالثة: ليست مادة" and got[1].heading_notes == ["1"] and got[1].section_pages == [3, 4] and got[1].pages == [4]
+    assert got[4].label == "الملحق 1-2 (أ)"
+
+
+def test_paragraphs_open(spark):
+    full, short = (14.0, 100.0, 520.0), (14.0, 300.0, 520.0)
+    got = read_lines(spark, ("أول سطر", *full), ("(1) يتبع سطرا كاملا", *full), ("سطر قصير", *short), ("(2) بعد قصير", *full), ("ينتهي:", *full), ("3) بعد نقطتين", 14.0, 100.0, 400.0), ("نص", *full), ("أ) عند الهامش", *full), ("عنوان", 18.0, 100.0, 520.0), ("يليه", 18.0, 100.0, 520.0))
+    assert [(r.para_no, r.kind, r.marker, r.is_subheading, r.text) for r in got] == [
+        (1, None, None, False, "أول سطر (1) يتبع سطرا كاملا سطر قصير"), (2, "number", "2", False, "(2) بعد قصير ينتهي:"), (3, "number", "3", False, "3) بعد نقطتين نص"),
+        (4, "letter", "أ", False, "أ) عند الهامش"), (5, None, None, True, "عنوان يليه"),
+    ]
+    assert read_lines(spark) == []
+    assert [r.type for r in read_lines(spark, (None, None, None, None))] == ["preamble"]
+
+
+def test_paragraphs_have_a_status_of_their_own(spark):
+    rows = spark.createDataFrame([("d", 1, 1, "x[^1]"), ("d", 1, 2, "y[^2] z[^1]"), ("d", 1, 3, "y"), ("d", 2, None, None)], "doc_id string, sec_no int, para_no int, text string")
+    notes = spark.createDataFrame([("d", 1, "فقرة استرشادية"), ("d", 2, "أصبحت إلزامية")], "doc_id string, n int, text string")
+    assert {(r.sec_no, r.para_no): r.binding_status for r in structure.paragraph_binding(rows, notes).collect()} == {(1, 1): "guidance", (1, 2): "guidance"}
+
+
 def test_running_heads(spark):
     pages = [("f", p, 1, f"Report 2024 page {p}") for p in range(5)] + [("f", p, 2, f"text {'abcde'[p]}") for p in range(5)] + [("f", 0, 3, "- 7 -")]
     df = spark.createDataFrame(pages, "file string, page int, line_no int, line string")
