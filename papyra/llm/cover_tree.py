@@ -6,8 +6,15 @@ radius apart that cover all its points within that half.  Pairs of a query node
 worst k-th score found so far in its group of queries is dropped with all its descendants.  Query nodes too small
 for a matrix product are searched side by side, each with its own bounds.
 
-Scores are integers, exact in double precision, so there is nothing approximate; ties go to the smaller id, and a
-bound equal to a k-th score isn't dropped.  :mod:`papyra.llm.search` deals the tables into blocks.
+Trees and bounds are over vectors scaled to components of at most one, in double precision, with room for rounding.
+Scores are integers and exact: products of doubles where no sum can reach 2**53, else 64-bit integers, else Python's.
+Score and row are kept apart; ties go to the smaller id, and a bound equal to a k-th score isn't dropped.  A score that
+a long can't hold is the nearest long, and ranked as that; bounds then exclude nothing.  :mod:`papyra.llm.search` deals the tables into
+blocks.
+
+What is saved depends on the data: ``DualSearch.bounded`` counts evaluated bounds and ``tried`` compared pairs.  Where
+vectors are far apart from each other, no ball around two of them is small enough to exclude, the tree is flat, and each
+query meets a bound of each row.
 """
 
 from __future__ import annotations
@@ -90,23 +97,50 @@ class CoverTree:
         return np.array(centres, np.int64), nearest, near
 
 
+def _scaled(x: np.ndarray) -> tuple[np.ndarray, float]:
+    most = float(np.abs(x).max(initial=0)) or 1.0
+    return x / most, most
+
+
+class Products:
+    """Exact inner products of integer vectors that are given as doubles."""
+
+    def __init__(self, queries: np.ndarray, rows: np.ndarray) -> None:
+        reach = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(1, queries.shape[1])
+        self.kind = np.float64 if reach < 1 << 53 else np.int64 if reach < 1 << 62 else object
+        self.q, self.r = (self._of(x) for x in (queries, rows))
+
+    def _of(self, x: np.ndarray) -> np.ndarray:
+        if self.kind is object:
+            return np.array([[int(v) for v in row] for row in x.tolist()], dtype=object).reshape(x.shape)
+        return x.astype(self.kind)
+
+    def between(self, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        found = self.q[queries] @ self.r[rows].T
+        long = np.iinfo(np.int64)
+        return np.minimum(np.maximum(found, long.min), long.max).astype(np.int64) if self.kind is object else found
+
+
 class DualSearch:
     """The k best rows of ``rows`` for each query; the row at ``skip`` (its own, or -1) takes no part."""
 
     def __init__(self, queries: np.ndarray, rows: np.ndarray, k: int, skip: np.ndarray) -> None:
-        self.q, self.r, self.k, self.skip = CoverTree(queries, leaf=2), CoverTree(rows), k, skip
-        #: keys are score * n - row number, so that the larger key is the better row
-        self.n = len(rows) + 1
-        self.best = np.full((len(queries), k), np.iinfo(np.int64).min, np.int64)
+        (q, _), (r, _) = _scaled(queries), _scaled(rows)
+        self.q, self.r, self.k, self.skip = CoverTree(q, leaf=2), CoverTree(r), k, skip
+        self.products = Products(queries, rows)
+        #: of each query's best rows, best first: row (-1: none yet) and exact score
+        self.row = np.full((len(queries), k), -1, np.int64)
+        self.score = np.zeros((len(queries), k), np.float64 if self.products.kind is np.float64 else np.int64)
+        #: a k-th scaled score that is known to be reached
         self.floor = np.full(len(queries), -np.inf)
-        self.tried = 0
+        self.bounded = self.tried = 0
 
-    def run(self) -> np.ndarray:
-        """Keys, best first."""
+    def run(self) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and scores of each query, best first; -1 where there are fewer rows than k."""
         if len(self.q.x) and len(self.r.x):
             self._seed()
             self._visit(np.zeros(1, np.int64), np.zeros(1, np.int64))
-        return -np.sort(-self.best, axis=1)
+        return self.row, self.score
 
     def _seed(self) -> None:
         """A floor for each query's k-th score: that among the centres of the topmost row nodes, which are rows."""
@@ -116,25 +150,26 @@ class DualSearch:
             top += [] if children is None else children.tolist()
             at += 1
         rows = np.unique(self.r.centre_at[top])
-        if len(rows) <= self.k:
+        if len(rows) <= self.k or self.products.kind is object:
             return
         for start in range(0, len(self.q.x), 1024):
             own = slice(start, start + 1024)
             score = self.q.x[own] @ self.r.x[rows].T
+            self.tried += score.size
             score[rows[None] == self.skip[own][:, None]] = -np.inf
             self.floor[own] = np.partition(score, len(rows) - self.k, axis=1)[:, -self.k]
 
     def _worst(self, queries: np.ndarray) -> np.ndarray:
-        low = self.best[queries].min(axis=1)
-        return np.maximum(self.floor[queries], np.where(low == np.iinfo(np.int64).min, -np.inf, np.ceil(low / self.n)))
+        return self.floor[queries]
 
     def _bounds(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Largest inner product that the node pairs can have, by query node and row node."""
         q, r = self.q, self.r
+        self.bounded += len(a) * len(b)
         dot = q.x[q.centre_at[a]] @ r.x[r.centre_at[b]].T
         qr, rr, qn, rn = q.radius_at[a][:, None], r.radius_at[b][None], q.norm_at[a][:, None], r.norm_at[b][None]
         bound = dot + qr * rn + rr * qn + qr * rr
-        return bound + 1e-9 * (qn + qr) * (rn + rr) + 1e-6
+        return bound + 1e-9 * ((qn + qr) * (rn + rr) + 1)
 
     def _visit(self, a: np.ndarray, b: np.ndarray) -> None:
         """Search query nodes a, side by side, in row nodes b."""
@@ -211,10 +246,26 @@ class DualSearch:
 
     def _compare(self, queries: np.ndarray, rows: np.ndarray) -> None:
         self.tried += len(queries) * len(rows)
-        keys = np.rint(self.q.x[queries] @ self.r.x[rows].T).astype(np.int64) * self.n - rows[None]
-        keys[rows[None] == self.skip[queries][:, None]] = np.iinfo(np.int64).min
-        both = np.concatenate([self.best[queries], keys], axis=1)
-        self.best[queries] = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :]
+        score = np.concatenate([self.score[queries], self.products.between(queries, rows)], axis=1)
+        row = np.concatenate([self.row[queries], np.broadcast_to(rows, (len(queries), len(rows)))], axis=1)
+        some = (row >= 0) & (row != self.skip[queries][:, None])
+        # all that reach the k-th score, ties included, are put in order
+        if row.shape[1] > self.k:
+            least = -np.inf if score.dtype == np.float64 else np.iinfo(np.int64).min
+            edge = np.partition(np.where(some, score, least), row.shape[1] - self.k, axis=1)[:, -self.k]
+            some &= score >= edge[:, None]
+        a, j = np.nonzero(some)
+        score, row = score[a, j], row[a, j]
+        order = np.lexsort((row, -np.maximum(score, -np.iinfo(np.int64).max), a))
+        a, score, row = a[order], score[order], row[order]
+        place = np.arange(len(a)) - np.searchsorted(a, a)
+        kept = place < self.k
+        a, score, row, place = a[kept], score[kept], row[kept], place[kept]
+        self.row[queries], self.row[queries[a], place], self.score[queries[a], place] = -1, row, score
+        full = queries[a[place == self.k - 1]]
+        if self.products.kind is not object:
+            reached = np.einsum("ij,ij->i", self.q.x[full], self.r.x[self.row[full, -1]])
+            self.floor[full] = np.maximum(self.floor[full], reached)
 
 
 def top_k(k: int):
@@ -222,12 +273,9 @@ def top_k(k: int):
 
     def kernel(qi: np.ndarray, qv: np.ndarray, ri: np.ndarray, rv: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(ri, qi), len(ri) - 1)
-        found = DualSearch(qv, rv, k, np.where(ri[at] == qi, at, -1))
-        keys = found.run()
-        a, j = np.nonzero(keys > np.iinfo(np.int64).min)
-        key = keys[a, j]
-        score = -(-key // found.n)
-        return a, score * found.n - key, score
+        rows, scores = DualSearch(qv, rv, k, np.where(ri[at] == qi, at, -1)).run()
+        a, j = np.nonzero(rows >= 0)
+        return a, rows[a, j], scores[a, j].astype(np.int64)
 
     return kernel
 
@@ -238,5 +286,6 @@ def exact_top_k(rows: DataFrame, *, k: int = 5, every: int = 50, scale: int = 25
     A table without queries or with a single row gives no rows; fewer than k other rows give as many ranks.
     """
     found = vectors(rows, vec_id=vec_id, embedding=embedding)
-    whole = found.select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
+    floor = lambda x: F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x)  # noqa: E731 beyond it all doubles are whole
+    whole = found.select("vec_id", F.transform("v", lambda x: floor(x * scale)).alias("v"))
     return search(whole.where(F.col("vec_id") % every == 0), whole, top_k(k), k, score="long")

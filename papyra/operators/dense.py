@@ -1,62 +1,26 @@
-"""Exact nearest neighbours by cosine or inner product, in blocks.
+"""Exact nearest neighbours by cosine or inner product.
 
-Queries and rows are dealt into blocks of bounded size; each pair of blocks is one matrix product in a task of its
-own that keeps k rows per query.  No side is broadcast or collected, and no pair of vectors becomes a row.
+All pairs are compared, by nature: matrix products of blocks (:mod:`papyra.operators.blocks`).  A query set of bounded size
+goes to the rows, which then don't move.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-BLOCK = 8192
+from papyra.operators import blocks
 
 
-def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    table = table.sort_by("id").combine_chunks()
-    lengths = pc.list_value_length(table.column("v")).to_numpy()
-    width = int(lengths.max()) if len(lengths) else 1
-    flat = np.concatenate([c.values.to_numpy(zero_copy_only=False)[c.offsets[0].as_py() : c.offsets[-1].as_py()] for c in table.column("v").chunks]) if len(lengths) else np.zeros(0)
-    return table.column("id").to_numpy(), flat.reshape(-1, width).astype(np.float64)
+def nearest(queries: DataFrame, rows: DataFrame, k: int, *, cosine: bool = True, digits: int = 6, row_block: int = blocks.ROW_BLOCK, few: int = blocks.FEW) -> DataFrame:
+    """``query_id, id, score, rank`` from ``queries(id, v)`` and ``rows(id, v)``, ids unique; ties by id after rounding.
 
-
-def nearest(queries: DataFrame, rows: DataFrame, k: int, *, cosine: bool = True, digits: int = 6, block: int = BLOCK) -> DataFrame:
-    """``query_id, id, score, rank`` from ``queries(id, v)`` and ``rows(id, v)``; ties by id after rounding.
-
-    Rows whose vector is null don't take part; all vectors have one length.
+    Rows whose id or vector is null, or whose vector is empty or has a null or NaN, don't take part; vectors of different
+    length don't meet.
     """
-    queries, rows = (d.where("id is not null and v is not null and size(v) > 0").select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")) for d in (queries, rows))
-    n_q, n_r = (max(1, -(-d.count() // block)) for d in (queries, rows))
-    at = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.withColumn("qb", at(n_q)).withColumn("rb", every(n_r))
-    right = rows.withColumn("rb", at(n_r)).withColumn("qb", every(n_q))
-
-    def meet(q: pa.Table, r: pa.Table) -> pa.Table:
-        (qi, qv), (ri, rv) = _unpack(q.select(["id", "v"])), _unpack(r.select(["id", "v"]))
-        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
-        if len(qi) and len(ri):
-            if cosine:
-                qv, rv = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (qv, rv))
-            for start in range(0, len(qi), 512):
-                score = np.round(qv[start : start + 512] @ rv.T, digits) + 0.0
-                edge = np.partition(score, max(0, len(ri) - k), axis=1)[:, max(0, len(ri) - k)]
-                a, b = np.nonzero(score >= edge[:, None])
-                order = np.lexsort((ri[b], -score[a, b], a))
-                a, b = a[order], b[order]
-                keep = np.arange(len(a)) - np.searchsorted(a, a, side="left") < k
-                a, b = a[keep], b[keep]
-                for o, x in zip(out, (qi[start + a], ri[b], score[a, b]), strict=True):
-                    o.append(x)
-        return pa.table({n: np.concatenate(x) for n, x in zip(("query_id", "id", "score"), out, strict=True)})
-
-    met = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(meet, "query_id long, id long, score double")
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return met.withColumn("rank", order).where(F.col("rank") <= k)
+    sound = "id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x))"
+    queries, rows = (d.where(sound).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")) for d in (queries, rows))
+    return blocks.search(queries, rows, blocks.products(k, cosine=cosine, digits=digits), k, row_block=row_block, few=few)
 
 
 def self_check(rows: DataFrame) -> DataFrame:

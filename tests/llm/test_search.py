@@ -69,13 +69,40 @@ def test_tree_covers_and_prunes(small, monkeypatch):
             assert sorted(np.concatenate([tree.points[k] for k in children])) == sorted(points)
     q = x[::40]
     found = cover_tree.DualSearch(q, x, 5, np.arange(0, len(x), 40))
-    keys = found.run()
-    assert found.tried < 0.6 * len(q) * len(x)
-    for row, own, mine in zip(keys, np.arange(0, len(x), 40), q, strict=True):
+    rows, scores = found.run()
+    # bounds and comparisons together stay below all pairs
+    assert found.tried + found.bounded < 0.6 * len(q) * len(x), (found.tried, found.bounded, len(q) * len(x))
+    for row, told, own, mine in zip(rows, scores, np.arange(0, len(x), 40), q, strict=True):
         score = x @ mine
         score[own] = -np.inf
         best = np.lexsort((np.arange(len(x)), -score))[:5]
-        assert row.tolist() == [int(score[b]) * found.n - int(b) for b in best]
+        assert row.tolist() == best.tolist() and told.tolist() == score[best].tolist()
+
+
+def near(x):
+    return max(-(1 << 63), min((1 << 63) - 1, x))  # the nearest long
+
+
+@pytest.mark.parametrize("size", [1 << 20, 1 << 26, 1 << 29, 1 << 40])
+def test_scores_of_any_size_are_exact(size):
+    rng = np.random.default_rng(size)
+    x = np.rint(rng.normal(size=(400, 6)) * size)
+    x[100:120] = x[0]  # ties go to the lesser row
+    rows, scores = cover_tree.DualSearch(x[::20], x, 5, np.arange(0, 400, 20)).run()
+    whole = [[int(v) for v in row] for row in x.tolist()]
+    for own, row, told in zip(range(0, 400, 20), rows, scores, strict=True):
+        exact = sorted((-near(sum(a * b for a, b in zip(whole[own], y, strict=True))), i) for i, y in enumerate(whole) if i != own)[:5]
+        assert row.tolist() == [i for _, i in exact] and [int(s) for s in told] == [-s for s, _ in exact]
+
+
+def test_large_components(spark):
+    rows = [(i, [float(10**k * (i % 7 - 3)), float(i)]) for k in (3, 8, 20, 30) for i in range(k * 100, k * 100 + 60)]
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in cover_tree.exact_top_k(vectors(spark, rows)).collect()}
+    x = {i: [int(np.floor(256 * float(np.float32(c)))) for c in v] for i, v in rows}
+    for q in x:
+        if q % 50 == 0:
+            best = sorted((-near(sum(a * b for a, b in zip(x[q], x[i], strict=True))), i) for i in x if i != q)[:5]
+            assert [got[q, r] for r in range(1, 6)] == [(i, -s) for s, i in best]
 
 
 def test_hadamard_and_axes():

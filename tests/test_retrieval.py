@@ -33,8 +33,9 @@ def test_dense_ties_and_nulls(spark):
     rows = spark.createDataFrame([(3, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (4, None), (None, [1.0, 1.0])], "id long, v array<double>")
     got = [(r.query_id, r.id, r.score, r["rank"]) for r in dense.nearest(rows.where("id = 3"), rows, 2).collect()]
     assert sorted(got) == [(3, 1, 1.0, 1), (3, 3, 1.0, 2)]
-    blocks = {(r.query_id, r.id, r["rank"]) for r in dense.nearest(rows, rows, 2, block=1).collect()}
-    assert blocks == {(r.query_id, r.id, r["rank"]) for r in dense.nearest(rows, rows, 2).collect()}
+    want = {(r.query_id, r.id, r["rank"]) for r in dense.nearest(rows, rows, 2).collect()}
+    for few in (0, 1000):  # queries dealt to blocks, and given to all tasks
+        assert want == {(r.query_id, r.id, r["rank"]) for r in dense.nearest(rows, rows, 2, row_block=1, few=few).collect()}
     assert {r.id: r.ok for r in dense.self_check(rows).collect()} == {1: True, 2: True, 3: False}
     assert dense.nearest(rows.limit(0), rows, 2).collect() == []
 
