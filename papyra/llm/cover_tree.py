@@ -9,7 +9,7 @@ for a matrix product are searched side by side, each with its own bounds.
 Trees and bounds are over vectors scaled to components of at most one, in double precision, with room for rounding.
 Scores are integers and exact: products of doubles where no sum can reach 2**53, else 64-bit integers, else Python's.
 Score and row are kept apart; ties go to the smaller id, and a bound equal to a k-th score isn't dropped.  A score that
-a long can't hold is the nearest long, and ranked as that; bounds then exclude nothing.  :mod:`papyra.llm.search` deals the tables into
+a long can't hold is the nearest long, and ranked as that; bounds then exclude nothing.  :mod:`papyra.operators.blocks` deals the tables into
 blocks.
 
 What is saved depends on the data: ``DualSearch.bounded`` counts evaluated bounds and ``tried`` compared pairs.  Where
@@ -25,6 +25,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyra.operators.blocks import Answer, Index
+
 from .search import search, vectors
 
 LEAF, GROUP, CENTRES, SEEDS = 24, 256, 256, 512
@@ -97,9 +99,8 @@ class CoverTree:
         return np.array(centres, np.int64), nearest, near
 
 
-def _scaled(x: np.ndarray) -> tuple[np.ndarray, float]:
-    most = float(np.abs(x).max(initial=0)) or 1.0
-    return x / most, most
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return x / (float(np.abs(x).max(initial=0)) or 1.0)
 
 
 class Products:
@@ -124,9 +125,9 @@ class Products:
 class DualSearch:
     """The k best rows of ``rows`` for each query; the row at ``skip`` (its own, or -1) takes no part."""
 
-    def __init__(self, queries: np.ndarray, rows: np.ndarray, k: int, skip: np.ndarray) -> None:
-        (q, _), (r, _) = _scaled(queries), _scaled(rows)
-        self.q, self.r, self.k, self.skip = CoverTree(q, leaf=2), CoverTree(r), k, skip
+    def __init__(self, queries: np.ndarray, rows: np.ndarray, k: int, skip: np.ndarray, tree: CoverTree | None = None) -> None:
+        """``tree``: that of the scaled rows, if it is there already."""
+        self.q, self.r, self.k, self.skip = CoverTree(_scaled(queries), leaf=2), tree or CoverTree(_scaled(rows)), k, skip
         self.products = Products(queries, rows)
         #: of each query's best rows, best first: row (-1: none yet) and exact score
         self.row = np.full((len(queries), k), -1, np.int64)
@@ -268,19 +269,24 @@ class DualSearch:
             self.floor[full] = np.maximum(self.floor[full], reached)
 
 
-def top_k(k: int):
-    """The kernel for :func:`papyra.llm.search.search`; row vectors are integers, row ids ascend."""
+def top_k(k: int) -> Index:
+    """A block's tree, to be met by a tree of each batch of queries; vectors are integers, ids ascend."""
+
+    def index(ri: np.ndarray, rv: np.ndarray) -> Answer:
+        tree = CoverTree(_scaled(rv))
+
+        def answer(qi: np.ndarray, qv: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            at = np.minimum(np.searchsorted(ri, qi), len(ri) - 1)
+            rows, scores = DualSearch(qv, rv, k, np.where(ri[at] == qi, at, -1), tree).run()
+            a, j = np.nonzero(rows >= 0)
+            return a, rows[a, j], scores[a, j].astype(np.int64)
 
-    def kernel(qi: np.ndarray, qv: np.ndarray, ri: np.ndarray, rv: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(ri, qi), len(ri) - 1)
-        rows, scores = DualSearch(qv, rv, k, np.where(ri[at] == qi, at, -1)).run()
-        a, j = np.nonzero(rows >= 0)
-        return a, rows[a, j], scores[a, j].astype(np.int64)
+        return answer
 
-    return kernel
+    return index
 
 
-def exact_top_k(rows: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def exact_top_k(rows: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256, vec_id: str = "vec_id", embedding: str = "embedding", **sizes: int) -> DataFrame:
     """``query_id, rank, vec_id, score`` over floor(scale * x): queries are the rows whose id ``every`` divides.
 
     A table without queries or with a single row gives no rows; fewer than k other rows give as many ranks.
@@ -288,4 +294,4 @@ def exact_top_k(rows: DataFrame, *, k: int = 5, every: int = 50, scale: int = 25
     found = vectors(rows, vec_id=vec_id, embedding=embedding)
     floor = lambda x: F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x)  # noqa: E731 beyond it all doubles are whole
     whole = found.select("vec_id", F.transform("v", lambda x: floor(x * scale)).alias("v"))
-    return search(whole.where(F.col("vec_id") % every == 0), whole, top_k(k), k, score="long")
+    return search(whole.where(F.col("vec_id") % every == 0), whole, top_k(k), k, score="long", **sizes)

@@ -1,17 +1,19 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-A table of the index turns unit vectors by a pseudo-rotation (three rounds of random signs and a fast Hadamard
-transform, in the next power of two of dimensions) and files each under the nearest signed axis.  A query probes,
-in every table, the ``probes`` axes nearest to it; rows filed there are its candidates, and the candidates are
-ranked by their exact inner products with the original vectors in double precision.
-
-``probes`` is fitted on a bounded sample (``fit_rows`` rows and ``fit_queries`` queries, by a hash of the id): it is
-the least number by which every query of the sample finds ``aim`` of its own true neighbours.  A sample is harder than the whole table, as
-its neighbours are farther away, so the recall on the whole is at least that, but for chance.  Every row is indexed,
-and every probed bucket is read in full: there is no cap on buckets or candidates.  The fitted number is where a query
-starts: its probes are doubled until its k best stay the same and are k, or all axes are probed, which is exact.
-
-:mod:`papyra.llm.search` deals rows into blocks, each with its own tables, so that a bucket which holds a third of
+A hash is the nearest signed axes of a unit vector after two pseudo-rotations (three rounds of random signs and a fast
+Hadamard transform each, in the next power of two of dimensions): a bucket of the index is a pair of axes.  In every
+table a query probes the ``probes`` buckets whose two axes are nearest to it together; the rows filed there are its
+candidates, ranked by their exact inner products with the original vectors in double precision.
+
+How many buckets a query probes is fitted on a bounded sample (``fit_rows`` rows and ``fit_queries`` queries, by a hash of
+the id), by how near its neighbours are (:func:`fit_probes`): so many that ``share`` of the sample's queries with about as
+near neighbours find ``aim`` of them.  A query starts with the least of these numbers and goes on while the neighbours found
+so far are too far away for it; a query whose neighbours are much farther than the sample knows, or that has found fewer than k,
+goes on to all buckets, which is exact.  Every row is indexed, every probed bucket is read in full: there is no cap on
+buckets or candidates.  The sample's neighbours are farther away than the whole table's, so that the recall on the whole is
+at least the sample's, but for chance.
+
+:mod:`papyra.operators.blocks` deals rows into blocks, each with its own tables, so that a bucket which holds a third of
 all rows is spread over all blocks.
 
 Defined results: null, zero and non-finite vectors take no part; repeated vectors are separate rows, ties go to the
@@ -20,41 +22,49 @@ smaller id; with fewer rows than asked for, the ranks end early; with no queries
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyra.operators.blocks import Answer, Index
+
 from .search import search, vectors
 
 SEED = 11
+#: Queries of the sample with about as near neighbours that are looked at together.
+ALIKE = 32
 
 
 class Rotations:
-    """``tables`` pseudo-rotations of vectors of ``length`` components."""
+    """``n`` pseudo-rotations of vectors of ``length`` components."""
 
-    def __init__(self, length: int, tables: int, seed: int = SEED) -> None:
+    def __init__(self, length: int, n: int, seed: int = SEED) -> None:
         self.size = 1 << max(1, (length - 1).bit_length())
         self.length = length
-        self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, 3, self.size))
+        self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (n, 3, self.size))
 
-    def turn(self, x: np.ndarray, table: int) -> np.ndarray:
+    def turn(self, x: np.ndarray, rotation: int) -> np.ndarray:
         y = np.zeros((len(x), self.size))
         y[:, : self.length] = x
-        for signs in self.signs[table]:
+        for signs in self.signs[rotation]:
             y = hadamard(y * signs)
         return y
 
-    def axes(self, x: np.ndarray, table: int) -> np.ndarray:
-        """Number of the nearest signed axis: 2 * axis, one more if negative."""
-        y = self.turn(x, table)
-        at = np.abs(y).argmax(axis=1)
-        return 2 * at + (y[np.arange(len(x)), at] < 0)
+    def near(self, x: np.ndarray, rotation: int) -> np.ndarray:
+        """How near each signed axis is to each vector: axis i is 2 * i, one more if negative."""
+        y = self.turn(x, rotation)
+        return np.stack([y, -y], axis=2).reshape(len(x), -1)
 
-    def ranked(self, x: np.ndarray, table: int, most: int) -> np.ndarray:
-        """The ``most`` nearest signed axes of each vector, nearest first."""
-        y = self.turn(x, table)
-        both = np.stack([y, -y], axis=2).reshape(len(x), -1)
-        return np.argsort(-both, axis=1, kind="stable")[:, :most]
+    def buckets(self, x: np.ndarray, table: int) -> np.ndarray:
+        """The bucket of each vector: its nearest axis in two rotations."""
+        first, second = (self.near(x, 2 * table + k).argmax(axis=1) for k in (0, 1))
+        return first * 2 * self.size + second
+
+    @property
+    def n_buckets(self) -> int:
+        return 4 * self.size * self.size
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -67,6 +77,38 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def probed(first: np.ndarray, second: np.ndarray, probes: int) -> np.ndarray:
+    """For each query the ``probes`` buckets of largest sum of nearness; both: (query, axis).
+
+    The bucket of a query's i-th and j-th nearest axes has (i + 1)(j + 1) - 1 before it, so that few pairs come into question.
+    """
+    axes = first.shape[1]
+    i, j = np.nonzero(np.arange(1, axes + 1)[:, None] * np.arange(1, axes + 1)[None] <= probes)
+    a, b = np.argsort(-first, axis=1, kind="stable"), np.argsort(-second, axis=1, kind="stable")
+    rows = np.arange(len(first))[:, None]
+    sums = first[rows, a][:, i] + second[rows, b][:, j]
+    best = np.argpartition(-sums, probes - 1, axis=1)[:, :probes] if probes < len(i) else np.broadcast_to(np.arange(len(i)), sums.shape)
+    return a[rows, i[best]] * axes + b[rows, j[best]]
+
+
+@dataclass
+class Probes:
+    """Probes that a query needs by its k-th best score over its own length: ``number[i]`` down to ``least[i]``; all buckets below the last.
+
+    A query that has found its share ``aim`` of the k has as many at its true k-th score or above; so it looks at the worst
+    of that many.  What it has found can only be less than what there is, which asks for more probes, never for fewer.
+    """
+
+    aim: float = 1.0
+
+    least: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    number: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+
+    def needed(self, near: np.ndarray, all_: int) -> np.ndarray:
+        at = np.searchsorted(-self.least, -near)
+        return np.append(self.number, all_)[at]
+
+
 def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Inner products summed in one order for all rows, so that equal vectors get equal scores."""
     return (x * q).sum(axis=1)
@@ -84,58 +126,98 @@ def nearest(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.n
     return close[order], score[order]
 
 
-def kernel(k: int, tables: int, probes: int):
-    """Tables over the block's rows, probes for its queries, exact ranking of what they collect."""
+class Tables:
+    """The index of one block: rows by bucket, in every table."""
 
-    def run(qi: np.ndarray, qv: np.ndarray, ri: np.ndarray, rv: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        turns = Rotations(rv.shape[1], tables)
-        buckets = []
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, k: int, tables: int, probes: Probes) -> None:
+        self.ids, self.rows, self.k, self.probes = ids, rows, k, probes
+        self.enough = int(np.ceil(probes.aim * k)) - 1
+        self.turns = Rotations(rows.shape[1], 2 * tables)
+        self.filed = []
         for t in range(tables):
-            axes = turns.axes(rv, t)
-            buckets.append((np.argsort(axes, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(axes, minlength=2 * turns.size))])))
+            bucket = self.turns.buckets(rows, t)
+            self.filed.append((np.argsort(bucket, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=self.turns.n_buckets))])))
+        #: candidates compared so far, for tests and figures
+        self.compared = 0
+
+    def _collect(self, q: np.ndarray, probes: int) -> np.ndarray:
+        """(query, row): whether the row is filed where the query probes."""
+        hit = np.zeros((len(q), len(self.ids)), bool)
+        if probes >= self.turns.n_buckets:
+            hit[:] = True
+            return hit
+        for t, (order, first) in enumerate(self.filed):
+            bucket = probed(self.turns.near(q, 2 * t), self.turns.near(q, 2 * t + 1), probes)
+            size = (first[bucket + 1] - first[bucket]).ravel()
+            nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            hit[np.repeat(np.repeat(np.arange(len(q)), bucket.shape[1]), size), order[np.repeat(first[bucket].ravel(), size) + nth]] = True
+        return hit
+
+    def answer(self, qi: np.ndarray, qv: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        everything = self.turns.n_buckets
         for start in range(0, len(qi), 128):
-            q = qv[start : start + 128]
-            hit = np.zeros((len(q), len(ri)), bool)
-            ranked = [turns.ranked(q, t, 2 * turns.size) for t in range(tables)]
-            best: list[np.ndarray | None] = [None] * len(q)
-            done, most, active = 0, probes, np.arange(len(q))
+            q, own = qv[start : start + 128], qi[start : start + 128]
+            probes = int(self.probes.number.min(initial=everything))
+            active, seen = np.arange(len(q)), np.zeros((len(q), len(self.ids)), bool)
+            seen[np.arange(len(q)), np.minimum(np.searchsorted(self.ids, own), len(self.ids) - 1)] = np.isin(own, self.ids)
+            best: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
             while len(active):
-                for order, (rows, first) in zip(ranked, buckets, strict=True):
-                    probed = order[active, done:most]
-                    size = (first[probed + 1] - first[probed]).ravel()
-                    which = np.repeat(np.repeat(active, probed.shape[1]), size)
-                    nth = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
-                    hit[which, rows[np.repeat(first[probed].ravel(), size) + nth]] = True
-                wider = []
-                for i in active:
-                    own = np.flatnonzero(hit[i])
-                    own = own[ri[own] != qi[start + i]]
-                    at, score = nearest(ri[own], rv[own], q[i], k)
-                    if most < 2 * turns.size and (len(at) < k or best[i] is None or (best[i] != own[at]).any()):
-                        best[i] = own[at] if len(at) == k else None
-                        wider.append(i)
-                        continue
-                    for out, value in zip(found, (np.full(len(at), start + i), own[at], score), strict=True):
+                hit = self._collect(q[active], probes)
+                more = np.zeros(len(active), np.int64)
+                for n, i in enumerate(active):
+                    fresh = np.flatnonzero(hit[n] & ~seen[i])
+                    self.compared += len(fresh)
+                    some = np.concatenate([best[i], fresh])  # the best so far and what is new
+                    at, score = nearest(self.ids[some], self.rows[some], q[i], self.k)
+                    best[i] = some[at]
+                    if probes < everything:
+                        more[n] = everything if len(at) < self.k else int(self.probes.needed(score[[self.enough]] / np.linalg.norm(q[i]), everything)[0])
+                        if more[n] > probes:
+                            continue
+                        more[n] = 0
+                    for out, value in zip(found, (np.full(len(at), start + i), best[i], score), strict=True):
                         out.append(value)
-                done, most, active = most, 2 * most, np.array(wider, np.int64)
+                seen[active] |= hit
+                active, probes = active[more > 0], int(more[more > 0].min(initial=everything))
         return tuple(np.concatenate(x) for x in found)
 
-    return run
+
+def index(k: int, tables: int, probes: dict[int, Probes]) -> Index:
+    """Tables over a block's rows, by the probes fitted for vectors of their length."""
+
+    def build(ids: np.ndarray, rows: np.ndarray) -> Answer:
+        return Tables(ids, rows, k, tables, probes.get(rows.shape[1], Probes())).answer
+
+    return build
 
 
-def fit_probes(x: np.ndarray, q: np.ndarray, k: int, tables: int, aim: float) -> int:
-    """The least number of probes by which ``tables`` tables find, for each q, ``aim`` of its true k nearest in x; each q is of x."""
-    if len(x) < 2 or not len(q):
-        return 1
-    turns = Rotations(x.shape[1], tables)
-    score = q @ x.T
-    true = np.argsort(-score, axis=1)[:, 1 : k + 1]  # the first is the query itself or a copy
-    best = np.full(true.shape, 2 * turns.size)
+def fit_probes(x: np.ndarray, n_queries: int, k: int, tables: int, aim: float, share: float) -> Probes:
+    """Probes by the k-th score, from the first ``n_queries`` rows of x and their true k nearest among its other rows."""
+    n_queries = min(n_queries, len(x))
+    if len(x) < 2:
+        return Probes()
+    turns = Rotations(x.shape[1], 2 * tables)
+    score = x[:n_queries] @ x.T
+    score[np.arange(n_queries), np.arange(n_queries)] = -np.inf  # the query itself, wherever it ranks
+    true = np.argsort(-score, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    near = score[np.arange(n_queries), true[:, -1]] / np.linalg.norm(x[:n_queries], axis=1)
+    best = np.full(true.shape, turns.n_buckets)
+    axes = 2 * turns.size
     for t in range(tables):
-        place = np.argsort(turns.ranked(q, t, 2 * turns.size), axis=1)  # axis -> its rank for the query
-        best = np.minimum(best, np.take_along_axis(place, turns.axes(x, t)[true], axis=1))
-    return int(np.sort(best, axis=1)[:, int(np.ceil(aim * best.shape[1])) - 1].max()) + 1
+        first, second = turns.near(x[:n_queries], 2 * t), turns.near(x[:n_queries], 2 * t + 1)
+        bucket = turns.buckets(x, t)[true]
+        reached = np.take_along_axis(first, bucket // axes, axis=1) + np.take_along_axis(second, bucket % axes, axis=1)
+        for i in range(n_queries):
+            sums = np.sort((first[i][:, None] + second[i][None]).ravel())
+            best[i] = np.minimum(best[i], len(sums) - np.searchsorted(sums, reached[i] - 1e-9 * np.abs(sums[[0, -1]]).max()))
+    needs = np.sort(best, axis=1)[:, int(np.ceil(aim * best.shape[1])) - 1]
+    order = np.argsort(-near, kind="stable")  # nearest neighbours first
+    needs, near = needs[order], near[order]
+    around = [needs[max(0, i - ALIKE // 2) : i + ALIKE // 2] for i in range(n_queries)]
+    number = np.maximum.accumulate([int(np.sort(a)[int(np.ceil(share * len(a))) - 1]) for a in around])
+    # farther than any by no more than they differ: twice the most probes; farther still, all buckets
+    return Probes(aim, np.append(near, 2 * near[-1] - near[0]) - 1e-9, np.append(number, min(2 * number[-1], turns.n_buckets)))
 
 
 def approximate(
@@ -143,18 +225,20 @@ def approximate(
     *,
     k: int = 20,
     every: int = 20,
-    tables: int = 8,
-    aim: float = 0.97,
+    tables: int = 16,
+    aim: float = 0.9,
+    share: float = 0.9,
     fit_rows: int = 8192,
-    fit_queries: int = 128,
+    fit_queries: int = 256,
     vec_id: str = "vec_id",
     embedding: str = "embedding",
+    **sizes: int,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the nearest found for the rows whose id ``every`` divides."""
     sound = vectors(rows, vec_id=vec_id, embedding=embedding).where(F.exists("v", lambda x: x != 0))
     sample = sound.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).collect()  # fit_rows vectors at most
-    probes = 1
+    probes = {}
     for length in sorted({len(r["v"]) for r in sample}):
         x = np.array([r["v"] for r in sample if len(r["v"]) == length])
-        probes = max(probes, fit_probes(x, x[:fit_queries], k, tables, aim))
-    return search(sound.where(F.col("vec_id") % every == 0), sound, kernel(k, tables, probes), k)
+        probes[length] = fit_probes(x, fit_queries, k, tables, aim, share)
+    return search(sound.where(F.col("vec_id") % every == 0), sound, index(k, tables, probes), k, **sizes)

@@ -1,9 +1,4 @@
-"""Searches of a query set against all rows, block by block.
-
-Rows and queries are dealt into blocks of bounded size by a hash of the id; every query block meets every row block
-in a task of its own, where a kernel finds the block's best rows for each query.  The blocks' results are merged by
-a ranked window that prunes to k rows before its exchange.  Nothing but two counts comes to the driver, no query set
-is broadcast, and a task holds one block of each side, whatever the tables' sizes.
+"""Searches of a query set against all rows of a table of vectors (see :mod:`papyra.operators.blocks`).
 
 Which rows take part: those with an id, and a vector without null or non-finite components (:func:`vectors`); of
 rows that share an id, the one with the least vector.  Vectors of different length are never compared.
@@ -11,55 +6,28 @@ rows that share an id, the one with the least vector.  Vectors of different leng
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-QUERY_BLOCK, ROW_BLOCK = 4096, 8192
-#: (query ids, query vectors, row ids, row vectors) -> (query number, row number, score) of each query's best rows
-Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+from papyra.operators import blocks
+
+from .common import checkpointed
 
 
 def vectors(rows: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """``vec_id long, v array<double>``: one row for each id that takes part."""
+    """``vec_id long, v array<double>``: one row for each id that takes part.
+
+    Ids are counted first; only if some repeat do vectors move, once, to be compared.
+    """
     v = rows[embedding].cast("array<double>")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     kept = rows.select(rows[vec_id].cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False)) & (F.size("v") > 0))
-    return kept.groupBy("vec_id").agg(F.min("v").alias("v"))
+    n, ids = kept.agg(F.count("vec_id"), F.count_distinct("vec_id")).first()
+    return kept if n == ids else checkpointed(kept.groupBy("vec_id").agg(F.min("v").alias("v")))
 
 
-def matrix(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids, ascending, and vectors of the rows whose vectors have that length."""
-    own = table.filter(pa.compute.equal(pa.compute.list_value_length(table.column("v")), length)).sort_by("id").combine_chunks()
-    flat = pa.compute.list_flatten(own.column("v")).to_numpy()
-    return own.column("id").to_numpy(), np.ascontiguousarray(flat.reshape(-1, length), dtype=np.float64)
-
-
-def search(queries: DataFrame, rows: DataFrame, kernel: Kernel, k: int, *, score: str = "double", query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
+def search(queries: DataFrame, rows: DataFrame, index: blocks.Index, k: int, *, score: str = "double", row_block: int = blocks.ROW_BLOCK, few: int = blocks.FEW) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's k best rows, ties to the smaller id; both sides ``(vec_id, v)``."""
-    n_q = max(1, -(-queries.count() // query_block))
-    n_r = max(1, -(-rows.count() // row_block))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(F.col("vec_id").alias("id"), "v", block(n_q).alias("qb"), every(n_r).alias("rb"))
-    right = rows.select(F.col("vec_id").alias("id"), "v", block(n_r).alias("rb"), every(n_q).alias("qb"))
-
-    def meet(q: pa.Table, r: pa.Table) -> pa.Table:
-        found: list[list[np.ndarray]] = [[], [], []]
-        for length in sorted(set(pa.compute.list_value_length(q.column("v")).to_pylist())):
-            qi, qv = matrix(q, length)
-            ri, rv = matrix(r, length)
-            if len(qi) and len(ri):
-                a, b, s = kernel(qi, qv, ri, rv)
-                for out, x in zip(found, (qi[a], ri[b], s), strict=True):
-                    out.append(x)
-        ids, others, scores = (np.concatenate(x) if x else np.zeros(0) for x in found)
-        return pa.table({"query_id": pa.array(ids, pa.int64()), "vec_id": pa.array(others, pa.int64()), "score": pa.array(scores, pa.int64() if score == "long" else pa.float64())})
-
-    met = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(meet, f"query_id long, vec_id long, score {score}")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    q, r = (d.withColumnRenamed("vec_id", "id") for d in (queries, rows))
+    found = blocks.search(q, r, index, k, score=score, row_block=row_block, few=few)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")

@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 
 from papyra.llm import cover_tree, cross_polytope
-from papyra.llm import search as S
 from papyra.llm.queries import op3_cover_tree, op9_cross_polytope
 
 
@@ -46,12 +45,9 @@ def test_exact_top_k(spark):
 
 def test_blocks_change_nothing(spark):
     rows = odd_rows(random.Random(2), 120, 4)
-    v = S.vectors(vectors(spark, rows))
-    from pyspark.sql import functions as F
-
-    whole = v.select("vec_id", F.transform("v", lambda x: F.floor(x * 256).cast("double")).alias("v"))
-    got = {tuple(r) for r in S.search(whole.where("vec_id % 5 = 0"), whole, cover_tree.top_k(5), 5, score="long", query_block=7, row_block=25).collect()}
-    assert got == {(q, r, i, int(s)) for q, r, i, s in brute(rows, 5, 5, 256)}
+    for few in (0, 1000):  # queries dealt to blocks, and given to all tasks
+        got = {tuple(r) for r in cover_tree.exact_top_k(vectors(spark, rows), every=5, row_block=25, few=few).collect()}
+        assert got == {(q, r, i, int(s)) for q, r, i, s in brute(rows, 5, 5, 256)}
 
 
 @pytest.mark.parametrize("small", [True, False])
@@ -109,11 +105,16 @@ def test_hadamard_and_axes():
     x = np.eye(8)
     h = cross_polytope.hadamard(x)
     assert (h @ h.T == 8 * np.eye(8)).all()
-    turns = cross_polytope.Rotations(5, 2)
+    turns = cross_polytope.Rotations(5, 4)
     v = np.random.default_rng(1).normal(size=(30, 5))
     assert np.allclose(np.linalg.norm(turns.turn(v, 1), axis=1), np.linalg.norm(v, axis=1) * 8**1.5)
-    assert (turns.axes(v, 0) == turns.ranked(v, 0, 16)[:, 0]).all()
-    assert turns.axes(-v, 0).tolist() == (turns.axes(v, 0) ^ 1).tolist()
+    first, second = turns.near(v, 0), turns.near(v, 1)
+    assert (turns.buckets(v, 0) == cross_polytope.probed(first, second, 1)[:, 0]).all()
+    assert (turns.buckets(-v, 0) == ((turns.buckets(v, 0) // 16) ^ 1) * 16 + ((turns.buckets(v, 0) % 16) ^ 1)).all()
+    sums = first[:, :, None] + second[:, None, :]
+    for n in (1, 7, 100, 256):
+        for i, own in enumerate(cross_polytope.probed(first, second, n)):
+            assert len(set(own.tolist())) == n and sums[i].ravel()[own].min() >= np.sort(sums[i].ravel())[-n] - 1e-9
 
 
 def test_approximate(spark):
@@ -125,7 +126,7 @@ def test_approximate(spark):
     assert len({(q, i) for q, _, i, _ in got} & {(q, i) for q, _, i, _ in want}) >= 0.9 * len(want)
     assert cross_polytope.approximate(vectors(spark, rows).limit(0)).collect() == []
     two = [(0, [1.0, 0.0]), (20, [1.0, 0.0])]
-    assert sorted(tuple(r) for r in cross_polytope.approximate(vectors(spark, two), aim=1.0).collect()) == [(0, 1, 20, 1.0), (20, 1, 0, 1.0)]
+    assert sorted(tuple(r) for r in cross_polytope.approximate(vectors(spark, two)).collect()) == [(0, 1, 20, 1.0), (20, 1, 0, 1.0)]
 
 
 def test_no_query_is_left_out(spark):
@@ -142,6 +143,26 @@ def test_no_query_is_left_out(spark):
     assert min(found.values()) >= 10 and sum(found.values()) >= 0.9 * len(lone)
 
 
+@pytest.mark.parametrize("lengths", ["alike", "differ"])
+def test_fit_and_candidates(lengths):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 64)) + np.repeat(2 * rng.normal(size=(100, 64)), 40, axis=0) * (rng.random((4000, 1)) < 0.7)
+    if lengths == "differ":
+        x *= rng.uniform(0.1, 3, (4000, 1))  # the largest inner product is no longer one's own
+    probes = cross_polytope.fit_probes(x[:2000], 128, 20, 16, 0.9, 0.75)
+    assert (np.diff(probes.number) >= 0).all() and probes.needed(np.array([-1e9]), 9)[0] == 9
+    tables = cross_polytope.Tables(np.arange(4000), x, 20, 16, probes)
+    q = np.arange(0, 4000, 40)
+    a, b, s = tables.answer(q, x[q])
+    score = x[q] @ x.T
+    score[np.arange(len(q)), q] = -np.inf
+    least = np.sort(score, axis=1)[:, -20]
+    assert np.allclose(s, (x[q][a] * x[b]).sum(axis=1)) and np.bincount(a).tolist() == [20] * len(q)
+    assert (s >= least[a] - 1e-9).mean() >= 0.9
+    if lengths == "alike":
+        assert tables.compared < 0.3 * len(q) * 4000
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.1"])
 def test_recall_of_the_query(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
