@@ -61,6 +61,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines of the cluster share; a temporary one only where none is named."""
+    """The folder that all machines of the cluster share; where none is named, a temporary one, but only if there is one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return named or tempfile.mkdtemp(prefix="papyra-")

@@ -14,7 +14,8 @@ Fitting takes a bounded sample (``max_rows`` rows by a hash of the id, none long
 covers every row and the whole text, in one scan without a shuffle.
 
 Defined results: ``und`` with score 0 for a null text or one without letters, or if nothing could be learned; ties
-go to the language first in alphabetical order; rows with a null language are never learned from.
+go to the language first in alphabetical order; rows with a null language are never learned from; of rows that share
+an id the least text is.
 """
 
 from __future__ import annotations
@@ -203,7 +204,7 @@ def sample(docs: DataFrame, *, max_rows: int = 3000, max_chars: int = 5_000) ->
     """Texts and languages to learn from; held-out rows never take part."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 1) & (F.length("text") <= max_chars))
     chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # max_rows ids: broadcast below
-    rows = known.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    rows = known.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("m")).select("doc_id", "m.text", "m.lang").toPandas().sort_values("doc_id")
     return rows["text"].tolist(), rows["lang"].tolist()
 
 
@@ -212,8 +213,8 @@ def fit(docs: DataFrame, **bounds: int) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """docs with ``lang_pred`` and ``score`` (columns of those names are replaced)."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    """docs with ``lang_pred`` and ``score`` (columns of those names, in any case, are replaced)."""
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     names = [f"c{i}" for i in range(len(kept))]
     at = names[kept.index(text)]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -1,8 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-A document's features are its words, its pairs of neighbouring words (two equal neighbours are one feature of
-their own, whatever the word) and the character n-grams of its words, with boundary marks; all are hashed to a
-bounded table of learned vectors.  Their average goes to a softmax layer; vectors and layer are trained together by
+A document's features are its words, its pairs of neighbouring words and the character n-grams of its words, with
+boundary marks; all are hashed to a bounded table of learned vectors.  Their average goes to a softmax layer; vectors and layer are trained together by
 stochastic gradient descent in numpy.
 
 Fitting takes a bounded sample of labelled rows (``max_rows`` of them by a hash of the id, none longer than
@@ -11,8 +10,8 @@ covers every row and the whole of each text.  As average and softmax follow each
 per hash bucket; that table (``buckets`` floats) is all that goes to the executors.  There is no shuffle.
 
 Defined results: a null text scores as an empty one, which gets the share of good rows in the sample; labels that
-are null don't count, and an id labelled both ways counts by its mean (0.5: good); without any labelled row all
-scores are 0.5.
+are null don't count, and an id labelled both ways counts by its mean (0.5: good); of rows that share an id the least
+text is learned from; without any labelled row all scores are 0.5.
 """
 
 from __future__ import annotations
@@ -41,7 +40,7 @@ def features(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
         w = hashes[0]
         near = p.doc[1:] == p.doc[:-1]
         with np.errstate(over="ignore"):
-            pair = np.where(w[1:] == w[:-1], np.uint64(1), mixed(w[:-1] * np.uint64(3) + w[1:]))
+            pair = mixed(w[:-1] * np.uint64(3) + w[1:])
         docs.append(p.doc[1:][near])
         hashes.append(pair[near])
     for _, at, h in grams(p, GRAMS):
@@ -108,14 +107,14 @@ def sample(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_ro
     marked = marked.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # max_rows small rows: broadcast below
     texts = docs.select("doc_id", F.coalesce(docs["text"].cast("string"), F.lit("")).alias("t")).where(F.length("t") <= max_chars)
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "t", "y").dropDuplicates(["doc_id"]).toPandas()
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("t", "y")).alias("m")).select("doc_id", "m.t", "m.y").toPandas()
     rows = rows.sort_values("doc_id")
     return rows["t"].tolist(), rows["y"].tolist()
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", column: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1 for the whole of each text (double; a column of that name is replaced)."""
-    kept = [c for c in docs.columns if c != column]
+    """docs with a score from 0 to 1 for the whole of each text (double; a column of that name, in any case, is replaced)."""
+    kept = [c for c in docs.columns if c.lower() != column.lower()]
     names = [f"c{i}" for i in range(len(kept))]
     at = names[kept.index(text)]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(column, T.DoubleType())])

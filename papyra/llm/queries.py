@@ -50,10 +50,10 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight arrivals, each appended as shards and compacted; read back by the last manifest."""
     store = sharding.ShardedTable(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
     arrival = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(8)).cast("int")
-    store.append_each(table(spark, sf_dir, "documents").withColumn("arrival", arrival), "arrival")
-    version, _ = store.manifest()
+    docs = table(spark, sf_dir, "documents")
+    store.append_each(docs.withColumn("arrival", arrival), "arrival")
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    return store.read().select("doc_id", "lang", "source", "n_chars", digest.alias("text_sha256"), "shard", F.lit(version).alias("version"))
+    return store.read().select("doc_id", "lang", "source", "n_chars", digest.alias("text_sha256"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,6 +155,7 @@ counted AS (
 copies AS (SELECT doc_id, source, d, unnest(range(1, n + 1))::INTEGER AS copy FROM counted)
 SELECT doc_id, source, copy, md5('17-order|' || doc_id || '|' || d || '|' || copy) AS shuffle_key, d AS text_md5 FROM copies
 """,
+    "op6_shards": "SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
     "op7_substring_dedup": r"""
 WITH tiles AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?]+|[^.!?\n]+|\n') AS units FROM documents
