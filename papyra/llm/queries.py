@@ -57,7 +57,7 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document without its repeated units, and the spans removed as ``start-end`` in the original text."""
+    """Each document without its repeated lines and passages, and the spans removed as ``start-end`` in the original text."""
     found = substring_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
     spans = F.array_join(F.transform("removed", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",")
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + (r["end"] - r["start"]).cast("long"))
@@ -169,6 +169,12 @@ marked AS (
     count(*) FILTER (WHERE unit = chr(10)) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS line
   FROM counted
 ),
+whole AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line_text, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS line
+  FROM documents
+),
+said AS (SELECT doc_id, line, trim(regexp_replace(lower(line_text), '\s+', ' ', 'g')) AS norm FROM whole),
+later AS (SELECT doc_id, line, norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, line) > 1 AS rep_line FROM said),
 runs AS (
   SELECT *, count(*) FILTER (WHERE words > 0 AND NOT rep) OVER (PARTITION BY doc_id ORDER BY no) AS run FROM marked
 ),
@@ -178,10 +184,10 @@ spread AS (
 ),
 in_runs AS (SELECT *, coalesce(run_words >= 8 AND no BETWEEN first_rep AND last_rep AND (rep OR words = 0), false) AS cut_run FROM spread),
 by_line AS (
-  SELECT *, sum(words) OVER l AS line_words, bool_and(rep OR words = 0) OVER l AS all_rep, bool_and(cut_run OR words = 0) OVER l AS all_cut
-  FROM in_runs WINDOW l AS (PARTITION BY doc_id, line)
+  SELECT *, sum(words) OVER l AS line_words, bool_and(cut_run OR words = 0) OVER l AS all_cut
+  FROM in_runs JOIN later USING (doc_id, line) WINDOW l AS (PARTITION BY doc_id, line)
 ),
-cuts AS (SELECT *, cut_run OR (line_words > 0 AND (all_cut OR (all_rep AND line_words >= 5))) AS cut FROM by_line),
+cuts AS (SELECT *, cut_run OR (line_words > 0 AND (all_cut OR rep_line)) AS cut FROM by_line),
 islands AS (SELECT *, count(*) FILTER (WHERE NOT cut) OVER (PARTITION BY doc_id ORDER BY no) AS island FROM cuts),
 spans AS (
   SELECT doc_id, island, min(stop - length(unit)) AS a, max(stop) AS b FROM islands WHERE cut GROUP BY doc_id, island

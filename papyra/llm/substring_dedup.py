@@ -1,18 +1,20 @@
-"""Substring dedup by hashing lines and the sentences within them.
+"""Substring dedup by hashing lines, and in a second tier the sentences within them.
 
-A text is tiled into units: a run of anything up to and with its closing ``.``, ``!`` or ``?``, or up to a line
-break, and the line breaks themselves.  Whole lines alone are not enough, as passages are pasted into the middle
-of lines too; a line is repeated exactly if all units in it are.  A unit is normalised (lower case, white space
-collapsed) and its 128-bit digest grouped over all documents.  The earliest occurrence, by (doc_id, row, place),
-stays.  Any other is removed if it belongs to a run of neighbouring repeated units that has ``min_words`` words or
-is at least a whole line of ``min_line_words``; so short sentences that recur by chance stay.
+First tier: every line is normalised (lower case, white space collapsed) and its 128-bit digest grouped over all documents.
+The earliest occurrence, by (doc_id, row, place), stays; every other is removed with its break, however short it is.
 
-Scale: a slice of a batch sends each of its digests once to be grouped (other occurrences in it are repeats
-whatever other slices hold), so a line that a third of all documents share is one row per slice, not a hot group; one shuffle groups the
-digests, one brings the places of repeats to their texts.
+Second tier (``min_words``; None leaves it out): passages are also pasted into the middle of lines.  A text is tiled into
+units: a run of anything up to and with its closing ``.``, ``!`` or ``?``, or up to a line break, and the line breaks
+themselves.  Units are digested alike, apart from lines; an occurrence that isn't the earliest is removed if it belongs to
+a run of neighbouring repeated units that has ``min_words`` words, so that short sentences that recur by chance stay.  A
+line of which no word is left goes with its break.
+
+Scale: a task looks at ``HELD`` occurrences at a time and sends each of their digests on once (other occurrences among
+them are repeats whatever other tasks hold), so that a line which all documents share is one row for some 25 MB of text,
+not one for each document; one shuffle groups the digests, one brings the places of repeats to their texts.
 
 Defined results: a null text stays null and an empty one empty; rows alike in id and text get the same result;
-null ids rank last; further columns are kept.
+null ids rank last; ids of any type that can be ordered do; further columns are kept.
 """
 
 from __future__ import annotations
@@ -29,10 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import SLICE_BYTES, text_slices, unused
+from .common import text_slices, unused
 
 UNIT = re.compile(r"[^.!?\n]*[.!?]+|[^.!?\n]+|\n")
-MIN_WORDS, MIN_LINE_WORDS = 8, 5
+MIN_WORDS = 8
+#: Occurrences that a task compares before it sends their digests on.
+HELD = 400_000
+_LINE = np.int64(0x5851F42D4C957F2D)
 
 
 def units(text: str) -> list[str]:
@@ -44,11 +49,11 @@ def normalised(unit: str) -> str:
     return " ".join(unit.lower().split())
 
 
-def removed_spans(text: str, repeated: set[int], min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> list[tuple[int, int]]:
-    """Spans (start, end) to cut, given the numbers of the units that occurred before.
+def removed_spans(text: str, units_before: set[int], lines_before: set[int], min_words: int | None = MIN_WORDS) -> list[tuple[int, int]]:
+    """Spans (start, end) to cut, given the numbers of the units and of the lines that occurred before.
 
-    Cut are runs of repeated units of ``min_words`` words (units without words don't end a run), and lines of
-    ``min_line_words`` whose units with words are all repeated.  A line of which no word is left goes with its break.
+    Cut are those lines with their breaks, runs of repeated units of ``min_words`` words (units without words don't end a
+    run), and lines of which no word is left.
     """
     parts = units(text)
     words = [len(p.split()) for p in parts]
@@ -57,8 +62,8 @@ def removed_spans(text: str, repeated: set[int], min_words: int = MIN_WORDS, min
     lines: list[tuple[int, int]] = []
     start = 0
     for i, part in enumerate([*parts, None]):
-        if part is None or words[i] and i not in repeated:
-            if sum(words[x] for x in run) >= min_words:
+        if part is None or words[i] and i not in units_before:
+            if min_words is not None and sum(words[x] for x in run) >= min_words:
                 cut.update(range(run[0], run[-1] + 1))
             run = []
         elif words[i]:
@@ -66,10 +71,9 @@ def removed_spans(text: str, repeated: set[int], min_words: int = MIN_WORDS, min
         if part is None or part == "\n":
             lines.append((start, i))
             start = i + 1
-    for a, b in lines:
+    for n, (a, b) in enumerate(lines):
         worded = [x for x in range(a, b) if words[x]]
-        repeats_all = all(x in repeated for x in worded) and sum(words[x] for x in worded) >= min_line_words
-        if worded and (repeats_all or all(x in cut for x in worded)):
+        if worded and (n in lines_before or all(x in cut for x in worded)):
             cut.update(range(a, min(b + 1, len(parts))))
     ends = list(accumulate(map(len, parts)))
     spans: list[tuple[int, int]] = []
@@ -82,53 +86,91 @@ def removed_spans(text: str, repeated: set[int], min_words: int = MIN_WORDS, min
     return spans
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of all units with words.  ``sure``: its slice holds an earlier occurrence, so this one is a repeat."""
-    for part in (p for batch in batches for p in text_slices(batch, "t", 2 * SLICE_BYTES)):
-        ids, keys = part.column("doc_id").to_pylist(), part.column("row_key").to_pylist()
-        places = [(i is None, i or 0, k) for i, k in zip(ids, keys, strict=True)]
-        ranks = {p: n for n, p in enumerate(sorted(set(places)))}  # rows alike in id and text share a rank
-        first: dict[bytes, tuple[int, int]] = {}
-        rows, nos, digests = [], [], []
-        for row, text in enumerate(part.column("t").to_pylist()):
-            for no, unit in enumerate(units(text) if text else ()):
+class _Held:
+    """Occurrences of some texts: digest, text and place; lines have the places below zero."""
+
+    def __init__(self) -> None:
+        self.ids: list[pa.Array] = []
+        self.keys: list[pa.Array] = []
+        self.rows = 0
+        self.row: list[int] = []
+        self.place: list[int] = []
+        self.digests: list[bytes] = []
+
+    def add(self, ids: pa.Array, keys: pa.Array, texts: list[str | None], sentences: bool) -> None:
+        digest = xxhash.xxh3_128_digest
+        for row, text in enumerate(texts, self.rows):
+            for no, line in enumerate(text.split("\n") if text else ()):
+                if plain := normalised(line):
+                    self.digests.append(digest(plain.encode("utf-8", "surrogatepass")))
+                    self.row.append(row)
+                    self.place.append(-1 - no)
+            for no, unit in enumerate(units(text) if text and sentences else ()):
                 if plain := normalised(unit):
-                    digests.append(d := xxhash.xxh3_128_digest(plain.encode("utf-8", "surrogatepass")))
-                    rows.append(row)
-                    nos.append(no)
-                    at = (ranks[places[row]], no)
-                    if first.setdefault(d, at) > at:
-                        first[d] = at
-        sure = [(ranks[places[r]], n) != first[d] for r, n, d in zip(rows, nos, digests, strict=True)]
-        halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(halves[:, 0]), pa.array(halves[:, 1]), part.column("doc_id").take(pa.array(rows, pa.int64())), part.column("row_key").take(pa.array(rows, pa.int64())), pa.array(nos, pa.int32()), pa.array(sure, pa.bool_())],
-            names=["h1", "h2", "doc_id", "row_key", "unit", "sure"],
+                    self.digests.append(digest(plain.encode("utf-8", "surrogatepass")))
+                    self.row.append(row)
+                    self.place.append(no)
+        self.ids.append(ids)
+        self.keys.append(keys)
+        self.rows += len(texts)
+
+    def sent(self) -> pa.RecordBatch:
+        """``h1, h2, doc_id, row_key, place, sure``; sure: an earlier occurrence is here, so this one is a repeat."""
+        ids, keys = pa.concat_arrays(self.ids), pa.concat_arrays(self.keys)
+        order = [(i is None, 0 if i is None else i, k) for i, k in zip(ids.to_pylist(), keys.to_pylist(), strict=True)]
+        ranks = {p: n for n, p in enumerate(sorted(set(order)))}  # rows alike in id and text share a rank
+        row, place = np.array(self.row, np.int64), np.array(self.place, np.int64)
+        half = np.frombuffer(b"".join(self.digests), np.int64).reshape(-1, 2)
+        first, second = np.where(place < 0, half[:, 0] ^ _LINE, half[:, 0]), half[:, 1]
+        at = np.array([ranks[p] for p in order], np.int64)[row]
+        step = np.where(place < 0, -1 - place, place)
+        by = np.lexsort((step, at, second, first))
+        new = np.ones(len(by), bool)
+        new[1:] = (np.diff(first[by]) != 0) | (np.diff(second[by]) != 0)
+        earliest = by[np.flatnonzero(new)][np.cumsum(new) - 1]
+        sure = np.zeros(len(by), bool)
+        sure[by] = (at[by] != at[earliest]) | (step[by] != step[earliest])
+        taken = pa.array(row)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(first), pa.array(second), ids.take(taken), keys.take(taken), pa.array(place.astype(np.int32)), pa.array(sure)],
+            names=["h1", "h2", "doc_id", "row_key", "place", "sure"],
         )
 
 
-def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, row_key, units``: for rows with any, the numbers of the units that occurred earlier."""
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(docs[doc_id], docs[text]).alias("row_key"), docs[text].cast("string").alias("t"))
-    found = rows.mapInArrow(_occurrences, "h1 long, h2 long, doc_id long, row_key long, unit int, sure boolean")
+def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sentences: bool = True) -> DataFrame:
+    """``doc_id, row_key, places``: for rows with any, the units that occurred earlier by number, and lines by -1 - number."""
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held()
+        for part in (p for batch in batches for p in text_slices(batch, "t")):
+            held.add(part.column("doc_id"), part.column("row_key"), part.column("t").to_pylist(), sentences)
+            if len(held.row) >= HELD:
+                yield held.sent()
+                held = _Held()
+        if held.row:
+            yield held.sent()
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    rows = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[doc_id], docs[text]).alias("row_key"), docs[text].cast("string").alias("t"))
+    found = rows.mapInArrow(occurrences, f"h1 long, h2 long, doc_id {kind}, row_key long, place int, sure boolean")
     # sure repeats need no partner: each goes to a group of its own
-    own = found.withColumn("h2", F.when(F.col("sure"), F.xxhash64("row_key", "unit")).otherwise(F.col("h2")))
-    own = own.withColumn("h1", F.when(F.col("sure"), F.xxhash64("unit", "row_key", F.lit(7))).otherwise(F.col("h1")))
-    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("row_key").alias("r"), F.col("unit").alias("u"))
-    least = F.min(place).over(Window.partitionBy("h1", "h2"))
-    later = own.withColumn("least", least).where(F.col("sure") | (F.col("least") != place))
-    return later.groupBy("doc_id", "row_key").agg(F.collect_set("unit").alias("units"))
+    own = found.withColumn("h2", F.when(F.col("sure"), F.xxhash64("row_key", "place")).otherwise(F.col("h2")))
+    own = own.withColumn("h1", F.when(F.col("sure"), F.xxhash64("place", "row_key", F.lit(7))).otherwise(F.col("h1")))
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("row_key").alias("r"), F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("p"))
+    least = F.min(order).over(Window.partitionBy("h1", "h2"))
+    later = own.withColumn("least", least).where(F.col("sure") | (F.col("least") != order))
+    return later.groupBy("doc_id", "row_key").agg(F.collect_set("place").alias("places"))
 
 
-def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", removed: str = "removed", min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", removed: str = "removed", min_words: int | None = MIN_WORDS) -> DataFrame:
     """docs with ``text`` cut, and ``removed``: array of (start, end) in characters of the original text.
 
     A column of docs that is called so gives way.
     """
     docs = docs.select(*[c for c in docs.columns if c.lower() != removed.lower()])
     row_key, own_id, found_id, found_key, places = (unused(docs, n) for n in ("row_key", "own_id", "found_id", "found_key", "places"))
-    keyed = docs.withColumn(row_key, F.xxhash64(docs[doc_id], docs[text])).withColumn(own_id, docs[doc_id].cast("long"))
-    found = repeats(docs, doc_id=doc_id, text=text)
+    keyed = docs.withColumn(row_key, F.xxhash64(docs[doc_id], docs[text])).withColumn(own_id, docs[doc_id])
+    found = repeats(docs, doc_id=doc_id, text=text, sentences=min_words is not None)
     found = found.toDF(found_id, found_key, places)
     same = (F.col(row_key) == F.col(found_key)) & F.col(own_id).eqNullSafe(F.col(found_id))
     joined = keyed.join(found, same, "left")
@@ -142,7 +184,7 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", remove
             for part in text_slices(batch, names[at]):
                 texts, spans = [], []
                 for t, u in zip(part.column(names[at]).to_pylist(), part.column("u").to_pylist(), strict=True):
-                    cut = removed_spans(t, set(u), min_words, min_line_words) if t and u else []
+                    cut = removed_spans(t, {x for x in u if x >= 0}, {-1 - x for x in u if x < 0}, min_words) if t and u else []
                     if cut:
                         kept, last = [], 0
                         for a, b in cut:

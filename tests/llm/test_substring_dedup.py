@@ -1,13 +1,16 @@
 import random
 import re
 
+import duckdb
+
 from papyra.llm import substring_dedup as S
+from papyra.llm.queries import ORACLES, op7_substring_dedup
 
 
-def plain(rows, min_words=8, min_line=5):
+def plain(rows, min_words=8):
     """Brute force: cut texts in the order of ids, keeping a set of what was seen."""
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
-    seen, out = set(), {}
+    seen, lines, out = set(), set(), {}
     for i in order:
         text = rows[i][1]
         if not text:
@@ -21,7 +24,11 @@ def plain(rows, min_words=8, min_line=5):
             if k:
                 seen.add(k)
         n = [len(p.split()) for p in parts]
-        gone = set()
+        gone, again = set(), []
+        for x in text.split("\n"):
+            key = " ".join(x.lower().split())
+            again.append(bool(key) and key in lines)
+            lines |= {key}
         start = 0
         while start < len(parts):
             if not rep[start]:
@@ -33,14 +40,14 @@ def plain(rows, min_words=8, min_line=5):
                 if rep[j]:
                     run.append(j)
                 j += 1
-            if sum(n[x] for x in run) >= min_words:
+            if min_words is not None and sum(n[x] for x in run) >= min_words:
                 gone |= set(range(run[0], run[-1] + 1))
             start = j
         line = []
         for j in range(len(parts) + 1):
             if j == len(parts) or parts[j] == "\n":
                 full = [x for x in line if n[x]]
-                if full and (all(x in gone for x in full) or (all(rep[x] for x in full) and sum(n[x] for x in full) >= min_line)):
+                if again.pop(0) or (full and all(x in gone for x in full)):
                     gone |= set(line) | ({j} if j < len(parts) else set())
                 line = []
             else:
@@ -49,9 +56,9 @@ def plain(rows, min_words=8, min_line=5):
     return [out[i] for i in range(len(rows))]
 
 
-def check(documents, rows):
-    got = {r.doc_id: r for r in S.dedup(documents(*rows)).collect()}
-    want = plain(rows)
+def check(documents, rows, min_words=8):
+    got = {r.doc_id: r for r in S.dedup(documents(*rows), min_words=min_words).collect()}
+    want = plain(rows, min_words)
     for (i, text), w in zip(rows, want, strict=True):
         r = got[i]
         assert r.text == w, i
@@ -77,16 +84,42 @@ def test_lines_and_passages(documents):
         (6, ""),
         (7, "..\n\n!?"),
     ]
+    alone = check(documents, rows, None)  # lines alone
+    assert "several sentences" in alone[2].text and alone[2].text.startswith("Second text differs")
     got = check(documents, rows)
     assert "several sentences" not in got[2].text and "common terms" not in got[2].text.lower()
     assert got[4].text == rows[3][1] and got[5].text is None and got[1].removed == []
 
 
-def test_random_texts_against_brute_force(documents):
+def test_random_texts_against_brute_force(documents, monkeypatch):
     rng = random.Random(2)
     pool = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(rng.randrange(1, 9))) + rng.choice([".", "!", "?", ""]) for _ in range(60)]
     rows = [(i, "".join(rng.choice(pool) + rng.choice([" ", "\n", "\n\n", ""]) for _ in range(rng.randrange(0, 30)))) for i in range(80)]
     check(documents, rows)
+    check(documents, rows, None)
+    monkeypatch.setattr(S, "HELD", 1)  # many small sets of occurrences
+    check(documents, rows)
+
+
+def test_short_lines_go(documents):
+    got = check(documents, [(1, "ok\nfirst"), (2, "Ok\nsecond\nok"), (3, "not ok")])
+    assert got[2].text == "second\n" and got[3].text == "not ok"
+
+
+def test_long_texts_and_ids_of_text(spark, documents):
+    long = "".join(f"sentence number {i} of a long text. " for i in range(100_000))
+    got = check(documents, [(1, long), (2, long + "\nnew"), (3, "new")])
+    assert got[2].text == "new" and got[3].text == ""
+    df = spark.createDataFrame([("b", "a line"), ("a", "A  line"), (None, "a line")], "doc_id string, text string")
+    assert {r.doc_id: r.text for r in S.dedup(df).collect()} == {"a": "A  line", "b": "", None: ""}
+
+
+def test_query_by_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.execute(f"SELECT doc_id, text, removed_spans, removed_chars FROM ({ORACLES['op7_substring_dedup']})").fetchall()
+    got = op7_substring_dedup(spark, sf).select("doc_id", "text", "removed_spans", "removed_chars").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
 def test_repeated_rows_nulls_and_extra_columns(spark, documents):
