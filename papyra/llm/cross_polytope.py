@@ -35,6 +35,8 @@ from .search import search, vectors
 SEED = 11
 #: Queries of the sample with about as near neighbours that are looked at together.
 ALIKE = 32
+#: Components up to which a rotation is applied as a matrix.
+AS_MATRIX = 256
 
 
 class Rotations:
@@ -44,14 +46,19 @@ class Rotations:
         self.size = 1 << max(1, (length - 1).bit_length())
         self.length = length
         self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (n, 3, self.size))
+        # short vectors: the rounds are made once, over the unit vectors, and applied as one matrix, which is quicker here
+        self.matrices = [self._rounds(np.eye(length), i) for i in range(n)] if length <= AS_MATRIX else None
 
-    def turn(self, x: np.ndarray, rotation: int) -> np.ndarray:
+    def _rounds(self, x: np.ndarray, rotation: int) -> np.ndarray:
         y = np.zeros((len(x), self.size))
         y[:, : self.length] = x
         for signs in self.signs[rotation]:
             y = hadamard(y * signs)
         return y
 
+    def turn(self, x: np.ndarray, rotation: int) -> np.ndarray:
+        return x @ self.matrices[rotation] if self.matrices else self._rounds(x, rotation)
+
     def near(self, x: np.ndarray, rotation: int) -> np.ndarray:
         """How near each signed axis is to each vector: axis i is 2 * i, one more if negative."""
         y = self.turn(x, rotation)
@@ -59,8 +66,12 @@ class Rotations:
 
     def buckets(self, x: np.ndarray, table: int) -> np.ndarray:
         """The bucket of each vector: its nearest axis in two rotations."""
-        first, second = (self.near(x, 2 * table + k).argmax(axis=1) for k in (0, 1))
-        return first * 2 * self.size + second
+        found = 0
+        for rotation in (2 * table, 2 * table + 1):
+            y = self.turn(x, rotation)
+            at = np.abs(y).argmax(axis=1)
+            found = found * 2 * self.size + 2 * at + (y[np.arange(len(x)), at] < 0)
+        return found
 
     @property
     def n_buckets(self) -> int:
@@ -84,7 +95,7 @@ def probed(first: np.ndarray, second: np.ndarray, probes: int) -> np.ndarray:
     """
     axes = first.shape[1]
     i, j = np.nonzero(np.arange(1, axes + 1)[:, None] * np.arange(1, axes + 1)[None] <= probes)
-    a, b = np.argsort(-first, axis=1, kind="stable"), np.argsort(-second, axis=1, kind="stable")
+    a, b = np.argsort(-first, axis=1), np.argsort(-second, axis=1)
     rows = np.arange(len(first))[:, None]
     sums = first[rows, a][:, i] + second[rows, b][:, j]
     best = np.argpartition(-sums, probes - 1, axis=1)[:, :probes] if probes < len(i) else np.broadcast_to(np.arange(len(i)), sums.shape)

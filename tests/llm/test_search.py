@@ -108,6 +108,7 @@ def test_hadamard_and_axes():
     turns = cross_polytope.Rotations(5, 4)
     v = np.random.default_rng(1).normal(size=(30, 5))
     assert np.allclose(np.linalg.norm(turns.turn(v, 1), axis=1), np.linalg.norm(v, axis=1) * 8**1.5)
+    assert np.allclose(turns.turn(v, 2), turns._rounds(v, 2))
     first, second = turns.near(v, 0), turns.near(v, 1)
     assert (turns.buckets(v, 0) == cross_polytope.probed(first, second, 1)[:, 0]).all()
     assert (turns.buckets(-v, 0) == ((turns.buckets(v, 0) // 16) ^ 1) * 16 + ((turns.buckets(v, 0) % 16) ^ 1)).all()
