@@ -65,7 +65,7 @@ class Model:
         return np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -40, 40))), self.prior)
 
 
-def train(texts: list[str], labels: list[int], *, buckets: int = 1 << 18, dim: int = 8, epochs: int = 6, rate: float = 0.5, seed: int = 1) -> Model:
+def train(texts: list[str], labels: list[int], *, buckets: int = 1 << 18, dim: int = 8, epochs: int = 10, rate: float = 1.0, seed: int = 1) -> Model:
     """Fit vectors, softmax weights and bias by stochastic gradient descent, one document at a time."""
     if not texts:
         return Model(np.zeros(buckets, np.float32), 0.0, 0.5)
