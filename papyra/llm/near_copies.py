@@ -1,16 +1,23 @@
-"""Near copies by word shingles: all pairs of texts whose sets of shingles have a Jaccard similarity of four fifths.
+"""SimHash near-dedup at a similarity: texts whose sets of five-word shingles have a Jaccard similarity of four fifths.
 
 Shingles: texts lower-cased for A-Z, cut into words at ASCII white space, five words each; a shingle is a 64-bit hash
 of its words' hashes.  Texts of one set are one node, however many copies there are.
 
-No distance of SimHash fingerprints covers this rule: pairs at 0.8 differ in ten of 64 bits on average, many in more.
-So candidates come from prefixes, which lose no pair: if the shingles of all sets are ordered alike, two sets as similar
-as that share one of the first n // 5 + 1 of each, and more of longer prefixes (:func:`needed`).  Prefixes meet in
-one exchange by shingle, sorted by size; meetings are counted by pair, and pairs with enough of them are compared by the
-whole sets.  Any order gives the same pairs; to meet rarely, shingles that recur in a sample of the documents (``SAMPLE``
-of them, counted by Spark) come last.
-
-Links become components in :mod:`papyra.llm.components`.  Only the sample's recurring shingles come to the driver.
+1. Fingerprints of the shingles meet at anchor points (:func:`papyra.llm.simhash.links`).  Nodes whose fingerprints are
+   within the threshold are compared by their whole sets, at most two partners for each; groups of many near copies are
+   one class after that, at a cost that grows with the nodes, not with their pairs.
+2. No distance of fingerprints covers the rule: pairs at 0.8 differ in ten of 64 bits on average, many in more, and no
+   covering of that many bits is selective.  So the rest is found by prefixes, which lose no pair: if the shingles of all
+   sets are ordered alike, two sets as similar as that share one of the first n // 5 + 1 of each, and more of longer
+   prefixes (:func:`needed`).  Prefixes meet in one exchange by shingle, sorted by size; only nodes of different classes make
+   pairs.  Any order gives the same pairs; to meet rarely, shingles that recur in a sample of the documents (``SAMPLE`` of
+   them, counted by Spark) come last.
+3. Pairs that meet often enough are compared by whole sets, for each node those first that have the most
+   links so far, then those that meet most.  A pair whose nodes have
+   become one class is no longer needed for the components; the rounds end when no pair is left, each with eight times the
+   pairs of a node as the one before.
+
+Only the sample's recurring shingles come to the driver.
 
 Defined results: null and blank texts are one node without shingles; a text of fewer than five words is one shingle;
 repeated rows share a component; further columns and their names don't matter.
@@ -25,12 +32,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from papyra.operators.sizes import is_small
 
 from .common import checkpointed, text_slices
 from .components import components
 from .simhash import SEED, keep_first
+from .simhash import links as fingerprint_links
 
 WORDS = 5
 #: Documents of the sample that orders the shingles, and how many of its sets make a shingle a recurring one.
@@ -52,6 +61,14 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique((out ^ out >> np.uint64(32)) * FACTOR)
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """The bits that more than half of the shingles have, as a signed long."""
+    if not len(own):
+        return 0
+    bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(own), bitorder="little").view(np.int64)[0])
+
+
 def _node(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
 
@@ -102,10 +119,21 @@ def prefix(own: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``u, v, k`` of rows ``s, n, place, node`` sorted by s and n: meetings of pairs that sizes and places allow, and how many they need."""
-    held: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
-
-    def pairs(s: np.ndarray, n: np.ndarray, place: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``u, v, k`` of rows ``s, n, place, node, class`` sorted by s and n: meetings of pairs of two classes that sizes and places allow, and how many they need."""
+    held: list[np.ndarray] = [np.zeros(0, np.int64)] * 5
+    made: list[list[np.ndarray]] = [[], [], []]
+
+    def sent() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in made], names=["u", "v", "k"])
+        for x in made:
+            x.clear()
+        return out
+
+    def pairs(s: np.ndarray, n: np.ndarray, place: np.ndarray, node: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # shingles whose nodes are all of one class make no pairs, however many they are
+        first = np.searchsorted(s, s)
+        mixed = np.bincount(first, weights=own != own[first], minlength=len(s))[first] > 0 if len(s) else np.zeros(0, bool)
+        s, n, place, node, own = (x[mixed] for x in (s, n, place, node, own))
         step, alive = 1, np.arange(len(s))
         while True:
             alive = alive[alive + step < len(s)]
@@ -115,10 +143,12 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(alive):
                 return
             most = np.minimum(place[alive], place[other]) + np.minimum(n[alive] - place[alive], n[other] - place[other])
-            fit = 9 * most >= 4 * (n[alive] + n[other])
+            fit = (9 * most >= 4 * (n[alive] + n[other])) & (own[alive] != own[other])
             u, v = node[alive[fit]], node[other[fit]]
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(needed(n[alive[fit]], n[other[fit]]))], names=["u", "v", "k"])
+            for out, x in zip(made, (np.minimum(u, v), np.maximum(u, v), needed(n[alive[fit]], n[other[fit]])), strict=True):
+                out.append(x)
+            if sum(map(len, made[0])) > 50_000:
+                yield sent()
             step += 1
 
     for batch in batches:
@@ -127,47 +157,101 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs(*(r[:whole] for r in rows))
         held = [r[whole:] for r in rows]
     yield from pairs(*held)
+    if made[0]:
+        yield sent()
 
 
-def links(docs: DataFrame, rows: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``u, v``: the pairs of nodes of four fifths or more; rows as :func:`near_copies` makes them."""
-    nodes = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    placed = nodes.select(F.posexplode("prefix").alias("place", "s"), "n", "node").select("s", F.col("n").cast("long"), F.col("place").cast("long"), "node")
-    together = placed.repartition("s").sortWithinPartitions("s", "n")
-    met = together.mapInArrow(meet, "u long, v long, k long").groupBy("u", "v", "k").count()
-    pairs = checkpointed(met.where("count >= k").select("u", "v"))
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    hint = F.broadcast if is_small(ends) else lambda df: df  # the texts of few pairs are picked without an exchange of all texts
-    one = rows.select("node", "row_key").join(hint(ends), "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
-    keyed = docs.select(F.xxhash64(docs[doc_id], docs[text]).alias("row_key"), docs[text].cast("string").alias("t"))
-    texts = keyed.join(hint(one), "row_key").dropDuplicates(["node"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch, "t"):
-                yield pa.RecordBatch.from_arrays([part.column("node"), _lists([shingles(t) for t in part.column("t").to_pylist()])], names=["node", "s"])
+class _Sets:
+    """Whole sets of the nodes of some pairs, taken from the texts once and kept in the shared folder."""
+
+    def __init__(self, docs: DataFrame, rows: DataFrame, pairs: DataFrame, doc_id: str, text: str) -> None:
+        ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+        hint = F.broadcast if is_small(ends) else lambda df: df  # the texts of few pairs are picked without an exchange of all texts
+        one = rows.select("node", "row_key").join(hint(ends), "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
+        keyed = docs.select(F.xxhash64(docs[doc_id], docs[text]).alias("row_key"), docs[text].cast("string").alias("t"))
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in text_slices(batch, "t"):
+                    yield pa.RecordBatch.from_arrays([part.column("node"), _lists([shingles(t) for t in part.column("t").to_pylist()])], names=["node", "s"])
 
-    sets = checkpointed(texts.select("node", "t").mapInArrow(whole, "node long, s array<long>"))
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
-    return both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
+        texts = keyed.join(hint(one), "row_key").dropDuplicates(["node"])
+        self.sets = checkpointed(texts.select("node", "t").mapInArrow(whole, "node long, s array<long>"))
 
+    def alike(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs ``u, v`` that are similar enough."""
+        left, right = (self.sets.select(F.col("node").alias(k), F.col("s").alias(f"of_{k}")) for k in ("u", "v"))
+        both = pairs.select("u", "v").join(left, "u").join(right, "v")
+        return both.where(9 * F.size(F.array_intersect("of_u", "of_v")) >= 4 * (F.size("of_u") + F.size("of_v"))).select("u", "v")
 
-def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+
+def _classes(links: DataFrame) -> DataFrame:
+    return checkpointed(components(links).select("node", F.col("root").alias("class")))
+
+
+def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose nodes aren't of one class."""
+    own = lambda k: classes.select(F.col("node").alias(k), F.col("class").alias(f"of_{k}"))
+    told = pairs.join(own("u"), "u", "left").join(own("v"), "v", "left")
+    return told.where(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select(pairs.columns)
+
+
+def anchored(rows: DataFrame, threshold: int) -> DataFrame:
+    """``u, v``: pairs of nodes of equal or near fingerprints, at most two for each fingerprint and one for each further node of it."""
+    of = rows.where("n > 0").groupBy("fp").agg(F.min("node").alias("least"))
+    near = fingerprint_links(checkpointed(of), threshold)
+    both = near.unionByName(near.select(F.col("u").alias("v"), F.col("v").alias("u")))
+    ends = both.groupBy("u").agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    picked = ends.select(F.col("u").alias("fp"), F.explode(F.array_distinct(F.array("a", "b"))).alias("other"))
+    across = picked.join(of.withColumnRenamed("least", "u"), "fp").select("u", F.col("other").alias("fp")).join(of.withColumnRenamed("least", "v"), "fp").select("u", "v")
+    same = rows.where("n > 0").join(of, "fp").where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    pairs = across.unionByName(same).where("u <> v")
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def similar(docs: DataFrame, rows: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: int = 2) -> DataFrame:
+    """``node, class`` of the nodes that are similar to any; rows as :func:`near_copies` makes them."""
+    first = checkpointed(anchored(rows, threshold))
+    links = checkpointed(_Sets(docs, rows, first, doc_id, text).alike(first))
+    classes = _classes(links)
+    nodes = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    placed = nodes.join(classes, "node", "left").select(F.posexplode("prefix").alias("place", "s"), "n", "node", F.coalesce("class", "node").alias("class"))
+    together = placed.select("s", F.col("n").cast("long"), F.col("place").cast("long"), "node", "class").repartition("s").sortWithinPartitions("s", "n")
+    met = together.mapInArrow(meet, "u long, v long, k long").groupBy("u", "v", "k").count()
+    pairs = checkpointed(met.where("count >= k").select("u", "v", "count"))
+    if pairs.isEmpty():
+        return classes
+    sets, budget = _Sets(docs, rows, pairs, doc_id, text), 1
+    while not pairs.isEmpty():
+        degree = links.select(F.explode(F.array("u", "v")).alias("other")).groupBy("other").agg(F.count("*").alias("degree"))
+        sides = pairs.withColumn("node", F.explode(F.array("u", "v"))).withColumn("other", F.when(F.col("node") == F.col("u"), F.col("v")).otherwise(F.col("u")))
+        order = F.row_number().over(Window.partitionBy("node").orderBy(F.desc_nulls_last("degree"), F.desc("count"), "u", "v"))
+        sides = sides.join(degree, "other", "left").withColumn("rank", order)
+        ranked = checkpointed(sides.groupBy("u", "v", "count").agg(F.min("rank").alias("rank")))  # the better rank of the two
+        links = checkpointed(links.unionByName(sets.alike(ranked.where(F.col("rank") <= budget))))
+        classes = _classes(links)
+        pairs = checkpointed(_apart(ranked.where(F.col("rank") > budget).drop("rank"), classes))
+        budget *= 8
+    return classes
+
+
+def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: int = 2) -> DataFrame:
     """One row for each of docs: ``doc_id, row_key, node, root``; root is the same for all rows of a component."""
     keys, counts = recurring(docs, text=text)
+    kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "t"):
                 own = [shingles(t) for t in part.column("t").to_pylist()]
                 first = _lists([prefix(s, keys, counts) for s in own])
-                made = [pa.array([_node(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int32()), first]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), *made], names=["doc_id", "row_key", "node", "n", "prefix"])
+                made = [pa.array([_node(s) for s in own], pa.int64()), pa.array([fingerprint(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int32()), first]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), *made], names=["doc_id", "row_key", "node", "fp", "n", "prefix"])
 
-    texts = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(docs[doc_id], docs[text]).alias("row_key"), docs[text].cast("string").alias("t"))
-    rows = checkpointed(texts.mapInArrow(run, "doc_id long, row_key long, node long, n int, prefix array<long>"))
-    grouped = components(links(docs, rows, doc_id=doc_id, text=text))
-    return rows.join(grouped, "node", "left").select("doc_id", "row_key", "node", F.coalesce("root", "node").alias("root"))
+    texts = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[doc_id], docs[text]).alias("row_key"), docs[text].cast("string").alias("t"))
+    rows = checkpointed(texts.mapInArrow(run, f"doc_id {kind}, row_key long, node long, fp long, n int, prefix array<long>"))
+    grouped = similar(docs, rows, doc_id=doc_id, text=text, threshold=threshold)
+    return rows.join(grouped, "node", "left").select("doc_id", "row_key", "node", F.coalesce("class", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -70,8 +70,9 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                 fp = fingerprint_batch(part.column("t").to_pylist(), words)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), pa.array(fp.view(np.int64))], names=["doc_id", "row_key", "fp"])
 
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(docs[doc_id], docs[text]).alias("row_key"), docs[text].cast("string").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, row_key long, fp long")
+    kind = docs.schema[doc_id].dataType.simpleString()
+    rows = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[doc_id], docs[text]).alias("row_key"), docs[text].cast("string").alias("t"))
+    return rows.mapInArrow(run, f"doc_id {kind}, row_key long, fp long")
 
 
 class Golay:
@@ -171,5 +172,5 @@ def keep_first(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", tex
     row_key, kept_key, kept_id = (unused(docs, n) for n in ("row_key", "kept_key", "kept_id"))
     kept = first.select(F.col("k.row_key").alias(kept_key), F.col("k.doc_id").alias(kept_id))
     keyed = docs.withColumn(row_key, F.xxhash64(docs[doc_id], docs[text]))
-    same = (F.col(row_key) == F.col(kept_key)) & F.col(doc_id).cast("long").eqNullSafe(F.col(kept_id))
+    same = (F.col(row_key) == F.col(kept_key)) & F.col(doc_id).eqNullSafe(F.col(kept_id))
     return keyed.join(kept, same, "left_semi").dropDuplicates([row_key, doc_id]).drop(row_key)

@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+
 from papyra.llm import near_copies
 
 
@@ -42,6 +44,41 @@ def test_near_copies_against_brute_force(spark, documents, monkeypatch):
     assert near_copies.keep_one(documents((1, None), (2, ""), (None, None), (None, "a"))).count() == 2
 
 
+def test_many_near_copies_of_one_text(spark, documents, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(100)]
+    rows = [" ".join(base)]
+    for _ in range(150):  # each near the base, most not near each other
+        text = list(base)
+        text[rng.randrange(5, 95)] = "changed"
+        text[rng.randrange(5, 95)] = rng.choice(words)
+        rows.append(" ".join(text))
+    frame = " ".join(words[:60])
+    rows += [frame + " " + " ".join(rng.choice(words) for _ in range(rng.randrange(8, 40))) for _ in range(40)]  # much in common, few similar
+    rows = list(enumerate(rows))
+    assert {r.doc_id for r in near_copies.keep_one(documents(*rows)).collect()} == plain_kept(rows)
+    sent = []
+    real = near_copies._Sets.alike
+    monkeypatch.setattr(near_copies._Sets, "alike", lambda self, pairs: (sent.append(pairs.count()), real(self, pairs))[1])
+    near_copies.keep_one(documents(*rows[:151])).count()
+    assert sum(sent) < 5 * 151, sent  # not the pairs of the group
+
+
+def test_meetings_of_one_class_make_no_pairs():
+    n = 500
+    row = lambda cls: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([7] * n, [50] * n, [0] * n, list(range(n)), cls)], names=["s", "n", "place", "node", "class"])
+    assert sum(map(len, near_copies.meet(iter([row([1] * n)])))) == 0
+    assert sum(map(len, near_copies.meet(iter([row([1] * (n - 2) + [2, 3])])))) == 2 * (n - 2) + 1
+    halves = [row([1] * n).slice(0, 100), row([1] * (n - 2) + [2, 3]).slice(100)]
+    assert sum(map(len, near_copies.meet(iter(halves)))) == 2 * (n - 2) + 1
+
+
+def test_ids_of_text(spark):
+    df = spark.createDataFrame([("b", "one two three"), ("a", "One two THREE"), (None, "x")], "doc_id string, text string")
+    assert {r.doc_id for r in near_copies.keep_one(df).collect()} == {"a", None}
+
+
 def test_the_stage_leaves_no_near_copies(spark):
     import corpus_pipeline
 
