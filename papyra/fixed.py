@@ -46,6 +46,11 @@ MARKER_STYLES = (
     ("dash", f"^[-–]\\s*{_NUMBER}\\s"),
     ("plain", "^(\\d{1,2})\\s+[^\\d\\s.)]"),
 )
+#: The label of a clause by style (# is the number or letter), and the title that may be glued to a text behind it.
+CLAUSE_LABELS = {
+    "plain": r"#\s+", "dot": r"#\s*\.\s*", "close": r"#\s*[)(]\s*", "paren": r"\(\s*#\s*\)\s*", "dash": r"(?:-\s*#|#\s*-)\s*",
+}
+GLUED_TITLE, GLUED_WORDS, GLUE_ENDS = r"\S[^.:؛]{1,60}(?::\s*)?", 8, (".", ":", "؛", ")")
 BULLETS = "•●▪◦■‣⁃❖➢✓\\-–"
 CONTENTS_HEADINGS = ("الفهرس", "فهرس المحتويات", "المحتويات", "جدول المحتويات")
 CONTENTS_ENTRY = "(?:\\.{3,}|…)\\s*\\d{1,3}(?:\\D|$)"

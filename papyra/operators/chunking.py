@@ -90,22 +90,23 @@ def split_text(text: str, limit: int) -> list[str]:
     return [" ".join(w[k : k + limit]) for w in held for k in range(0, len(w), limit)]
 
 
+def _cut(p: Paragraph, limit: int) -> list[Paragraph]:
+    return [p] if p.size <= limit else [replace(p, text=t) for t in split_text(p.text, limit)]
+
+
+def _pieces_of_unit(unit: list[Paragraph], limit: int) -> list[Piece]:
+    """The unit as it is; or its head, then each of the rest under the head as their lead; or, if the head is too long to be repeated, each alone."""
+    if sum(p.size for p in unit) <= limit:
+        return [Piece(unit)]
+    led = len(unit) > 1 and unit[0].size <= limit // 2
+    lead, body = (unit[0].text, unit[1:]) if led else (None, unit)
+    return [Piece([p], opens=True) for p in unit[:1] if led] + [Piece([x], lead=lead) for p in body for x in _cut(p, limit)]
+
+
 def pieces(paragraphs: list[Paragraph], limit: int) -> tuple[list[Piece], str | None]:
-    """Pieces of at most ``limit`` words where possible, and the introductory sentence, if the section has one."""
-    made: list[Piece] = []
-    intro = None
-    for unit in units(paragraphs):
-        head, rest = unit[0], unit[1:]
-        if not made and head.level == 0 and head.text.rstrip().endswith(":"):
-            intro = head.text
-        if sum(p.size for p in unit) <= limit:
-            made.append(Piece(unit))
-        elif rest and head.size <= limit // 2:
-            made.append(Piece([head], opens=True))
-            made += [Piece([replace(p, text=t)], lead=head.text) for p in rest for t in ([p.text] if p.size <= limit else split_text(p.text, limit))]
-        else:
-            made += [Piece([replace(p, text=t)]) for p in unit for t in split_text(p.text, limit)]
-    return made, intro
+    """Pieces of at most ``limit`` words where possible, and the introductory sentence, if the section begins with one."""
+    introduces = bool(paragraphs) and paragraphs[0].level == 0 and paragraphs[0].text.rstrip().endswith(":")
+    return [p for unit in units(paragraphs) for p in _pieces_of_unit(unit, limit)], paragraphs[0].text if introduces else None
 
 
 def pack(made: list[Piece], intro: str | None, most: int) -> list[Chunk]:
