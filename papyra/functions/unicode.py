@@ -40,32 +40,20 @@ def similarity(a: Column, b: Column) -> Column:
 
     @F.pandas_udf("double")
     def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(left, right, strict=True)])
+        return pd.Series([None if x is None or y is None else 1.0 if x == y else SequenceMatcher(None, x, y).ratio() for x, y in zip(left, right, strict=True)])
 
     return ratio(a, b)
 
 
-def edit_distance(a: list, b: list) -> int:
-    """Levenshtein distance of two sequences."""
-    if len(a) < len(b):
-        a, b = b, a
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
 def word_error_rate(reference: Column, hypothesis: Column) -> Column:
-    """Edit distance by words over the reference's words (at least one)."""
+    """Edit distance by words over the reference's words (at least one); a null counts as empty.
 
-    @F.pandas_udf("double")
-    def rate(left: pd.Series, right: pd.Series) -> pd.Series:
-        pairs = ((x.split(), y.split()) for x, y in zip(left.fillna(""), right.fillna(""), strict=True))
-        return pd.Series([edit_distance(x, y) / max(1, len(x)) for x, y in pairs])
-
-    return rate(reference, hypothesis)
+    Each distinct word of the two texts stands for one character, so that the distance is the built-in one.
+    """
+    left, right = (T.words(F.coalesce(x, F.lit(""))) for x in (reference, hypothesis))
+    known = F.array_distinct(F.concat(left, right))
+    coded = lambda own: F.array_join(F.transform(own, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0xFFFF), 8, "0")), "UTF-32")), "")
+    return F.levenshtein(coded(left), coded(right)).cast("double") / F.greatest(F.size(left), F.lit(1))
 
 
 def clean(text: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from papyra import fixed
 from papyra.functions import text as T
 from papyra.operators import fusion
-from papyra.operators.sizes import held, small
+from papyra.operators.sizes import held, is_small, small
 
 #: Answers: ``query_id, answer`` (a JSON object as text, or null on failure).
 Provider = Callable[[DataFrame], DataFrame]
@@ -49,23 +49,34 @@ def reference_form(text: Column) -> Column:
 def references(clauses: DataFrame, sections: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """``query_id, at, ref, key, why``: articles and annexes that a clause names.
 
-    ``clauses(query_id, text)``, ``sections(key)``, ``labels(label, number)``: article labels in words.  Longer labels
+    ``clauses(query_id, text)``, ``sections(key)``, ``labels(label, number)``: article labels in words, which every task
+    gets (more than SMALL_ROWS of them are an error).  Longer labels
     claim their place first, then numbers; a place is claimed once.  The document is told by the fifty characters
     behind a reference; laws outside the corpus, and keys it doesn't have, give a null key with the reason.
     """
-    known = [] if labels is None else [(r["label"], int(r["number"])) for r in labels.select(reference_form(F.col("label")).alias("label"), "number").distinct().orderBy(F.desc(F.length("label")), "label").limit(2000).collect()]
+    known: dict[str, int] = {}
+    if labels is not None:
+        told = labels.groupBy(reference_form(F.col("label")).alias("label")).agg(F.min("number").cast("int").alias("number")).where("label <> ''")
+        if not is_small(told):
+            raise ValueError("too many article labels for one table in every task")
+        known = {r["label"]: r["number"] for r in told.collect()}
+    lengths: dict[str, set[int]] = {}  # by a label's first word
+    for label in known:
+        lengths.setdefault(label.split(" ")[0], set()).add(len(label))
     outside, hints = [_plain(x) for x in fixed.OUTSIDE], [(_plain(x), code) for x, code in fixed.DOC_HINTS]
 
     @F.pandas_udf("array<struct<at:int,ref:string,kind:string,number:int,doc:string>>")
     def find(texts: pd.Series) -> pd.Series:
         import re
 
-        number = re.compile(fixed.REFERENCE)
+        number, word = re.compile(fixed.REFERENCE), re.compile(r"\w+")
 
         def one(t: str | None) -> list[dict]:
             t, out = t or "", []
             taken = np.zeros(len(t), bool)
-            spans = [(m.start(), m.end(), "ماده", n) for label, n in known for m in re.finditer(re.escape(label) + r"\b", t)]
+            places = {(m.end() - len(w), m.end() - len(w) + n) for m in word.finditer(t) for w in lengths if m[0].endswith(w) for n in lengths[w]}
+            worded = [(a, b) for a, b in places if t[a:b] in known and not (word.match(t, b) and b < len(t))]
+            spans = [(a, b, "ماده", known[t[a:b]]) for a, b in sorted(worded, key=lambda s: (s[0] - s[1], t[s[0] : s[1]], s[0]))]
             spans += [(m.start(), m.end(), m[1], int(m[2])) for m in number.finditer(t)]
             for start, end, kind, n in spans:
                 if not taken[start:end].any():

@@ -6,6 +6,8 @@ pairs that share a window are compared in full.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,16 +15,37 @@ from papyra.functions import text as T
 from papyra.operators.sizes import small
 
 WIDTH = 6
+#: Items of one or two words that are looked for in each text.
+SHORT = 1000
 
 
 def passages(docs: DataFrame, wanted: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
-    """``query_id, id``: every document that contains the whole text of an item of at least WIDTH + 2 words."""
-    window = lambda words, at: F.xxhash64(F.array_join(F.slice(words, at, WIDTH), " "))
-    asked = wanted.select(F.col(item_id).alias("query_id"), F.col("text").alias("passage")).where(T.word_count(F.col("passage")) >= WIDTH + 2)
-    asked = asked.withColumn("key", window(T.words(F.col("passage")), F.lit(2)))
-    known = small(asked.select("key").distinct())
-    words = T.words(F.col("text"))
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("w") - WIDTH + 1, F.lit(1))), lambda i: i + WIDTH - 1 <= F.size("w"))
-    keys = docs.select(F.col(doc_id).alias("id"), "text", words.alias("w")).select("id", "text", F.explode(F.array_distinct(F.transform(starts, lambda i: window(F.col("w"), i)))).alias("key"))
-    met = keys.join(known, "key", "left_semi").join(asked, "key")
-    return met.where(F.col("text").contains(F.col("passage"))).select("query_id", "id").distinct()
+    """``query_id, id``: every document that contains the whole text of an item.
+
+    Items of fewer than WIDTH + 2 words are looked up by as many words as they have inside, those of one or two words in
+    each text directly (at most SHORT of them; more are an error).  An item without words is in no document.
+    """
+    asked = wanted.select(F.col(item_id).alias("query_id"), F.col("text").alias("passage"), T.words(F.col("text")).alias("own")).withColumn("width", F.least(F.size("own") - 2, F.lit(WIDTH)))
+    widths = sorted(r["width"] for r in asked.select("width").where("width > -2").distinct().collect())  # at most WIDTH + 2 numbers
+    texts = docs.select(F.col(doc_id).alias("id"), "text", T.words(F.col("text")).alias("w"))
+    found = []
+    for n in (n for n in widths if n > 0):
+        found.append(_by_windows(texts, asked.where(F.col("width") == n).drop("width"), n))
+    if widths and widths[0] < 1:
+        few = asked.where("width in (-1, 0)").select("query_id", "passage").limit(SHORT + 1).collect()
+        if len(few) > SHORT:
+            raise ValueError(f"more than {SHORT} items of one or two words")
+        items = F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"), F.lit(r["passage"]).alias("passage")) for r in few])
+        inside = texts.select("id", F.explode(F.filter(items, lambda x: F.col("text").contains(x["passage"]))).alias("x"))
+        found.append(inside.select("x.query_id", "id"))
+    return reduce(DataFrame.unionByName, found).distinct() if found else asked.select("query_id", F.lit(None).cast(docs.schema[doc_id].dataType).alias("id")).limit(0)
+
+
+def _by_windows(texts: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+    """Passages that are in a text, found by their second to (n + 1)-th word, whole words inside the passage."""
+    window = lambda words, at: F.xxhash64(F.array_join(F.slice(words, at, n), " "))
+    keyed = asked.select("query_id", "passage", window(F.col("own"), F.lit(2)).alias("key"))
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: i + n - 1 <= F.size("w"))
+    keys = texts.select("id", "text", F.explode(F.array_distinct(F.transform(starts, lambda i: window(F.col("w"), i)))).alias("key"))
+    met = keys.join(small(keyed.select("key").distinct()), "key", "left_semi").join(keyed, "key")
+    return met.where(F.col("text").contains(F.col("passage"))).select("query_id", "id")

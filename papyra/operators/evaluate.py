@@ -80,10 +80,10 @@ def selection(hits: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def delta(rows: DataFrame, *, run: str, full: str, values: tuple[str, ...], digits: int = 3) -> DataFrame:
-    """rows with ``delta_<value>``: the difference from the row whose run is ``full``."""
+    """rows with ``delta_<value>``: the difference from the row whose run is ``full``; null without such a row."""
     base = rows.where(F.col(run) == full).select(*[F.col(v).alias(f"__{v}") for v in values])
     base_row = base.first()  # one row of numbers
-    told = [F.round(F.col(v) - F.lit(base_row[f"__{v}"] if base_row else None), digits).alias(f"delta_{v}") for v in values]
+    told = [F.round(F.col(v) - F.lit(base_row[f"__{v}"] if base_row else None).cast("double"), digits).alias(f"delta_{v}") for v in values]
     return rows.select("*", *told)
 
 

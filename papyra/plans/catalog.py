@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
+from papyra.operators.sizes import scope
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -16,7 +20,12 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     """Register a function under its own name, with the SQL that gives the same rows."""
 
     def add(made: Query) -> Query:
-        QUERIES[made.__name__] = made
+        @wraps(made)
+        def scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            with scope() as belongs:
+                return belongs(made(spark, sf_dir))
+
+        QUERIES[made.__name__] = scoped
         if oracle is not None:
             ORACLES[made.__name__] = oracle
         return made

@@ -108,14 +108,18 @@ def ablation_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH a AS (SELECT conv_id, turn, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS text FROM conversations),
+    # levenshtein counts bytes there, so every letter beyond ASCII becomes a control character of its own first
+    r"""WITH letters AS (SELECT list_sort(list(DISTINCT c)) AS abc FROM (SELECT unnest(string_split(text, '')) AS c FROM conversations) WHERE ord(c) > 127),
+a AS (
+  SELECT conv_id, turn, array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN ord(c) <= 127 THEN c WHEN list_position(abc, c) <= 9 THEN chr(list_position(abc, c)::INTEGER) ELSE chr(list_position(abc, c)::INTEGER + 4) END), '') AS text
+  FROM conversations, letters
+),
 p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS last FROM a)
 SELECT conv_id, turn, round(levenshtein(last, text)::DOUBLE / greatest(length(last), 1), 6) AS cer FROM p WHERE last IS NOT NULL"""
 )
 def cer_adjacent_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Character error rate of each turn against the turn before; letters beyond ASCII count as one."""
-    plain = lambda c: F.regexp_replace(c, "[^\\x00-\\x7F]", "?")
-    return _adjacent(spark, sf_dir).select("conv_id", "turn", F.round(evaluate.character_error_rate(plain("last"), plain("text")), 6).alias("cer"))
+    """Character error rate of each turn against the turn before."""
+    return _adjacent(spark, sf_dir).select("conv_id", "turn", F.round(evaluate.character_error_rate(F.col("last"), F.col("text")), 6).alias("cer"))
 
 
 def _adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:

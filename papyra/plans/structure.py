@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from papyra import fixed
 from papyra.functions import text as T
@@ -215,7 +216,24 @@ def structure_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation.problems(turns).select(F.col("doc_id").alias("conv_id"), "problem", F.col("number").cast("long").alias("number"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (
+  SELECT conv_id::VARCHAR AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, CASE WHEN role = 'user' THEN 'set' WHEN length(text) > 400 THEN 'split' ELSE 'remove' END AS op,
+    (turn % 5)::INTEGER AS number, turn::INTEGER AS line, role AS reason FROM conversations
+),
+s AS (
+  SELECT doc_id, 0::BIGINT AS i, []::STRUCT(line INTEGER, number INTEGER, reason VARCHAR)[] AS st FROM (SELECT DISTINCT doc_id FROM e)
+  UNION ALL
+  SELECT s.doc_id, e.i, CASE WHEN op = 'remove' THEN list_filter(st, lambda x: x.number <> e.number)
+    ELSE list_append(
+      list_filter(list_transform(st, lambda x: {'line': CASE WHEN op = 'split' AND x.line > e.line THEN x.line + 1 ELSE x.line END, 'number': x.number, 'reason': x.reason}),
+        lambda x: x.number <> e.number AND x.line <> CASE WHEN op = 'split' THEN e.line + 1 ELSE e.line END),
+      {'line': CASE WHEN op = 'split' THEN e.line + 1 ELSE e.line END, 'number': e.number, 'reason': e.reason}) END
+  FROM s JOIN e ON e.doc_id = s.doc_id AND e.i = s.i + 1
+),
+f AS (SELECT doc_id, unnest(st) AS x FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1)
+SELECT doc_id, x.number AS number, x.line AS line, x.reason AS reason FROM f"""
+)
 def edit_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as edit logs: users set a start at their turn, long answers split, other answers remove."""
     turns = table(spark, sf_dir, "conversations")
@@ -224,31 +242,31 @@ def edit_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation.replay(edits)
 
 
-TITLES = f"titles AS (SELECT p_partkey % 100 AS number, p_brand AS doc_id, p_name AS title, row_number() OVER (PARTITION BY p_brand, p_partkey % 100 ORDER BY p_partkey) AS r FROM part)"
+TITLES = """nth AS (SELECT p_partkey % 100 AS number, p_brand, p_name AS title, row_number() OVER (PARTITION BY p_brand, p_partkey % 100 ORDER BY p_partkey) - 1 AS r FROM part),
+titles AS (SELECT p_brand || '/' || (r // 2)::BIGINT AS doc_id, number, title, r % 2 AS r FROM nth)"""
 
 
 @query(
-    f"""WITH {TITLES}, toc AS (SELECT doc_id, number, title FROM titles WHERE r = 1), body AS (SELECT doc_id, number, title FROM titles WHERE r = 2),
+    f"""WITH {TITLES}, toc AS (SELECT doc_id, number, title FROM titles WHERE r = 0), body AS (SELECT doc_id, number, title FROM titles WHERE r = 1),
 j AS (SELECT t.doc_id, t.number, t.title, b.title AS found, round(1.0::DOUBLE - levenshtein(t.title, b.title)::DOUBLE / greatest(length(t.title), length(b.title), 1), 4) AS similarity FROM toc t LEFT JOIN body b USING (doc_id, number))
 SELECT doc_id, number, CASE WHEN found IS NULL THEN 'missing' WHEN similarity < {fixed.TOC_SIMILARITY} THEN 'mismatch' ELSE 'ok' END AS status, similarity FROM j"""
 )
 def toc_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of a contents list against the body's titles: of each brand's parts with one number, the first and the second."""
-    from pyspark.sql.window import Window
+    """Entries of contents lists against the titles of bodies: of each brand's parts with one number, every second one is of a body."""
+    return structure.validate(*_contents_and_bodies(spark, sf_dir), exact=False)
 
-    parts = table(spark, sf_dir, "part").select(F.col("p_brand").alias("doc_id"), (F.col("p_partkey") % 100).alias("number"), F.col("p_name").alias("title"), "p_partkey")
-    nth = parts.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "number").orderBy("p_partkey")))
-    return structure.validate(nth.where("r = 1").drop("r", "p_partkey"), nth.where("r = 2").drop("r", "p_partkey"), exact=False)
+
+def _contents_and_bodies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    nth = F.row_number().over(Window.partitionBy("p_brand", "number").orderBy("p_partkey")) - 1
+    parts = table(spark, sf_dir, "part").withColumn("number", F.col("p_partkey") % 100).withColumn("r", nth)
+    titles = parts.select(F.concat_ws("/", "p_brand", F.floor(F.col("r") / 2).cast("string")).alias("doc_id"), "number", F.col("p_name").alias("title"), (F.col("r") % 2).alias("r"))
+    return titles.where("r = 0").drop("r"), titles.where("r = 1").drop("r")
 
 
 @query()
 def toc_validation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As toc_validation, with the similarity of matching blocks."""
-    from pyspark.sql.window import Window
-
-    parts = table(spark, sf_dir, "part").select(F.col("p_brand").alias("doc_id"), (F.col("p_partkey") % 100).alias("number"), F.col("p_name").alias("title"), "p_partkey")
-    nth = parts.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "number").orderBy("p_partkey")))
-    return structure.validate(nth.where("r = 1").drop("r", "p_partkey"), nth.where("r = 2").drop("r", "p_partkey"))
+    return structure.validate(*_contents_and_bodies(spark, sf_dir))
 
 
 CLEANED = [("المكتب الرئيس ي", "المكتب الرئيسي"), ("البند (ي) من", "البند (ي) من"), ("سیاسات ترکز", "سياسات تركز"), ("حةوق المالك", "حقوق المالك"), ("الفصل ........ 12", "الفصل ... 12"), ("كلمة ، أخرى", "كلمة، أخرى")]

@@ -35,10 +35,29 @@ def run(state: DataFrame, name: str, checkpoint: str, *, mode: str = "complete")
     return state.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert(state: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Keep a Parquet folder at the latest state: each micro-batch writes the changed keys as a version of its own."""
+def versions(spark: SparkSession, target: str) -> list[int]:
+    """Numbers of the versions below a folder that are complete, in order."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(target)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    found = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("version=")]
+    return sorted(int(p.getName().split("=")[1]) for p in found if fs.exists(hadoop.Path(p, "_SUCCESS")))
+
+
+def upsert(state: DataFrame, target: str, checkpoint: str, *, keys: tuple[str, ...] = ("user_id",)) -> StreamingQuery:
+    """Keep a Parquet folder at the latest state: each micro-batch writes a whole version, the one before with the changed keys replaced.
+
+    A micro-batch that is repeated writes the same version again.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = [n for n in versions(spark, target) if n < number]
+        if before:
+            old = spark.read.parquet(f"{target}/version={before[-1]}")
+            batch = old.join(batch.select(*keys), list(keys), "left_anti").unionByName(batch)
         batch.write.mode("overwrite").parquet(f"{target}/version={number}")
 
     return state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

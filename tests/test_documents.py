@@ -1,16 +1,19 @@
 """Text, structure, chunking, segmentation, cleaning, layout, sources, sinks and streams."""
 
+import datetime
 import io
+import itertools
 import json
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from papyra.functions import markers, repair
 from papyra.functions import text as T
 from papyra.functions import unicode as U
-from papyra.operators import chunking, cleaning, layout, segmentation, service, structure, tables
+from papyra.operators import chunking, cleaning, evaluate, layout, segmentation, service, structure, tables
 from papyra.sources import readers, writers
 from papyra.streaming import status
 
@@ -60,7 +63,6 @@ def test_clean_versions(spark):
     assert one(spark, U.corpus_form, "( 1 - 219 - 2006 ) نص  ،") == "(1-219-2006) نص،"
     assert one(spark, U.corpus_form, "300,000–100,001 •") == "• 100,001–300,000"
     assert one(spark, lambda c: U.similarity(c, F.lit("abcd")), "abxd") == pytest.approx(0.75)
-    assert U.edit_distance(list("kitten"), list("sitting")) == 3 and U.edit_distance([], ["a"]) == 1
 
 
 P = chunking.Paragraph
@@ -174,6 +176,32 @@ def test_hierarchy(spark):
     assert {r.number: r.status for r in structure.validate(contents, articles).collect()} == {1: "ok", 2: "mismatch", 3: "missing"}
 
 
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_error_rates(spark):
+    rows = [("a b c", "a x c d"), ("", "one"), (None, None), ("same words", "same words"), ("w " * 50 + "é", " ".join(f"v{i}" for i in range(300))), ("ä ö", "a ö")]
+    got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string").select("i", U.word_error_rate(F.col("a"), F.col("b")).alias("wer"), evaluate.character_error_rate(F.col("a"), F.col("b")).alias("cer"))
+    for r in got.collect():
+        a, b = rows[r.i]
+        left, right = (a or "").split(), (b or "").split()
+        assert r.wer == pytest.approx(plain_distance(left, right) / max(1, len(left)))
+        if a is not None:
+            assert r.cer == pytest.approx(plain_distance(a, b) / max(1, len(a)))
+
+
+def test_word_error_rates_of_the_query(spark, sf):
+    rows = sorted(spark.read.parquet(f"{sf}/conversations.parquet").collect(), key=lambda r: (r.conv_id, r.turn))
+    want = {(b.conv_id, b.turn): round(plain_distance(a.text.split(), b.text.split()) / max(1, len(a.text.split())), 6) for a, b in itertools.pairwise(rows) if a.conv_id == b.conv_id}
+    assert {(r.conv_id, r.turn): pytest.approx(r.wer) for r in __spark_entry__.queries()["wer_adjacent_turns"](spark, sf).collect()} == want
+
+
 LINES = "doc_id string, line_no int, page int, text string, size double, x0 double, x1 double, body_size double"
 
 
@@ -321,6 +349,18 @@ def test_sinks(spark, tmp_path):
     assert writers.markdown_table(lines.select("page").limit(0)) == "| page |\n| --- |"
 
 
+def test_upsert_keeps_whole_versions(spark, tmp_path):
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, props string"
+    told = lambda n: sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/state/version={n}").select("user_id", "latest", "n").collect())
+    for n, rows in enumerate([[(1, 1, "a"), (2, 2, "b")], [(3, 1, "c")], [(4, 3, "d")]]):
+        made = spark.createDataFrame([(e, datetime.datetime(2024, 1, 1, e), u, t, "{}") for e, u, t in rows], schema)
+        made.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+        state = status.keyed_state(status.source(spark, f"{tmp_path}/events", made.schema))
+        status.upsert(state, f"{tmp_path}/state", f"{tmp_path}/checkpoint").awaitTermination()
+    assert status.versions(spark, f"{tmp_path}/state") == [0, 1, 2] and status.versions(spark, f"{tmp_path}/nothing") == []
+    assert told(0) == [(1, "a", 1), (2, "b", 1)] and told(2) == [(1, "c", 2), (2, "b", 1), (3, "d", 1)]
+
+
 def test_stream_equals_batch(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet")
     events.repartition(3).write.parquet(str(tmp_path / "in"))

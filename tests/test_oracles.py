@@ -44,10 +44,10 @@ def test_same_rows(spark, con, name):
     assert mine == sorted(tuple(map(plain, r)) for r in want)
 
 
-def test_every_query_without_sql_runs(spark):
-    for name, query in __spark_entry__.queries().items():
-        if name not in ORACLES and not name.startswith("op") and name != "pipeline":
-            assert query(spark, SF).count() >= 0, name
+def test_every_query_without_sql_has_a_test_of_its_own():
+    tested = {"agent_rules", "agent_scripted", "excerpt_select", "wer_adjacent_turns", "clause_chain", "section_split", "toc_validation_blocks"}
+    named = {n for n in __spark_entry__.queries() if n not in ORACLES and not n.startswith("op") and n != "pipeline"}
+    assert named <= tested, named - tested
 
 
 def test_entry(spark):

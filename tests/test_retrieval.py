@@ -102,8 +102,10 @@ def test_metrics(spark):
 def test_containment(spark):
     passage = "one two three four five six seven eight nine ten"
     docs = spark.createDataFrame([(1, f"x {passage} y"), (2, f"x{passage}y"), (3, passage.replace("ten", "tan")), (4, None), (5, f"{passage} {passage}")], "doc_id long, text string")
-    items = spark.createDataFrame([(7, passage), (8, None), (9, "too short")], "item_id long, text string")
-    assert sorted((r.query_id, r.id) for r in containment.passages(docs, items).collect()) == [(7, 1), (7, 2), (7, 5)]
+    items = spark.createDataFrame([(7, passage), (8, None), (9, "too short"), (10, "nine tan"), (11, "y"), (12, " "), (13, "two three four"), (14, "ine tan")], "item_id long, text string")
+    want = [(7, 1), (7, 2), (7, 5), (10, 3), (11, 1), (11, 2), *[(13, n) for n in (1, 2, 3, 5)], (14, 3)]
+    assert sorted((r.query_id, r.id) for r in containment.passages(docs, items).collect()) == want
+    assert containment.passages(docs, items.limit(0)).collect() == []
 
 
 def test_agent_answers_are_sanitised(spark):
