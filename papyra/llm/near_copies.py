@@ -3,20 +3,21 @@
 Shingles: texts lower-cased for A-Z, cut into words at ASCII white space, five words each; a shingle is a 64-bit hash
 of its words' hashes.  Texts of one set are one node, however many copies there are.
 
-1. Fingerprints of the shingles meet at anchor points (:func:`papyra.llm.simhash.links`).  Nodes whose fingerprints are
-   within the threshold are compared by their whole sets, at most two partners for each; groups of many near copies are
-   one class after that, at a cost that grows with the nodes, not with their pairs.
-2. No distance of fingerprints covers the rule: pairs at 0.8 differ in ten of 64 bits on average, many in more, and no
-   covering of that many bits is selective.  So the rest is found by prefixes, which lose no pair: if the shingles of all
-   sets are ordered alike, two sets as similar as that share one of the first n // 5 + 1 of each, and more of longer
-   prefixes (:func:`needed`).  Prefixes meet in one exchange by shingle, sorted by size; only nodes of different classes make
-   pairs.  Any order gives the same pairs; to meet rarely, shingles that recur in a sample of the documents (``SAMPLE`` of
-   them, counted by Spark) come last.
-3. Pairs that meet often enough are compared by whole sets, for each node those first that have the most
-   links so far, then those that meet most.  A pair whose nodes have
-   become one class is no longer needed for the components; the rounds end when no pair is left, each with eight times the
-   pairs of a node as the one before.
-
+1. Fingerprints of the shingles meet at anchor points (:func:`papyra.llm.simhash.links`), each with at most one partner that
+   is compared by the whole sets.  No distance of fingerprints covers the rule: pairs at 0.8 differ in ten of 64 bits on
+   average, many in more, and no covering of that many bits is selective.
+2. So large groups are gathered first: texts that have one of their ``LOW`` least shingles in common are compared with one
+   of them, in the second round with the one that has been most like others.  That grows with the texts, not with their
+   pairs, and leaves most groups of near copies as one class.
+3. The rest is found by prefixes, which lose no pair: if the shingles of all sets are ordered alike, two sets as similar as
+   that share one of the first n // 5 + 1 of each, and more of longer prefixes (:func:`needed`).  Prefixes meet in one exchange
+   by shingle, sorted by size; only nodes of different classes make pairs.  Any order gives the same pairs; to meet rarely,
+   shingles that recur in a sample of the documents (``SAMPLE`` of them, counted by Spark) come last.
+4. Pairs that meet often enough are compared by whole sets, for each node those first that have the most links so far, then
+   those that meet most.  A pair whose nodes have become one class is no longer needed for the components; the rounds end
+   when no pair is left, each with eight times the pairs of a node as the one before.
+
+Whole sets are compared by 32 bits of each shingle's hash: by chance, two of n shingles each share n * n / 2**32 more.
 Only the sample's recurring shingles come to the driver.
 
 Defined results: null and blank texts are one node without shingles; a text of fewer than five words is one shingle;
@@ -42,6 +43,8 @@ from .simhash import SEED, keep_first
 from .simhash import links as fingerprint_links
 
 WORDS = 5
+#: Least shingles by which groups are gathered, and how often.
+LOW, GATHERED = 4, 3
 #: Documents of the sample that orders the shingles, and how many of its sets make a shingle a recurring one.
 SAMPLE, RECURRING = 16384, 3
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -162,21 +165,22 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Sets:
-    """Whole sets of the nodes of some pairs, taken from the texts once and kept in the shared folder."""
+    """Whole sets of some nodes (column ``node``), taken from the texts once and kept in the shared folder."""
 
-    def __init__(self, docs: DataFrame, rows: DataFrame, pairs: DataFrame, doc_id: str, text: str) -> None:
-        ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-        hint = F.broadcast if is_small(ends) else lambda df: df  # the texts of few pairs are picked without an exchange of all texts
-        one = rows.select("node", "row_key").join(hint(ends), "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
+    def __init__(self, docs: DataFrame, rows: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> None:
+        nodes = checkpointed(nodes.distinct())
+        hint = F.broadcast if is_small(nodes) else lambda df: df  # the texts of few nodes are picked without an exchange of all texts
+        one = rows.select("node", "row_key").join(hint(nodes), "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
         keyed = docs.select(F.xxhash64(docs[doc_id], docs[text]).alias("row_key"), docs[text].cast("string").alias("t"))
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in text_slices(batch, "t"):
-                    yield pa.RecordBatch.from_arrays([part.column("node"), _lists([shingles(t) for t in part.column("t").to_pylist()])], names=["node", "s"])
+                    own = [np.unique(shingles(t) >> np.uint64(32)).astype(np.uint32).view(np.int32) for t in part.column("t").to_pylist()]
+                    yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(own, pa.list_(pa.int32()))], names=["node", "s"])
 
         texts = keyed.join(hint(one), "row_key").dropDuplicates(["node"])
-        self.sets = checkpointed(texts.select("node", "t").mapInArrow(whole, "node long, s array<long>"))
+        self.sets = checkpointed(texts.select("node", "t").mapInArrow(whole, "node long, s array<int>"))
 
     def alike(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs ``u, v`` that are similar enough."""
@@ -196,24 +200,48 @@ def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return told.where(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select(pairs.columns)
 
 
-def anchored(rows: DataFrame, threshold: int) -> DataFrame:
-    """``u, v``: pairs of nodes of equal or near fingerprints, at most two for each fingerprint and one for each further node of it."""
-    of = rows.where("n > 0").groupBy("fp").agg(F.min("node").alias("least"))
-    near = fingerprint_links(checkpointed(of), threshold)
-    both = near.unionByName(near.select(F.col("u").alias("v"), F.col("v").alias("u")))
-    ends = both.groupBy("u").agg(F.min("v").alias("a"), F.max("v").alias("b"))
-    picked = ends.select(F.col("u").alias("fp"), F.explode(F.array_distinct(F.array("a", "b"))).alias("other"))
-    across = picked.join(of.withColumnRenamed("least", "u"), "fp").select("u", F.col("other").alias("fp")).join(of.withColumnRenamed("least", "v"), "fp").select("u", "v")
-    same = rows.where("n > 0").join(of, "fp").where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
-    pairs = across.unionByName(same).where("u <> v")
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+def anchored(nodes: DataFrame, threshold: int) -> DataFrame:
+    """``u, v``: for each node ``node, fp`` at most one of equal, or else near, fingerprint."""
+    of = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("least")))
+    near = fingerprint_links(of, threshold)
+    partner = near.unionByName(near.select(F.col("u").alias("v"), F.col("v").alias("u"))).groupBy("u").agg(F.min("v").alias("v"))
+    across = partner.join(of.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(of.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v")
+    same = nodes.join(of, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    pairs = across.select("a", "b").unionByName(same)
+    return pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
+def gathered(low: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
+    """``u, v``: for each node of ``low(s, n, node)`` at most one of another class, that has most links of those with the same s.
+
+    The one is found by a partial aggregation; a shingle that many texts have makes one pair for each of them.
+    """
+    degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    told = low.join(degree, "node", "left").join(classes, "node", "left")
+    told = told.select("s", "n", "node", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("class", "node").alias("class"))
+    hubs = told.groupBy("s").agg(F.max(F.struct("degree", "node", "n", "class")).alias("hub"), F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b")
+    met = told.join(hubs.select("s", "hub"), "s").where("class <> hub.class and 5 * least(n, hub.n) >= 4 * greatest(n, hub.n)")
+    counted = met.groupBy("node", "hub.node", "hub.degree").agg(F.count("*").alias("count")).toDF("u", "v", "degree", "count")
+    best = counted.groupBy("u").agg(F.max_by("v", F.struct("degree", "count", "v")).alias("v"))
+    return best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def similar(docs: DataFrame, rows: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: int = 2) -> DataFrame:
     """``node, class`` of the nodes that are similar to any; rows as :func:`near_copies` makes them."""
-    first = checkpointed(anchored(rows, threshold))
-    links = checkpointed(_Sets(docs, rows, first, doc_id, text).alike(first))
+    few = checkpointed(rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("low").alias("low")))
+    low = few.select(F.explode("low").alias("s"), "n", "node")
+    shared = low.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    near = checkpointed(anchored(few, threshold))
+    ends = near.select(F.explode(F.array("u", "v")).alias("node")).unionByName(low.join(shared, "s", "left_semi").select("node"))
+    sets = _Sets(docs, rows, ends, doc_id, text)
+    links = checkpointed(sets.alike(near))
     classes = _classes(links)
+    for _ in range(GATHERED):
+        pairs = checkpointed(gathered(low, links, classes))
+        if pairs.isEmpty():
+            break
+        links = checkpointed(links.unionByName(sets.alike(pairs)))
+        classes = _classes(links)
     nodes = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     placed = nodes.join(classes, "node", "left").select(F.posexplode("prefix").alias("place", "s"), "n", "node", F.coalesce("class", "node").alias("class"))
     together = placed.select("s", F.col("n").cast("long"), F.col("place").cast("long"), "node", "class").repartition("s").sortWithinPartitions("s", "n")
@@ -221,7 +249,7 @@ def similar(docs: DataFrame, rows: DataFrame, *, doc_id: str = "doc_id", text: s
     pairs = checkpointed(met.where("count >= k").select("u", "v", "count"))
     if pairs.isEmpty():
         return classes
-    sets, budget = _Sets(docs, rows, pairs, doc_id, text), 1
+    sets, budget = _Sets(docs, rows, pairs.select(F.explode(F.array("u", "v")).alias("node")), doc_id, text), 1
     while not pairs.isEmpty():
         degree = links.select(F.explode(F.array("u", "v")).alias("other")).groupBy("other").agg(F.count("*").alias("degree"))
         sides = pairs.withColumn("node", F.explode(F.array("u", "v"))).withColumn("other", F.when(F.col("node") == F.col("u"), F.col("v")).otherwise(F.col("u")))
@@ -245,11 +273,11 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             for part in text_slices(batch, "t"):
                 own = [shingles(t) for t in part.column("t").to_pylist()]
                 first = _lists([prefix(s, keys, counts) for s in own])
-                made = [pa.array([_node(s) for s in own], pa.int64()), pa.array([fingerprint(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int32()), first]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), *made], names=["doc_id", "row_key", "node", "fp", "n", "prefix"])
+                made = [pa.array([_node(s) for s in own], pa.int64()), pa.array([fingerprint(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int32()), _lists([s[:LOW] for s in own]), first]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), *made], names=["doc_id", "row_key", "node", "fp", "n", "low", "prefix"])
 
     texts = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[doc_id], docs[text]).alias("row_key"), docs[text].cast("string").alias("t"))
-    rows = checkpointed(texts.mapInArrow(run, f"doc_id {kind}, row_key long, node long, fp long, n int, prefix array<long>"))
+    rows = checkpointed(texts.mapInArrow(run, f"doc_id {kind}, row_key long, node long, fp long, n int, low array<long>, prefix array<long>"))
     grouped = similar(docs, rows, doc_id=doc_id, text=text, threshold=threshold)
     return rows.join(grouped, "node", "left").select("doc_id", "row_key", "node", F.coalesce("class", "node").alias("root"))
 
