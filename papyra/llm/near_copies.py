@@ -11,11 +11,14 @@ of its words' hashes.  Texts of one set are one node, however many copies there
    pairs, and leaves most groups of near copies as one class.
 3. The rest is found by prefixes, which lose no pair: if the shingles of all sets are ordered alike, two sets as similar as
    that share one of the first n // 5 + 1 of each, and more of longer prefixes (:func:`needed`).  Prefixes meet in one exchange
-   by shingle, sorted by size; only nodes of different classes make pairs.  Any order gives the same pairs; to meet rarely,
-   shingles that recur in a sample of the documents (``SAMPLE`` of them, counted by Spark) come last.
-4. Pairs that meet often enough are compared by whole sets, for each node those first that have the most links so far, then
-   those that meet most.  A pair whose nodes have become one class is no longer needed for the components; the rounds end
-   when no pair is left, each with eight times the pairs of a node as the one before.
+   by shingle.  A hub and the texts compared with it are one star there, and meet as one; only stars of different classes make
+   pairs.  Any order gives the same pairs; to meet rarely, shingles that recur in a sample of the documents (``SAMPLE`` of
+   them, counted by Spark) come last.
+4. Stars that meet often enough are compared by their hubs, for each star those first that have the most links so far, then
+   those that meet most.  As Jaccard distances keep the triangle inequality, texts of two stars can only be similar if their
+   hubs are no farther apart than a fifth and both radii; only then are texts compared one by one.  A pair whose ends have
+   become one class is no longer needed for the components; the rounds end when no pair is left, each with eight times the
+   pairs of a text as the one before.
 
 Whole sets are compared by 32 bits of each shingle's hash: by chance, two of n shingles each share n * n / 2**32 more.
 Only the sample's recurring shingles come to the driver.
@@ -122,7 +125,7 @@ def prefix(own: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``u, v, k`` of rows ``s, n, place, node, class`` sorted by s and n: meetings of pairs of two classes that sizes and places allow, and how many they need."""
+    """``u, v, k`` of rows ``s, hub, n, place, class`` sorted by s and hub: meetings of two classes' stars that sizes and places allow, and how many they need at least."""
     held: list[np.ndarray] = [np.zeros(0, np.int64)] * 5
     made: list[list[np.ndarray]] = [[], [], []]
 
@@ -132,23 +135,33 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x.clear()
         return out
 
-    def pairs(s: np.ndarray, n: np.ndarray, place: np.ndarray, node: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
-        # shingles whose nodes are all of one class make no pairs, however many they are
-        first = np.searchsorted(s, s)
-        mixed = np.bincount(first, weights=own != own[first], minlength=len(s))[first] > 0 if len(s) else np.zeros(0, bool)
-        s, n, place, node, own = (x[mixed] for x in (s, n, place, node, own))
+    def pairs(s: np.ndarray, hub: np.ndarray, n: np.ndarray, place: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(s):
+            return
+        # a star is one row for each of its shingles: sizes from least to most, and the farthest places
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(s) != 0) | (np.diff(hub) != 0)]))
+        least, most = np.minimum.reduceat(n, new), np.maximum.reduceat(n, new)
+        before, behind = np.maximum.reduceat(place, new), np.maximum.reduceat(n - place, new)
+        s, hub, own = s[new], hub[new], own[new]
+        first = np.searchsorted(s, s)  # shingles whose stars are all of one class make no pairs
+        mixed = np.bincount(first, weights=own != own[first], minlength=len(s))[first] > 0
+        s, hub, own, least, most, before, behind = (x[mixed] for x in (s, hub, own, least, most, before, behind))
+        order = np.lexsort((least, s))
+        s, hub, own, least, most, before, behind = (x[order] for x in (s, hub, own, least, most, before, behind))
         step, alive = 1, np.arange(len(s))
         while True:
             alive = alive[alive + step < len(s)]
             other = alive + step
-            near = (s[alive] == s[other]) & (5 * n[alive] >= 4 * n[other])  # as sizes ascend, none farther on is nearer
+            near = (s[alive] == s[other]) & (5 * most[alive] >= 4 * least[other])  # as sizes ascend, none farther on is nearer
             alive, other = alive[near], other[near]
             if not len(alive):
                 return
-            most = np.minimum(place[alive], place[other]) + np.minimum(n[alive] - place[alive], n[other] - place[other])
-            fit = (9 * most >= 4 * (n[alive] + n[other])) & (own[alive] != own[other])
-            u, v = node[alive[fit]], node[other[fit]]
-            for out, x in zip(made, (np.minimum(u, v), np.maximum(u, v), needed(n[alive[fit]], n[other[fit]])), strict=True):
+            common = np.minimum(before[alive], before[other]) + np.minimum(behind[alive], behind[other])
+            fit = (9 * common >= 4 * (least[alive] + least[other])) & (own[alive] != own[other])
+            i, j = alive[fit], other[fit]
+            k = needed(least[i], np.maximum(most[i], most[j]))
+            k = np.where((least[i] == most[i]) & (least[j] == most[j]), k, np.maximum(1, k - 2))  # rounding, over all sizes of a star
+            for out, x in zip(made, (np.minimum(hub[i], hub[j]), np.maximum(hub[i], hub[j]), k), strict=True):
                 out.append(x)
             if sum(map(len, made[0])) > 50_000:
                 yield sent()
@@ -182,24 +195,64 @@ class _Sets:
         texts = keyed.join(hint(one), "row_key").dropDuplicates(["node"])
         self.sets = checkpointed(texts.select("node", "t").mapInArrow(whole, "node long, s array<int>"))
 
-    def alike(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs ``u, v`` that are similar enough."""
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        """``u, v, d, alike``: the Jaccard distance of each pair ``u, v``, and whether it is similar enough."""
         left, right = (self.sets.select(F.col("node").alias(k), F.col("s").alias(f"of_{k}")) for k in ("u", "v"))
         both = pairs.select("u", "v").join(left, "u").join(right, "v")
-        return both.where(9 * F.size(F.array_intersect("of_u", "of_v")) >= 4 * (F.size("of_u") + F.size("of_v"))).select("u", "v")
+        sizes = both.select("u", "v", F.size(F.array_intersect("of_u", "of_v")).alias("i"), (F.size("of_u") + F.size("of_v")).alias("n"))
+        return sizes.select("u", "v", (1 - F.col("i") / (F.col("n") - F.col("i"))).alias("d"), (9 * F.col("i") >= 4 * F.col("n")).alias("alike"))
+
+
+class _Links:
+    """What has been compared so far (``u, v, d, alike``), and the classes that the similar ones make."""
+
+    def __init__(self, sets: _Sets, pairs: DataFrame) -> None:
+        self.sets = sets
+        self.all = checkpointed(sets.compared(pairs))
+        self._renew()
+
+    def _renew(self) -> None:
+        self.links = self.all.where("alike")
+        self.classes = _classes(self.links.select("u", "v"))
+
+    def compare(self, pairs: DataFrame) -> None:
+        self.all = checkpointed(self.all.unionByName(self.sets.compared(pairs)))
+        self._renew()
+
+    def degrees(self) -> DataFrame:
+        return self.links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose nodes aren't of one class."""
+        own = lambda k: self.classes.select(F.col("node").alias(k), F.col("class").alias(f"of_{k}"))
+        told = pairs.join(own("u"), "u", "left").join(own("v"), "v", "left")
+        return told.where(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select(pairs.columns)
+
+    def settle(self, pairs: DataFrame) -> None:
+        """Compare pairs ``u, v, count`` until each is compared or of one class."""
+        pairs, budget = checkpointed(self.apart(pairs)), 1
+        while not pairs.isEmpty():
+            sides = pairs.withColumn("at", F.explode(F.array("u", "v"))).withColumn("node", F.when(F.col("at") == F.col("u"), F.col("v")).otherwise(F.col("u")))
+            order = F.row_number().over(Window.partitionBy("at").orderBy(F.desc_nulls_last("degree"), F.desc("count"), "u", "v"))
+            ranked = sides.join(self.degrees(), "node", "left").withColumn("rank", order)
+            ranked = checkpointed(ranked.groupBy("u", "v", "count").agg(F.min("rank").alias("rank")))  # the better rank of the two
+            self.compare(ranked.where(F.col("rank") <= budget))
+            pairs = checkpointed(self.apart(ranked.where(F.col("rank") > budget).drop("rank")))
+            budget *= 8
+
+    def stars(self) -> DataFrame:
+        """``node, hub, d``: nodes linked to one that has more links than they, if no neighbour of that one has still more."""
+        degree = self.degrees()
+        ends = self.links.select("u", "v", "d").unionByName(self.links.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"))
+        told = ends.join(degree.toDF("u", "own"), "u").join(degree.toDF("v", "others"), "v").where(F.struct("others", "v") > F.struct("own", "u"))
+        best = checkpointed(told.groupBy("u").agg(F.max(F.struct("others", "v", "d")).alias("m")).select(F.col("u").alias("node"), "m.v", "m.d"))
+        return best.join(best.select(F.col("node").alias("v")), "v", "left_anti").select("node", F.col("v").alias("hub"), "d")
 
 
 def _classes(links: DataFrame) -> DataFrame:
     return checkpointed(components(links).select("node", F.col("root").alias("class")))
 
 
-def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose nodes aren't of one class."""
-    own = lambda k: classes.select(F.col("node").alias(k), F.col("class").alias(f"of_{k}"))
-    told = pairs.join(own("u"), "u", "left").join(own("v"), "v", "left")
-    return told.where(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select(pairs.columns)
-
-
 def anchored(nodes: DataFrame, threshold: int) -> DataFrame:
     """``u, v``: for each node ``node, fp`` at most one of equal, or else near, fingerprint."""
     of = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("least")))
@@ -211,13 +264,12 @@ def anchored(nodes: DataFrame, threshold: int) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
-def gathered(low: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
+def gathered(low: DataFrame, links: _Links) -> DataFrame:
     """``u, v``: for each node of ``low(s, n, node)`` at most one of another class, that has most links of those with the same s.
 
     The one is found by a partial aggregation; a shingle that many texts have makes one pair for each of them.
     """
-    degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    told = low.join(degree, "node", "left").join(classes, "node", "left")
+    told = low.join(links.degrees(), "node", "left").join(links.classes, "node", "left")
     told = told.select("s", "n", "node", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("class", "node").alias("class"))
     hubs = told.groupBy("s").agg(F.max(F.struct("degree", "node", "n", "class")).alias("hub"), F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b")
     met = told.join(hubs.select("s", "hub"), "s").where("class <> hub.class and 5 * least(n, hub.n) >= 4 * greatest(n, hub.n)")
@@ -233,34 +285,44 @@ def similar(docs: DataFrame, rows: DataFrame, *, doc_id: str = "doc_id", text: s
     shared = low.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
     near = checkpointed(anchored(few, threshold))
     ends = near.select(F.explode(F.array("u", "v")).alias("node")).unionByName(low.join(shared, "s", "left_semi").select("node"))
-    sets = _Sets(docs, rows, ends, doc_id, text)
-    links = checkpointed(sets.alike(near))
-    classes = _classes(links)
+    links = _Links(_Sets(docs, rows, ends, doc_id, text), near)
     for _ in range(GATHERED):
-        pairs = checkpointed(gathered(low, links, classes))
+        pairs = checkpointed(gathered(low, links))
         if pairs.isEmpty():
             break
-        links = checkpointed(links.unionByName(sets.alike(pairs)))
-        classes = _classes(links)
+        links.compare(pairs)
+    stars = checkpointed(links.stars())
     nodes = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    placed = nodes.join(classes, "node", "left").select(F.posexplode("prefix").alias("place", "s"), "n", "node", F.coalesce("class", "node").alias("class"))
-    together = placed.select("s", F.col("n").cast("long"), F.col("place").cast("long"), "node", "class").repartition("s").sortWithinPartitions("s", "n")
-    met = together.mapInArrow(meet, "u long, v long, k long").groupBy("u", "v", "k").count()
+    named = nodes.join(stars.select("node", "hub"), "node", "left").join(links.classes, "node", "left")
+    placed = named.select(F.posexplode("prefix").alias("place", "s"), "n", F.coalesce("hub", "node").alias("hub"), F.coalesce("class", "node").alias("class"))
+    together = placed.select("s", "hub", F.col("n").cast("long"), F.col("place").cast("long"), "class").repartition("s").sortWithinPartitions("s", "hub")
+    met = together.mapInArrow(meet, "u long, v long, k long").groupBy("u", "v").agg(F.count("*").alias("count"), F.min("k").alias("k"))
     pairs = checkpointed(met.where("count >= k").select("u", "v", "count"))
     if pairs.isEmpty():
-        return classes
-    sets, budget = _Sets(docs, rows, pairs.select(F.explode(F.array("u", "v")).alias("node")), doc_id, text), 1
-    while not pairs.isEmpty():
-        degree = links.select(F.explode(F.array("u", "v")).alias("other")).groupBy("other").agg(F.count("*").alias("degree"))
-        sides = pairs.withColumn("node", F.explode(F.array("u", "v"))).withColumn("other", F.when(F.col("node") == F.col("u"), F.col("v")).otherwise(F.col("u")))
-        order = F.row_number().over(Window.partitionBy("node").orderBy(F.desc_nulls_last("degree"), F.desc("count"), "u", "v"))
-        sides = sides.join(degree, "other", "left").withColumn("rank", order)
-        ranked = checkpointed(sides.groupBy("u", "v", "count").agg(F.min("rank").alias("rank")))  # the better rank of the two
-        links = checkpointed(links.unionByName(sets.alike(ranked.where(F.col("rank") <= budget))))
-        classes = _classes(links)
-        pairs = checkpointed(_apart(ranked.where(F.col("rank") > budget).drop("rank"), classes))
-        budget *= 8
-    return classes
+        return links.classes
+    radius = stars.groupBy("hub").agg(F.max("d").alias("r"))
+    of = lambda k: radius.select(F.col("hub").alias(k), F.col("r").alias(f"r_{k}"))
+    wide = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    # stars of one text are settled by that text; others are all compared by their hubs
+    hubs = checkpointed(wide.where("r_u is not null or r_v is not null").select("u", "v", "count", F.coalesce("r_u", F.lit(0.0)).alias("r_u"), F.coalesce("r_v", F.lit(0.0)).alias("r_v")))
+    members = checkpointed(stars.unionByName(stars.select(F.col("hub").alias("node"), "hub", F.lit(0.0).alias("d")).distinct()).join(few.select("node", "n"), "node"))
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("hub")).distinct()
+    needed_sets = ends.select(F.col("hub").alias("node")).unionByName(members.join(ends, "hub", "left_semi").select("node"))
+    links.sets = _Sets(docs, rows, needed_sets, doc_id, text)
+    links.compare(links.apart(hubs))
+    links.settle(wide.where("r_u is null and r_v is null").select("u", "v", "count"))
+    known = links.all.groupBy("u", "v").agg(F.min("d").alias("d"))
+    near = checkpointed(links.apart(hubs.join(known, ["u", "v"])).where(F.col("d") <= 0.2 + F.col("r_u") + F.col("r_v") + 1e-9))
+    alone = lambda k: few.select(F.col("node"), F.col("node").alias("hub"), F.lit(0.0).alias("d"), "n").join(near.select(F.col(k).alias("hub")).distinct(), "hub", "left_semi").join(stars.select("hub"), "hub", "left_anti")
+    texts = lambda k: members.unionByName(alone(k)).select(F.col("hub").alias(k), F.col("node").alias(f"n_{k}"), F.col("d").alias(f"d_{k}"), F.col("n").alias(f"s_{k}"))
+    for one_is_hub in (True, False):  # first against the hubs, which settles most
+        open_ = links.apart(near)
+        both = open_.join(texts("u"), "u").join(texts("v"), "v").where("5 * least(s_u, s_v) >= 4 * greatest(s_u, s_v)")
+        both = both.where((F.col("d_u") + F.col("d_v") >= F.col("d") - 0.2 - 1e-9) & (F.col("d_u") + F.col("d_v") > 0))
+        both = both.where("n_u = u or n_v = v") if one_is_hub else both.where("n_u <> u and n_v <> v")
+        told = both.select(F.least("n_u", "n_v").alias("u"), F.greatest("n_u", "n_v").alias("v"), F.round((F.col("d_u") + F.col("d_v")) * 1000).cast("long").alias("count"))
+        links.settle(told.groupBy("u", "v").agg(F.max("count").alias("count")))
+    return links.classes
 
 
 def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: int = 2) -> DataFrame:

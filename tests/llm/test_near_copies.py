@@ -59,19 +59,38 @@ def test_many_near_copies_of_one_text(spark, documents, monkeypatch):
     rows = list(enumerate(rows))
     assert {r.doc_id for r in near_copies.keep_one(documents(*rows)).collect()} == plain_kept(rows)
     sent = []
-    real = near_copies._Sets.alike
-    monkeypatch.setattr(near_copies._Sets, "alike", lambda self, pairs: (sent.append(pairs.count()), real(self, pairs))[1])
+    real = near_copies._Sets.compared
+    monkeypatch.setattr(near_copies._Sets, "compared", lambda self, pairs: (sent.append(pairs.count()), real(self, pairs))[1])
     near_copies.keep_one(documents(*rows[:151])).count()
     assert sum(sent) < 5 * 151, sent  # not the pairs of the group
 
 
-def test_meetings_of_one_class_make_no_pairs():
+def test_meetings_of_one_class_or_star():
     n = 500
-    row = lambda cls: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([7] * n, [50] * n, [0] * n, list(range(n)), cls)], names=["s", "n", "place", "node", "class"])
-    assert sum(map(len, near_copies.meet(iter([row([1] * n)])))) == 0
-    assert sum(map(len, near_copies.meet(iter([row([1] * (n - 2) + [2, 3])])))) == 2 * (n - 2) + 1
-    halves = [row([1] * n).slice(0, 100), row([1] * (n - 2) + [2, 3]).slice(100)]
-    assert sum(map(len, near_copies.meet(iter(halves)))) == 2 * (n - 2) + 1
+    row = lambda hub, cls: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([7] * n, hub, [50] * n, [0] * n, cls)], names=["s", "hub", "n", "place", "class"])
+    count = lambda *batches: sum(map(len, near_copies.meet(iter(batches))))
+    alone, mixed = list(range(n)), [1] * (n - 2) + [2, 3]
+    assert count(row(alone, [1] * n)) == 0
+    assert count(row(alone, mixed)) == count(row(alone, mixed).slice(0, 100), row(alone, mixed).slice(100)) == 2 * (n - 2) + 1
+    assert count(row([5] * (n - 2) + [6, 7], mixed)) == 3  # a star meets as one
+
+
+def test_random_groups_against_brute_force(spark, documents):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for _ in range(6):  # chains and stars around several bases, and texts that have passages in common
+        base = [rng.choice(words) for _ in range(rng.randrange(40, 120))]
+        for _ in range(25):
+            text = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            if rng.random() < 0.3:
+                base = text
+            rows.append(" ".join(text[: len(text) - rng.randrange(0, 12)]))
+        rows += [" ".join(base[:30] + [rng.choice(words) for _ in range(rng.randrange(2, 20))]) for _ in range(6)]
+    rows = list(enumerate(rows))
+    assert {r.doc_id for r in near_copies.keep_one(documents(*rows)).collect()} == plain_kept(rows)
 
 
 def test_ids_of_text(spark):
