@@ -33,8 +33,28 @@ CHAPTER = rf"^الفصل\s+({_ORDINAL})\s*(?::\s*(.+))?$"
 ARTICLE = rf"^(المادة\s+)?({_ORDINAL})\s*:\s*(.+)$"
 ANNEX = r"^(?:الملحق|ملحق)\s*\(?\s*(\d+(?:\s*-\s*\d+)?)\s*\)?(?:\s*\(([ء-ي])\))?\s*(?::\s*)?(.*)$"
 FOOTNOTE_MARK = r"\[\^(\d+)\]"
+FOOTNOTE_LINE = r"^(?:\[\^(\d+)\]|(\d+))\s+(.*)$"
+FIRST_HEADING = r"^(الباب|الفصل) الأول$"
+CONTENTS_TITLE = "المحتويات"
+CLASSIFICATION = r"(?i)Internal\s*-\s*داخ\s*ل?ي?|داخلي\s*-\s*Internal"
 LEFT_MARGIN, RIGHT_MARGIN = 70.0, 530.0
 
+# --- fixed values: warnings that ask for a person's look ---
+REVIEW_WARNINGS = (
+    "OCR_UNAVAILABLE", "LOW_NATIVE_QUALITY_NO_OCR", "LOW_OCR_CONFIDENCE", "REVERSED_ARABIC", "LEGACY_ARABIC_ENCODING",
+    "NATIVE_OCR_MISMATCH", "PAGE_FAILED", "AUTO_NUMBERING_MAY_BE_MISSING", "OCR_NUMBERS_UNVERIFIED", "UNREAD_DRAWN_TEXT",
+)
+
+# --- fixed values: what opens a block of text, punctuation around tokens read from images, addresses ---
+BLOCK_OPENS = (
+    r"\d{1,3}(?:\.\d{1,3})+\s+(?=\S)", r"\d{1,3}(?:\.\d{1,3})*(?:[\)\.\-–:]\s+|\s+(?=[A-Z])|\s*$)", r"\(\d{1,3}\)\s+", r"[•●▪◦■*\-–—]\s+",
+    r"\(?[A-Za-z]\)\s+", r"[a-z]\.\s+", r"(?:article|section|chapter|clause|part|appendix)\s+\w+",
+    r"(?:المادة|مادة|الباب|الفصل|القسم|البند|الفقرة|الملحق)\s", r"(?:اولا|ثانيا|ثالثا|رابعا|خامسا|سادسا|سابعا|ثامنا|تاسعا|عاشرا)\b", r"\(?[ا-ي][\)\.\-]\s",
+)
+EDGE_PUNCTUATION = "/,.:;|()[]{}«»\"'`’‘°©_~"
+WEB_ADDRESS = r"(www\.[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[a-z]{2,4})"
+MAX_EMAIL, MIN_PASSWORD = 254, 8
+
 # --- fixed values: list markers, by style in order of precedence; group 1 is the number or letter ---
 _NUMBER = "(\\d{1,2}|[" + ABJAD + "])"
 MARKER_STYLES = (

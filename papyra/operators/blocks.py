@@ -21,6 +21,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 ROW_BLOCK, QUERY_BATCH = 32_768, 2_048
@@ -40,7 +42,7 @@ def matrices(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     for n in pc.unique(lengths).to_pylist():
         own = table.filter(pc.equal(lengths, n)).sort_by("id").combine_chunks()
         flat = pc.list_flatten(own.column("v")).to_numpy()
-        out[n] = own.column("id").to_numpy(), np.ascontiguousarray(flat.reshape(-1, n), dtype=np.float64)
+        out[n] = own.column("id").to_numpy(zero_copy_only=False) if pa.types.is_integer(own.schema.field("id").type) else np.array(own.column("id").to_pylist(), object), np.ascontiguousarray(flat.reshape(-1, n), dtype=np.float64)
     return out
 
 
@@ -61,25 +63,26 @@ class _Block:
 
 
 def _best(found: list[Found], k: int) -> Found:
+    found = [x for x in found if len(x[0])] or [_NONE]
     q, r, s = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((r, -s, q))
-    q, r, s = q[order], r[order], s[order]
-    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    by_query, by_row = (np.unique(x, return_inverse=True)[1] for x in (q, r))  # ids of any type
+    order = np.lexsort((by_row, -s, by_query))
+    q, r, s, by_query = q[order], r[order], s[order], by_query[order]
+    keep = np.arange(len(q)) - np.searchsorted(by_query, by_query) < k
     return q[keep], r[keep], s[keep]
 
 
-def _batch(found: Found, kind: pa.DataType) -> pa.RecordBatch:
-    q, r, s = found
-    return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(r, pa.int64()), pa.array(s).cast(kind)], names=["query_id", "id", "score"])
+def _batch(found: Found, kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x if x.dtype != object else x.tolist()).cast(t) for x, t in zip(found, kinds, strict=True)], names=["query_id", "id", "score"])
 
 
 def search(queries: DataFrame, rows: DataFrame, index: Index, k: int, *, score: str = "double", row_block: int = ROW_BLOCK, few: int = FEW) -> DataFrame:
-    """``query_id, id, score, rank``: each query's k best rows, ties to the smaller id; both sides ``(id long, v array<double>)`` without nulls.
+    """``query_id, id, score, rank``: each query's k best rows, ties to the smaller id; both sides ``(id, v array<double>)`` without nulls.
 
-    Ids are unique on each side.
+    Ids are unique on each side, and long or any other type that can be ordered.
     """
-    kind = pa.int64() if score == "long" else pa.float64()
-    schema = f"query_id long, id long, score {score}"
+    schema = f"query_id {queries.schema['id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score {score}"
+    kinds = [f.type for f in to_arrow_schema(StructType.fromDDL(schema))]
     if (queries.agg(F.sum(F.size("v").cast("long"))).first()[0] or 0) <= few:
         asked = matrices(queries.select("id", "v").toArrow())
 
@@ -93,7 +96,7 @@ def search(queries: DataFrame, rows: DataFrame, index: Index, k: int, *, score:
                 if batch is not None and len(batch):
                     held.append(batch)
             if found:
-                yield _batch(found[0], kind)
+                yield _batch(found[0], kinds)
 
         met = rows.select("id", "v").mapInArrow(stay, schema)
     else:
@@ -115,7 +118,7 @@ def search(queries: DataFrame, rows: DataFrame, index: Index, k: int, *, score:
                         if block is None:
                             block, held = _Block(index, pa.Table.from_batches(held)), []
                         for found in block.answers(matrices(pa.Table.from_batches([part]))):
-                            yield _batch(_best([found], k), kind)
+                            yield _batch(_best([found], k), kinds)
 
         met = dealt.unionByName(sent).repartition(blocks, "block").sortWithinPartitions(*order).mapInArrow(stream, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from papyra.operators import blocks
 
@@ -19,7 +20,8 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, *, cosine: bool = True,
     length don't meet.
     """
     sound = "id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x))"
-    queries, rows = (d.where(sound).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")) for d in (queries, rows))
+    whole = lambda d: F.col("id").cast("long").alias("id") if isinstance(d.schema["id"].dataType, IntegralType) else F.col("id")
+    queries, rows = (d.where(sound).select(whole(d), F.col("v").cast("array<double>").alias("v")) for d in (queries, rows))
     return blocks.search(queries, rows, blocks.products(k, cosine=cosine, digits=digits), k, row_block=row_block, few=few)
 
 

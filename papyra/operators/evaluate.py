@@ -87,6 +87,17 @@ def delta(rows: DataFrame, *, run: str, full: str, values: tuple[str, ...], digi
     return rows.select("*", *told)
 
 
+def gate(rows: DataFrame, value: str, least: float) -> DataFrame:
+    """``value, least, passed`` in one row: the least of a metric's rows against what it must reach; no rows don't pass."""
+    return rows.agg(F.min(value).cast("double").alias("value")).select("value", F.lit(float(least)).alias("least"), F.coalesce(F.col("value") >= least, F.lit(False)).alias("passed"))
+
+
+def proper_runs(runs: DataFrame, name: str = "name", setup: str = "setup") -> DataFrame:
+    """Timing records without descriptions of the environment, and without checks."""
+    stem, told = F.col(name), F.coalesce(setup, F.lit(""))
+    return runs.where(stem.startswith("timing_") & ~stem.startswith("timing_environment") & ~stem.contains("_check") & ~told.endswith("zero-cost check"))
+
+
 def summary(rows: DataFrame, values: dict[str, str], *, digits: int = 3) -> DataFrame:
     """``stage, n, mean, median, min, max, share``: each value's statistics, and its mean's share of all means."""
     stacked = rows.select(F.explode(F.array(*[F.struct(F.lit(name).alias("stage"), F.col(column).cast("double").alias("x")) for name, column in values.items()])).alias("s")).select("s.*")

@@ -12,6 +12,21 @@ def first_seen(rows: DataFrame, key: str, order: Column, *values: str) -> DataFr
     return rows.groupBy(key).agg(*[F.min_by(v, order).alias(v) for v in values])
 
 
+def owned(rows: DataFrame, owner: str, user: object) -> DataFrame:
+    """The rows of one user; rows without an owner belong to nobody."""
+    return rows.where(F.coalesce(F.col(owner) == F.lit(user), F.lit(False)))
+
+
+def branches(events: DataFrame, key: str, total: Column, done: Column) -> DataFrame:
+    """``<key>, total, done, complete``: how many of a key's parallel branches are through; complete once all are.
+
+    ``total``: the number that is told (the largest counts), ``done``: whether an event ends a branch.  Counting has no
+    order, so that no lock is needed; it runs on a stream as on a table.
+    """
+    told = events.groupBy(key).agg(F.max(total).alias("total"), F.count_if(F.coalesce(done, F.lit(False))).alias("done"))
+    return told.withColumn("complete", F.coalesce(F.col("done") >= F.col("total"), F.lit(False)))
+
+
 def status(running: Column, output: Column) -> Column:
     """The running state if there is one, else done if there is output, else failed."""
     return F.coalesce(running, F.when(output.isNotNull(), "done").otherwise("failed"))
