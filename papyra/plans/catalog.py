@@ -35,4 +35,4 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import every module of queries."""
-    from papyra.plans import agent, evaluation, retrieval, service, structure, text  # noqa: F401
+    from papyra.plans import agent, documents, evaluation, retrieval, service, structure, text  # noqa: F401

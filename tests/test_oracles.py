@@ -45,7 +45,7 @@ def test_same_rows(spark, con, name):
 
 
 def test_every_query_without_sql_has_a_test_of_its_own():
-    tested = {"agent_rules", "agent_scripted", "excerpt_select", "wer_adjacent_turns", "clause_chain", "section_split", "toc_validation_blocks"}
+    tested = {"agent_rules", "agent_scripted", "excerpt_select", "wer_adjacent_turns", "clause_chain", "section_split", "toc_validation_blocks", "running_clusters"}
     named = {n for n in __spark_entry__.queries() if n not in ORACLES and not n.startswith("op") and n != "pipeline"}
     assert named <= tested, named - tested
 

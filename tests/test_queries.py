@@ -188,3 +188,25 @@ def test_toc_validation_by_matching_blocks(spark, sf):
             ratio = None if found is None else round(difflib.SequenceMatcher(None, names[k], found).ratio(), 4)
             want[f"{brand}/{k // 2}", number] = ("missing" if found is None else "mismatch" if ratio < fixed.TOC_SIMILARITY else "ok", ratio)
     assert {(r.doc_id, r.number): (r.status, r.similarity) for r in QUERIES["toc_validation_blocks"](spark, sf).collect()} == want
+
+
+def test_running_clusters(spark, sf):
+    files = defaultdict(list)
+    for r in sorted(spark.read.parquet(f"{sf}/documents.parquet").collect(), key=lambda r: r.doc_id):
+        if r.text is not None:
+            files[r.source].append(" ".join(re.sub(r"\d", "#", r.text.split("\n")[0][:200]).split()).lower())
+    want = set()
+    for file, keys in files.items():
+        clusters = []
+        for page, key in enumerate(keys, 1):
+            if len(key) >= 2:
+                own = next((c for c in clusters if difflib.SequenceMatcher(None, key, c[0]).ratio() >= fixed.CLUSTER_RATIO), None)
+                if own is None:
+                    clusters.append(own := (key, set(), set()))
+                own[1].add(key)
+                own[2].add(page)
+        for first, members, pages in clusters:
+            if len(keys) >= 3 and len(pages) >= max(3, math.ceil(0.1 * len(keys))):
+                want |= {(file, key, first, len(pages)) for key in members}
+    got = {tuple(r) for r in QUERIES["running_clusters"](spark, sf).collect()}
+    assert {(f, c, n) for f, _, c, n in got} == {(f, c, n) for f, _, c, n in want}
