@@ -6,8 +6,8 @@ of its words' hashes.  Texts of one set are one node, however many copies there
 1. Fingerprints of the shingles meet at anchor points (:func:`papyra.llm.simhash.links`), each with at most one partner that
    is compared by the whole sets.  No distance of fingerprints covers the rule: pairs at 0.8 differ in ten of 64 bits on
    average, many in more, and no covering of that many bits is selective.
-2. So large groups are gathered first: texts that have one of their ``LOW`` least shingles in common are compared with one
-   of them, in the second round with the one that has been most like others.  That grows with the texts, not with their
+2. So large groups are gathered first: texts that have one of their ``LOW`` least shingles in common are compared with the
+   one of them that has most near fingerprints, the middle of a group of near copies.  That grows with the texts, not with their
    pairs, and leaves most groups of near copies as one class.
 3. The rest is found by prefixes, which lose no pair: if the shingles of all sets are ordered alike, two sets as similar as
    that share one of the first n // 5 + 1 of each, and more of longer prefixes (:func:`needed`).  Prefixes meet in one exchange
@@ -17,8 +17,8 @@ of its words' hashes.  Texts of one set are one node, however many copies there
 4. Stars that meet often enough are compared by their hubs, for each star those first that have the most links so far, then
    those that meet most.  As Jaccard distances keep the triangle inequality, texts of two stars can only be similar if their
    hubs are no farther apart than a fifth and both radii; only then are texts compared one by one.  A pair whose ends have
-   become one class is no longer needed for the components; the rounds end when no pair is left, each with eight times the
-   pairs of a text as the one before.
+   become one class is no longer needed for the components; the rounds end when no pair is left, each with sixteen times
+   the pairs of a text as the one before.
 
 Whole sets are compared by 32 bits of each shingle's hash: by chance, two of n shingles each share n * n / 2**32 more.
 Only the sample's recurring shingles come to the driver.
@@ -46,8 +46,8 @@ from .simhash import SEED, keep_first
 from .simhash import links as fingerprint_links
 
 WORDS = 5
-#: Least shingles by which groups are gathered, and how often.
-LOW, GATHERED = 4, 3
+#: Least shingles by which groups are gathered.
+LOW = 4
 #: Documents of the sample that orders the shingles, and how many of its sets make a shingle a recurring one.
 SAMPLE, RECURRING = 16384, 3
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -209,15 +209,16 @@ class _Links:
     def __init__(self, sets: _Sets, pairs: DataFrame) -> None:
         self.sets = sets
         self.all = checkpointed(sets.compared(pairs))
-        self._renew()
-
-    def _renew(self) -> None:
         self.links = self.all.where("alike")
         self.classes = _classes(self.links.select("u", "v"))
 
     def compare(self, pairs: DataFrame) -> None:
-        self.all = checkpointed(self.all.unionByName(self.sets.compared(pairs)))
-        self._renew()
+        new = checkpointed(self.sets.compared(pairs))
+        self.all = self.all.unionByName(new)
+        if not (found := new.where("alike")).isEmpty():
+            self.links = self.links.unionByName(found)
+            # the classes so far are stars already, so that few rounds are left
+            self.classes = _classes(self.classes.select(F.col("node").alias("u"), F.col("class").alias("v")).unionByName(found.select("u", "v")))
 
     def degrees(self) -> DataFrame:
         return self.links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
@@ -230,7 +231,7 @@ class _Links:
 
     def settle(self, pairs: DataFrame) -> None:
         """Compare pairs ``u, v, count`` until each is compared or of one class."""
-        pairs, budget = checkpointed(self.apart(pairs)), 1
+        pairs, budget = checkpointed(self.apart(pairs)), 2
         while not pairs.isEmpty():
             sides = pairs.withColumn("at", F.explode(F.array("u", "v"))).withColumn("node", F.when(F.col("at") == F.col("u"), F.col("v")).otherwise(F.col("u")))
             order = F.row_number().over(Window.partitionBy("at").orderBy(F.desc_nulls_last("degree"), F.desc("count"), "u", "v"))
@@ -238,7 +239,7 @@ class _Links:
             ranked = checkpointed(ranked.groupBy("u", "v", "count").agg(F.min("rank").alias("rank")))  # the better rank of the two
             self.compare(ranked.where(F.col("rank") <= budget))
             pairs = checkpointed(self.apart(ranked.where(F.col("rank") > budget).drop("rank")))
-            budget *= 8
+            budget *= 16
 
     def stars(self) -> DataFrame:
         """``node, hub, d``: nodes linked to one that has more links than they, if no neighbour of that one has still more."""
@@ -270,7 +271,7 @@ def gathered(low: DataFrame, links: _Links) -> DataFrame:
     The one is found by a partial aggregation; a shingle that many texts have makes one pair for each of them.
     """
     told = low.join(links.degrees(), "node", "left").join(links.classes, "node", "left")
-    told = told.select("s", "n", "node", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("class", "node").alias("class"))
+    told = told.select("s", "n", "node", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"), F.coalesce("class", "node").alias("class"))
     hubs = told.groupBy("s").agg(F.max(F.struct("degree", "node", "n", "class")).alias("hub"), F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b")
     met = told.join(hubs.select("s", "hub"), "s").where("class <> hub.class and 5 * least(n, hub.n) >= 4 * greatest(n, hub.n)")
     counted = met.groupBy("node", "hub.node", "hub.degree").agg(F.count("*").alias("count")).toDF("u", "v", "degree", "count")
@@ -286,11 +287,7 @@ def similar(docs: DataFrame, rows: DataFrame, *, doc_id: str = "doc_id", text: s
     near = checkpointed(anchored(few, threshold))
     ends = near.select(F.explode(F.array("u", "v")).alias("node")).unionByName(low.join(shared, "s", "left_semi").select("node"))
     links = _Links(_Sets(docs, rows, ends, doc_id, text), near)
-    for _ in range(GATHERED):
-        pairs = checkpointed(gathered(low, links))
-        if pairs.isEmpty():
-            break
-        links.compare(pairs)
+    links.compare(gathered(low, links))
     stars = checkpointed(links.stars())
     nodes = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     named = nodes.join(stars.select("node", "hub"), "node", "left").join(links.classes, "node", "left")
@@ -309,7 +306,7 @@ def similar(docs: DataFrame, rows: DataFrame, *, doc_id: str = "doc_id", text: s
     ends = pairs.select(F.explode(F.array("u", "v")).alias("hub")).distinct()
     needed_sets = ends.select(F.col("hub").alias("node")).unionByName(members.join(ends, "hub", "left_semi").select("node"))
     links.sets = _Sets(docs, rows, needed_sets, doc_id, text)
-    links.compare(links.apart(hubs))
+    links.compare(hubs)
     links.settle(wide.where("r_u is null and r_v is null").select("u", "v", "count"))
     known = links.all.groupBy("u", "v").agg(F.min("d").alias("d"))
     near = checkpointed(links.apart(hubs.join(known, ["u", "v"])).where(F.col("d") <= 0.2 + F.col("r_u") + F.col("r_v") + 1e-9))
