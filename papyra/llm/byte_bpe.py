@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 from .common import text_slices
 
-#: Pieces that a worker remembers in each of two generations; a piece used again moves to the younger one.
-CACHE_PIECES = 350_000
+#: About as many bytes of pieces and ids a worker remembers in each of two generations; a piece used again moves to the younger one.
+CACHE_BYTES, PIECE_BYTES = 80 << 20, 200
 _MASK = (1 << 64) - 1
 
 
@@ -122,6 +122,7 @@ class ByteBPE:
         }
         self.seen: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
+        self.held = 0
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of a piece that is no token: join the pair of lowest rank, the leftmost first, until none is left."""
@@ -160,6 +161,7 @@ class ByteBPE:
 
     def _learn(self, pieces: set[str]) -> None:
         """Look up, or merge, pieces that the younger generation doesn't have."""
+        self.held += PIECE_BYTES * len(pieces) + 12 * sum(map(len, pieces))
         older, seen = self.older, self.seen
         new = []
         for piece in pieces:
@@ -176,8 +178,8 @@ class ByteBPE:
         out = []
         for text in texts:
             pieces = self.split(text)
-            if len(self.seen) > CACHE_PIECES:
-                self.older, self.seen = self.seen, {}
+            if self.held > CACHE_BYTES:
+                self.older, self.seen, self.held = self.seen, {}, 0
             if fresh := set(pieces).difference(self.seen):
                 self._learn(fresh)
             out.append(np.array(list(chain.from_iterable(map(self.seen.__getitem__, pieces))), dtype="<u4"))

@@ -55,7 +55,7 @@ def test_perfect_hash_is_minimal_and_rejects_others():
 
 
 def test_forgetting_pieces_changes_nothing(coder, reference, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "CACHE_PIECES", 2)
+    monkeypatch.setattr(byte_bpe, "CACHE_BYTES", 2)
     assert [x.tolist() for x in coder.encode_batch(TEXTS)] == [reference.encode_ordinary(t) for t in TEXTS]
     assert [x.tolist() for x in coder.encode_batch(TEXTS[::-1])] == [reference.encode_ordinary(t) for t in TEXTS[::-1]]
 
