@@ -12,7 +12,7 @@ sources dealt over ``salts`` keys.  Copies of a hot source spread evenly, as the
 
 Defined results: sources without a target weight (or with weight 0) are left out; a null source is a source of its
 own, which only a weight by ``exponent`` reaches; null or empty texts are documents like any other; rows alike in id
-and text get equal counts; an empty table gives no rows.
+and text get equal counts; an empty table gives no rows; columns of any other names are kept as they are.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: Mantissa digits of the uniform numbers: 13 hexadecimal digits are 52 bits.
 _HEX, _BITS = 13, 52
 
@@ -82,18 +84,19 @@ def mix(
 
     The two names can be chosen; a column of docs that is called so gives way.
     """
-    docs = docs.select(*[c for c in docs.columns if c.lower() not in (copy, shuffle_key)])
-    plan = rates(docs, weights, source=source, exponent=exponent, epochs=epochs).select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf"))
-    keyed = docs.withColumn("__digest", F.md5(F.coalesce(docs[text].cast("string"), F.lit("")).cast("binary")))
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in (copy.lower(), shuffle_key.lower())])
+    of, cdf, digest, salt, deal, u, n = (unused(docs, x) for x in ("mix_source", "mix_cdf", "mix_digest", "mix_salt", "mix_deal", "mix_u", "mix_n"))
+    plan = rates(docs, weights, source=source, exponent=exponent, epochs=epochs).select(F.col("source").alias(of), F.col("cdf").alias(cdf))
+    keyed = docs.withColumn(digest, F.md5(F.coalesce(docs[text].cast("string"), F.lit("")).cast("binary")))
     if plan.limit(broadcast_sources + 1).count() <= broadcast_sources:
-        rated = keyed.join(F.broadcast(plan), F.col(source).eqNullSafe(F.col("__source")))
+        rated = keyed.join(F.broadcast(plan), F.col(source).eqNullSafe(F.col(of)))
     else:
-        salted = plan.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        dealt = keyed.withColumn("__deal", F.pmod(F.xxhash64("__digest", doc_id), F.lit(salts)).cast("int"))
-        rated = dealt.join(salted, (F.col("__deal") == F.col("__salt")) & F.col(source).eqNullSafe(F.col("__source"))).drop("__deal", "__salt")
-    drawn = rated.withColumn("__u", uniform(F.col(doc_id), F.col("__digest"), seed=seed))
-    times = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
-    copies = drawn.withColumn("__n", times).where("__n > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    key = F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "__digest", copy).cast("binary"))
+        salted = plan.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        dealt = keyed.withColumn(deal, F.pmod(F.xxhash64(digest, doc_id), F.lit(salts)).cast("int"))
+        rated = dealt.join(salted, (F.col(deal) == F.col(salt)) & F.col(source).eqNullSafe(F.col(of))).drop(deal, salt)
+    drawn = rated.withColumn(u, uniform(F.col(doc_id), F.col(digest), seed=seed))
+    times = F.size(F.filter(cdf, lambda c: c <= F.col(u)))
+    copies = drawn.withColumn(n, times).where(F.col(n) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
+    key = F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), digest, copy).cast("binary"))
     dealt = copies.withColumn(shuffle_key, key).select(*docs.columns, copy, shuffle_key)
     return dealt.repartition(F.col(shuffle_key)).sortWithinPartitions(shuffle_key)

@@ -56,6 +56,10 @@ def test_nulls_repeats_and_empty_tables(spark, documents):
     assert all(n == 2 for n in by.values())
     assert mixing.mix(df.limit(0)).collect() == []
     assert mixing.mix(df, {"nothing": 1.0}).collect() == []
+    same = df.withColumnRenamed("lang", "mix_digest").withColumnRenamed("n_chars", "Mix_Source")
+    for most in (10_000, 0):
+        told = mixing.mix(same, epochs=3.0, broadcast_sources=most)
+        assert told.columns[:5] == same.columns and {r.mix_digest for r in told.collect()} == {None, "en"}
     clash = df.withColumnRenamed("lang", "copy").withColumnRenamed("n_chars", "Shuffle_Key")
     assert mixing.mix(clash, epochs=3.0).columns == ["doc_id", "text", "source", "copy", "shuffle_key"]
 
