@@ -8,7 +8,7 @@ are learned with the feature weights, by stochastic gradient ascent on the seque
 A text's words are labelled by exact forward-backward.  To keep that vectorised for texts of any length, a text is
 cut into blocks: products of each block's transition matrices carry the forward and backward messages from block to
 block, then all blocks run side by side.  The text's language is the one with the largest sum of word marginals
-over words that have a letter, and the score is its share.
+over words that have a letter, and the score is its share; stretches of words of one language can be had as well.
 
 Fitting takes a bounded sample (``max_rows`` rows by a hash of the id, none longer than ``max_chars``); prediction
 covers every row and the whole text, in one scan without a shuffle.
@@ -133,13 +133,18 @@ class Model:
         at = np.minimum(np.searchsorted(self.lexicon, own), len(self.lexicon) - 1)
         return np.where((self.lexicon[at] == own)[:, None], self.listed[self.entry[at]], 0.0)
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str], spans: list[list[dict]] | None = None) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text; to ``spans``, if given, goes a list for each text of its stretches of one language."""
         if not self.languages:
+            if spans is not None:
+                spans += [[] for _ in texts]
             return ["und"] * len(texts), np.zeros(len(texts))
-        p = pack([t.lower() for t in texts])
+        p = pack([lowered(t) for t in texts])
         marginal, _, _ = marginals(self.emissions(p), np.bincount(p.doc, minlength=len(texts)), self.transition)
         letters = np.concatenate([[0], np.cumsum(_LETTER[p.code])])
         spoken = letters[p.end] > letters[p.start]
+        if spans is not None:
+            spans += self._spans(p, marginal, spoken)
         share = np.stack([np.bincount(p.doc[spoken], weights=marginal[spoken, j], minlength=len(texts)) for j in range(len(self.languages))], axis=1)
         total = share.sum(axis=1)
         best = share.argmax(axis=1)
@@ -147,6 +152,28 @@ class Model:
         return [self.languages[b] if t > 0 else "und" for b, t in zip(best.tolist(), total.tolist(), strict=True)], score
 
 
+    def _spans(self, p: Packed, marginal: np.ndarray, spoken: np.ndarray) -> list[list[dict]]:
+        """Neighbouring words with letters that are likeliest of one language, as one stretch; words without letters end none."""
+        out: list[list[dict]] = [[] for _ in range(p.n_docs)]
+        at = np.flatnonzero(spoken)
+        if not len(at):
+            return out
+        own, doc = marginal[at].argmax(axis=1), p.doc[at]
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(own) != 0) | (np.diff(doc) != 0)]))
+        last = np.concatenate([new[1:], [len(at)]]) - 1
+        mean = np.add.reduceat(marginal[at, own], new) / (last - new + 1)
+        for a, b, m in zip(new.tolist(), last.tolist(), mean.tolist(), strict=True):
+            d = int(doc[a])
+            out[d].append({"start": int(p.start[at[a]] - p.first[d]), "end": int(p.end[at[b]] - p.first[d]), "language": self.languages[own[a]], "probability": m})
+        return out
+
+
+def lowered(text: str) -> str:
+    """In lower case, character by character where the whole would change the length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x) == 1 else c for c, x in ((c, c.lower()) for c in text))
+
+
 def train(texts: list[str], languages: list[str], *, buckets: int = 1 << 17, segment: int = 64, batch: int = 32, epochs: int = 2, rate: float = 0.3, seed: int = 3) -> Model:
     """Fit by mini-batches of word sequences (texts cut into segments); each text's language labels its words."""
     names = sorted(set(languages))
@@ -155,7 +182,7 @@ def train(texts: list[str], languages: list[str], *, buckets: int = 1 << 17, seg
     # a few texts at a time: of the features only the buckets stay, by word, and where each word's begin
     buckets_of, counts_of, own_of, doc_of = [], [], [], []
     for start in range(0, len(texts), 100):
-        p = pack([t.lower() for t in texts[start : start + 100]])
+        p = pack([lowered(t) for t in texts[start : start + 100]])
         word, found, hashes = word_features(p, buckets)
         buckets_of.append(found[np.argsort(word, kind="stable")])
         counts_of.append(np.bincount(word, minlength=len(hashes)))
@@ -212,18 +239,29 @@ def fit(docs: DataFrame, **bounds: int) -> Model:
     return train(*sample(docs, **bounds))
 
 
-def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """docs with ``lang_pred`` and ``score`` (columns of those names, in any case, are replaced)."""
-    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+def predict(docs: DataFrame, model: Model, *, text: str = "text", spans: str | None = None) -> DataFrame:
+    """docs with ``lang_pred`` and ``score``, and, if a name is given, the ``spans`` that they come from.
+
+    Spans are stretches of words of one language: array of ``start, end`` (characters of the text), ``language`` and mean
+    ``probability`` of its words.  Columns of those names, in any case, are replaced.
+    """
+    made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    if spans is not None:
+        span = [T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("language", T.StringType()), T.StructField("probability", T.DoubleType())]
+        made.append(T.StructField(spans, T.ArrayType(T.StructType(span))))
+    kept = [c for c in docs.columns if c.lower() not in {f.name.lower() for f in made}]
     names = [f"c{i}" for i in range(len(kept))]
     at = names[kept.index(text)]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([docs.schema[c] for c in kept] + made)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("language", pa.string()), ("probability", pa.float64())]))
     at_once = (1 << 22) // max(4, len(model.languages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, at, at_once):
-                lang, score = model.predict([t or "" for t in part.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=schema.names)
+                found: list[list[dict]] | None = None if spans is None else []
+                lang, score = model.predict([t or "" for t in part.column(at).to_pylist()], found)
+                more = [] if found is None else [pa.array(found, kind)]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(lang, pa.string()), pa.array(score, pa.float64()), *more], names=schema.names)
 
     return docs.select(*[docs[c].alias(n) for c, n in zip(kept, names, strict=True)]).mapInArrow(run, schema)
