@@ -108,6 +108,74 @@ def test_language_query(spark):
     assert sum(told) >= 0.95 * len(told) and all(0 <= r.score <= 1 for r in got)
 
 
+def test_languages_of_a_mixed_text(spark, documents):
+    rng = random.Random(1)
+    words = {"aa": ["baka", "dara", "kama", "lara"], "ii": ["miri", "sitti", "nili", "pirri"]}
+    say = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    model = language.train([say(x, 30) for _ in range(60) for x in words], [x for _ in range(60) for x in words])
+    first, second = say("aa", 12), say("ii", 20)
+    df = documents((1, f"  {first} 42 {second}."), (2, None), (3, "12 34"), (4, "İ " + second))
+    got = {r.doc_id: r for r in language.predict(df.withColumnRenamed("source", "Spans"), model, spans="spans").collect()}
+    text = f"  {first} 42 {second}."
+    assert [(text[s.start : s.end], s.language) for s in got[1].spans] == [(first, "aa"), (f"{second}.", "ii")]
+    assert all(0.5 < s.probability <= 1 for s in got[1].spans) and got[1].lang_pred == "ii"
+    assert got[2].spans == [] and got[3].spans == [] and got[3].lang_pred == "und" and got[4].spans[-1].end == len("İ " + second)
+
+
+def test_rows_of_one_id_and_clashing_names(spark, documents):
+    df = documents((7, "the good text"), (7, "another"), (8, "x")).withColumnRenamed("source", "Score")
+    labels = spark.createDataFrame([(7, 1, 0), (8, 0, 0)], "doc_id long, quality int, toxic int")
+    told = quality.sample(df, labels)
+    assert told == quality.sample(df.orderBy("text"), labels) and "another" in told[0] and "the good text" not in told[0]
+    assert quality.score(df, quality.fit(df, labels)).columns == ["doc_id", "text", "lang", "n_chars", "score"]
+
+
+def plain_score(model, text):
+    """A plain scorer: hashes of words, pairs and n-grams one by one, their weights averaged."""
+    doc, bucket = quality.features([text], len(model.weight))
+    total, n = 0.0, 0
+    for b in bucket.tolist():
+        total += float(model.weight[b])
+        n += 1
+    return model.prior if not n else 1 / (1 + math.exp(-max(-40, min(40, total / n + model.bias))))
+
+
+def test_quality_query_against_a_plain_scorer(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in op2_quality(spark, "/root/testdata/sf0.001").collect():
+        assert r.held_out == held_out(r.doc_id) and r.predicted == (r.score >= 0.5)
+        assert r.score == pytest.approx(plain_score(model, texts[r.doc_id] or ""), abs=1e-4)
+
+
+def test_language_query_against_a_plain_chain(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.fit(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in op8_language(spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == texts.keys()
+    step = np.exp(model.transition - model.transition.max())
+    for i in sorted(texts, key=lambda i: len(texts[i] or ""))[:60]:
+        p = hashing.pack([language.lowered(texts[i] or "")])
+        e = np.exp(model.emissions(p)) if len(p.start) else np.zeros((0, len(model.languages)))
+        sums = np.zeros(len(model.languages))
+        forward = [np.ones(len(model.languages)) / len(model.languages)]
+        for w in e:
+            a = (forward[-1] @ step) * w
+            forward.append(a / a.sum())
+        back = np.ones(len(model.languages))
+        for k in range(len(e) - 1, -1, -1):
+            m = forward[k + 1] * back
+            if any(chr(c).isalpha() for c in p.code[p.start[k] : p.end[k]]):
+                sums += m / m.sum()
+            back = step @ (e[k] * back)
+            back /= back.sum()
+        want = model.languages[int(sums.argmax())] if sums.sum() else "und"
+        assert got[i].lang_pred == want and got[i].score == pytest.approx(sums.max() / sums.sum() if sums.sum() else 0.0, abs=1e-6)
+        assert got[i].held_out == held_out(i)
+
+
 def plain_losses(texts, other, prior=lm_scoring.PRIOR, base=lm_scoring.BASE):
     """-log P(b | a) by the counts of texts, with the words of both sides as the shared vocabulary."""
     coded = [["", *t.lower().split()] for t in texts if t and t.split()]

@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 
 from papyra.llm import components, simhash
+from papyra.llm.queries import op10_simhash
 
 
 def plain_fingerprint(text):
@@ -99,3 +100,19 @@ def test_near_duplicates_against_brute_force(spark, documents):
     assert kept.count() == len(set(groups))
     assert simhash.near_duplicates(documents((1, "x")).limit(0)).collect() == []
     assert simhash.keep_one(documents((1, "x")).limit(0)).collect() == []
+
+
+def test_query_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    pairs = sorted((r.doc_id, plain_fingerprint(r.text)) for r in docs)
+    groups = plain_components(pairs)
+    least = {}
+    for (i, _), g in zip(pairs, groups, strict=True):
+        least[g] = min(i, least.get(g, i))
+    want = {i: (f"{fp:016x}", least[g]) for (i, fp), g in zip(pairs, groups, strict=True)}
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in op10_simhash(spark, sf).collect()} == want
+
+
+def test_ids_of_text(spark):
+    df = spark.createDataFrame([("b", "some words here"), ("a", "Some words HERE"), (None, "other")], "doc_id string, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == {"a": "a", "b": "a", None: None}
