@@ -106,6 +106,12 @@ def summary(rows: DataFrame, values: dict[str, str], *, digits: int = 3) -> Data
     return told.select("stage", "n", *[F.round(c, digits).alias(n) for c, n in ((F.col("m"), "mean"), (F.col("median"), "median"), (F.col("min"), "min"), (F.col("max"), "max"), (share, "share"))])
 
 
+def with_mean(rows: DataFrame, name: str, *values: str, label: str = "mean", digits: int = 4) -> DataFrame:
+    """rows ``name, values`` and one more, called ``label``, with the means of what isn't null."""
+    told = rows.select(F.col(name).cast("string").alias(name), *[F.round(F.col(v).cast("double"), digits).alias(v) for v in values])
+    return told.unionByName(rows.agg(*[F.round(F.avg(v), digits).alias(v) for v in values]).select(F.lit(label).alias(name), *values))
+
+
 def character_error_rate(reference: Column, hypothesis: Column) -> Column:
     """Edit distance over the reference's length (at least one)."""
     return F.levenshtein(reference, hypothesis).cast("double") / F.greatest(F.length(reference), F.lit(1))

@@ -94,6 +94,16 @@ def search(
     return told.where(F.col("rank") <= k).select("query_id", "rank", "id", "score", "first_stage_score", "section_key", "pinned")
 
 
+def length_batches(texts: DataFrame, *, text: str = "text", size: int = 32) -> DataFrame:
+    """texts with ``batch``: at most ``size`` rows of like length each, for a model that pads; longest first.
+
+    Rows are sorted where they are; nothing is shuffled, and the rows' own keys take the place of an inverse permutation.
+    """
+    placed = texts.sortWithinPartitions(F.length(text).desc_nulls_last()).withColumn("__at", F.monotonically_increasing_id())
+    part, row = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("batch", F.concat_ws("-", part.cast("string"), F.floor(row / size).cast("string"))).drop("__at")
+
+
 def reachable(expected: DataFrame, sections: DataFrame, filters: Filters) -> DataFrame:
     """``query_id, key`` of the labels that a search with these filters can return.
 

@@ -151,9 +151,7 @@ def clause_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All fields of the clauses of documents whose lines are the items."""
-    lines = cleaning.lines(documents(spark, sf_dir), "doc_id").where("trim(line) <> ''")
-    items = lines.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("line_no").alias("item_no"), F.concat_ws("-", F.lit("l"), "line_no").alias("id"), F.lit("paragraph").alias("type"), F.col("line").alias("text"), F.lit(1).alias("page"))
-    return segmentation.segment(items).select("doc_id", "clause_id", "section_type", "part", "parts", "word_count", "oversize", "char_count")
+    return segmentation.segment_texts(documents(spark, sf_dir)).select("doc_id", "clause_id", "section_type", "part", "parts", "word_count", "oversize", "char_count")
 
 
 @query(

@@ -46,10 +46,11 @@ def versions(spark: SparkSession, target: str) -> list[int]:
     return sorted(int(p.getName().split("=")[1]) for p in found if fs.exists(hadoop.Path(p, "_SUCCESS")))
 
 
-def upsert(state: DataFrame, target: str, checkpoint: str, *, keys: tuple[str, ...] = ("user_id",)) -> StreamingQuery:
+def upsert(state: DataFrame, target: str, checkpoint: str, *, keys: tuple[str, ...] = ("user_id",), finished: str | None = None) -> StreamingQuery:
     """Keep a Parquet folder at the latest state: each micro-batch writes a whole version, the one before with the changed keys replaced.
 
-    A micro-batch that is repeated writes the same version again.
+    A micro-batch that is repeated writes the same version again.  Keys whose state fulfils ``finished`` (SQL) are left out
+    until they change again.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -58,6 +59,7 @@ def upsert(state: DataFrame, target: str, checkpoint: str, *, keys: tuple[str, .
         if before:
             old = spark.read.parquet(f"{target}/version={before[-1]}")
             batch = old.join(batch.select(*keys), list(keys), "left_anti").unionByName(batch)
-        batch.write.mode("overwrite").parquet(f"{target}/version={number}")
+        kept = batch if finished is None else batch.where(f"not coalesce({finished}, false)")
+        kept.write.mode("overwrite").parquet(f"{target}/version={number}")
 
     return state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

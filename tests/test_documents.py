@@ -358,6 +358,9 @@ def test_upsert_keeps_whole_versions(spark, tmp_path):
         state = status.keyed_state(status.source(spark, f"{tmp_path}/events", made.schema))
         status.upsert(state, f"{tmp_path}/state", f"{tmp_path}/checkpoint").awaitTermination()
     assert status.versions(spark, f"{tmp_path}/state") == [0, 1, 2] and status.versions(spark, f"{tmp_path}/nothing") == []
+    status.upsert(state, f"{tmp_path}/open", f"{tmp_path}/checkpoint2", finished="latest = 'c'").awaitTermination()
+    last = status.versions(spark, f"{tmp_path}/open")[-1]
+    assert sorted(r.user_id for r in spark.read.parquet(f"{tmp_path}/open/version={last}").collect()) == [2, 3]
     assert told(0) == [(1, "a", 1), (2, "b", 1)] and told(2) == [(1, "c", 2), (2, "b", 1), (3, "d", 1)]
 
 

@@ -59,6 +59,27 @@ def test_search_reranks_a_longer_first_stage_and_pins(corpus, asked):
     assert not search.search(corpus, asked, k=3, pinned="IFR-anx11").where("query_id = 1 and pinned").collect()  # second anyway
 
 
+def test_batches_of_like_length(spark):
+    texts = spark.createDataFrame([(i, "x" * (i * 37 % 101) if i % 50 else None) for i in range(500)], "id int, text string").repartition(3)
+    got = search.length_batches(texts, size=8).collect()
+    assert sorted(r.id for r in got) == list(range(500))
+    own = {}
+    for r in got:
+        own.setdefault(r.batch, []).append(len(r.text) if r.text is not None else -1)
+    assert max(map(len, own.values())) == 8 and sum(len(v) < 8 for v in own.values()) <= 3
+    parts = {}
+    for name, sizes in own.items():
+        part, no = map(int, name.split("-"))
+        parts.setdefault(part, {})[no] = sizes
+    for batches in parts.values():
+        assert all(min(batches[n]) >= max(batches[n + 1]) for n in range(len(batches) - 1))
+
+
+def test_a_table_with_its_means(spark):
+    rows = spark.createDataFrame([("a", 0.1, None), ("b", 0.3, 0.5)], "name string, cer double, wer double")
+    assert [tuple(r) for r in evaluate.with_mean(rows, "name", "cer", "wer").collect()] == [("a", 0.1, None), ("b", 0.3, 0.5), ("mean", 0.2, 0.5)]
+
+
 def test_reachable_labels(spark, corpus):
     labels = spark.createDataFrame([(1, "IFR-art001"), (1, "IFR-art002"), (2, "CMIR"), (2, "CGR"), (3, None)], "query_id int, key string")
     got = {(r.query_id, r.key) for r in search.reachable(labels, corpus, search.Filters(fund_type="private")).collect()}
