@@ -7,7 +7,8 @@ containment and choices between extractions are Column expressions and joins wit
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections import Counter
+from dataclasses import dataclass, replace
 from statistics import median
 
 import pandas as pd
@@ -54,6 +55,50 @@ def glyph_lines(glyphs: list[Glyph], tolerance: float = 0.5) -> list[list[Glyph]
     return [line for _, line in sorted(zip(middles, lines, strict=True), key=lambda p: p[0])]
 
 
+def _size(line: list[Glyph]) -> float:
+    """The height that most glyphs of a line have."""
+    heights = Counter(round(g.height, 1) for g in line if g.text.strip())
+    return max(heights, key=lambda h: (heights[h], h), default=0.0)
+
+
+def with_footnote_marks(lines: list[list[Glyph]]) -> list[list[Glyph]]:
+    """Lines in which raised small digits are marks of their own, ``[^12]``.
+
+    A line of up to three small digits belongs to the larger line that it stands on or in; within a line, digits below four
+    fifths of its size whose feet are off the ground count.
+    """
+    small = lambda g, size: g.text.strip().isdigit() and g.height < 0.8 * size
+    sizes = [_size(x) for x in lines]
+    own = [list(x) for x in lines]
+    raised: set[int] = set()
+    for k, line in enumerate(lines):
+        text = "".join(g.text for g in line).strip()
+        if text.isdigit() and len(text) <= 3:
+            middle = sum(g.middle for g in line) / len(line)
+            over = (m for m, x in enumerate(lines) if m != k and sizes[k] < 0.8 * sizes[m] and min(g.y0 for g in x) - 0.4 * sizes[m] <= middle <= max(g.y1 for g in x) + 1)
+            host = next(over, None)
+            if host is not None:
+                raised.update(map(id, line))
+                own[host] += line
+                own[k] = []
+    out = []
+    for line, size in zip(own, sizes, strict=True):
+        feet = sorted(g.y1 for g in line if g.text.strip() and id(g) not in raised and g.height >= 0.8 * size)
+        up = raised | {id(g) for g in line if feet and small(g, size) and g.y1 < feet[len(feet) // 2] - 0.15 * size}
+        made: list[Glyph] = []
+        for g in sorted(line, key=lambda g: (g.x0, g.seq)):
+            if id(g) not in up:
+                made.append(g)
+            elif made and made[-1].text.startswith(" [^"):  # digits next to each other are one number
+                last = made.pop()
+                made.append(replace(last, text=f"{last.text[:-2]}{g.text.strip()}] ", x1=g.x1))
+            elif g.text.strip():
+                made.append(replace(g, text=f" [^{g.text.strip()}] "))
+        if made:
+            out.append(made)
+    return out
+
+
 def direction(char: str) -> str:
     """R for Arabic letters, L for Latin ones, D for digits, N for the rest."""
     if re.match(r"[؀-ٟ٪-ۯۺ-ۿݐ-ݿﭐ-﷿ﹰ-﻿]", char):
@@ -108,7 +153,7 @@ def lines_of(glyphs: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = [Glyph(*r) for r in pdf[["text", "x0", "y0", "x1", "y1", "seq"]].itertuples(index=False)]
-        rows = [(str(pdf["doc_id"].iloc[0]), int(pdf["page"].iloc[0]), n, line_text(x), min(g.x0 for g in x), max(g.x1 for g in x), min(g.y0 for g in x)) for n, x in enumerate(glyph_lines(own), 1)]
+        rows = [(str(pdf["doc_id"].iloc[0]), int(pdf["page"].iloc[0]), n, line_text(x), min(g.x0 for g in x), max(g.x1 for g in x), min(g.y0 for g in x)) for n, x in enumerate(with_footnote_marks(glyph_lines(own)), 1)]
         return pd.DataFrame(rows, columns=["doc_id", "page", "line_no", "text", "x0", "x1", "y"])
 
     return glyphs.groupBy("doc_id", "page").applyInPandas(run, "doc_id string, page int, line_no int, text string, x0 double, x1 double, y double")

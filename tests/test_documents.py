@@ -262,6 +262,17 @@ def test_repairs():
     assert repair.split_words("في الصندوق", {**words, "فيالصندوق": 9}, {}) == "في الصندوق"
 
 
+def test_raised_digits_are_footnote_marks(spark):
+    def glyphs(text, x, top, size, seq=0):
+        return [("d", 1, c, x + n * size, top, x + (n + 1) * size, top + size, seq + n) for n, c in enumerate(text)]
+
+    rows = glyphs("Fund", 0.0, 100.0, 10.0) + glyphs("12", 41.0, 99.0, 5.0, 4) + glyphs("x", 60.0, 100.0, 10.0, 6)  # within the line
+    rows += glyphs("Rule", 0.0, 200.0, 10.0, 10) + glyphs("7", 41.0, 196.0, 4.0, 14)  # a line of its own
+    rows += glyphs("99", 0.0, 300.0, 4.0, 20) + glyphs("1990", 0.0, 400.0, 10.0, 30)  # alone, and as large as its line
+    df = spark.createDataFrame(rows, "doc_id string, page int, text string, x0 double, y0 double, x1 double, y1 double, seq int")
+    assert [r.text for r in layout.lines_of(df).orderBy("line_no").collect()] == ["Fund [^12] x", "Rule [^7]", "99", "1990"]
+
+
 def test_geometry(spark):
     G = layout.Glyph
     line = [G("ب", 30, 0, 38, 10), G("ا", 20, 0, 28, 10), G("1", 0, 0, 5, 10), G("2", 6, 0, 11, 10), G("َ", 31, 0, 37, 4)]
