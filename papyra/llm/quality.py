@@ -72,17 +72,20 @@ def train(texts: list[str], labels: list[int], *, buckets: int = 1 << 18, dim: i
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     layer, bias = rng.normal(0, 0.5, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
+    # what is held of the texts: distinct buckets and their counts, in few large arrays of narrow numbers
     rows = []
     for k in range(0, len(texts), 64):
-        doc, bucket = features(texts[k : k + 64], buckets)
-        order = np.argsort(doc, kind="stable")
-        for own in np.split(bucket[order], np.cumsum(np.bincount(doc, minlength=len(texts[k : k + 64])))[:-1]):
-            ids, count = np.unique(own, return_counts=True)
-            rows.append((ids, (count / max(1, len(own))).astype(np.float32)))
+        some = texts[k : k + 64]
+        doc, bucket = features(some, buckets)
+        key, count = np.unique(doc * buckets + bucket, return_counts=True)
+        ids, count = (key % buckets).astype(np.int32), count.astype(np.min_scalar_type(int(count.max(initial=0))))
+        cuts = np.searchsorted(key, np.arange(len(some) + 1) * buckets)
+        rows += [(ids[a:b], count[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     steps, done = epochs * len(rows), 0
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            ids, share = rows[i]
+            ids, count = rows[i]
+            share = count.astype(np.float32) / np.float32(max(1, count.sum()))
             step = rate * (1 - done / steps)
             done += 1
             if not len(ids):
@@ -121,7 +124,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", column: str = "s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, at, 1 << 20):
+            for part in text_slices(batch, at, 1 << 19):
                 s = model.score([t or "" for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(s, pa.float64())], names=[*kept, column])
 
