@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import text_slices
 
 #: About as many bytes of pieces and ids a worker remembers in each of two generations; a piece used again moves to the younger one.
-CACHE_BYTES, PIECE_BYTES = 80 << 20, 200
+CACHE_BYTES, PIECE_BYTES = 56 << 20, 200
 _MASK = (1 << 64) - 1
 
 
