@@ -60,6 +60,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Collect the driver's garbage now: Spark then removes shuffles, broadcasts and checkpoints that nothing names any longer.
+
+    Between the rounds of an iteration, whose leavings would otherwise stay on executors until the driver's heap is full.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines of the cluster share; where none is named, a temporary one, but only if there is one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

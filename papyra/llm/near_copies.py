@@ -40,7 +40,7 @@ from pyspark.sql.window import Window
 
 from papyra.operators.sizes import is_small
 
-from .common import checkpointed, text_slices
+from .common import checkpointed, let_go, text_slices
 from .components import components
 from .simhash import SEED, keep_first
 from .simhash import links as fingerprint_links
@@ -219,6 +219,7 @@ class _Links:
             self.links = self.links.unionByName(found)
             # the classes so far are stars already, so that few rounds are left
             self.classes = _classes(self.classes.select(F.col("node").alias("u"), F.col("class").alias("v")).unionByName(found.select("u", "v")))
+        let_go(pairs.sparkSession)
 
     def degrees(self) -> DataFrame:
         return self.links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
