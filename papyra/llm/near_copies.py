@@ -46,6 +46,8 @@ from .simhash import SEED, keep_first
 from .simhash import links as fingerprint_links
 
 WORDS = 5
+#: Shingles in whole sets that every task gets at most (16 MB).
+FEW = 4_000_000
 #: Least shingles by which groups are gathered.
 LOW = 4
 #: Documents of the sample that orders the shingles, and how many of its sets make a shingle a recurring one.
@@ -194,11 +196,13 @@ class _Sets:
 
         texts = keyed.join(hint(one), "row_key").dropDuplicates(["node"])
         self.sets = checkpointed(texts.select("node", "t").mapInArrow(whole, "node long, s array<int>"))
+        held = self.sets.agg(F.sum(F.size("s").cast("long"))).first()[0] or 0
+        self.hint = F.broadcast if held <= FEW else lambda df: df  # then no pair carries a set through an exchange
 
     def compared(self, pairs: DataFrame) -> DataFrame:
         """``u, v, d, alike``: the Jaccard distance of each pair ``u, v``, and whether it is similar enough."""
         left, right = (self.sets.select(F.col("node").alias(k), F.col("s").alias(f"of_{k}")) for k in ("u", "v"))
-        both = pairs.select("u", "v").join(left, "u").join(right, "v")
+        both = pairs.select("u", "v").join(self.hint(left), "u").join(self.hint(right), "v")
         sizes = both.select("u", "v", F.size(F.array_intersect("of_u", "of_v")).alias("i"), (F.size("of_u") + F.size("of_v")).alias("n"))
         return sizes.select("u", "v", (1 - F.col("i") / (F.col("n") - F.col("i"))).alias("d"), (9 * F.col("i") >= 4 * F.col("n")).alias("alike"))
 
