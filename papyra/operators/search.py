@@ -46,6 +46,15 @@ class Filters:
         return F.coalesce(out, F.lit(False))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """value to so many decimals as SQL rounds doubles: the product with the power of ten, to the nearest whole number, halves away from zero.
+
+    Spark's own round takes the shortest decimal instead, so that 0.26685 is halfway and goes up; as a double it is less.
+    """
+    power = F.lit(10.0**digits)
+    return F.round(value * power) / power
+
+
 def search(
     corpus: DataFrame,
     queries: DataFrame,
@@ -84,7 +93,7 @@ def search(
         hits = fusion.reciprocal_ranks(by_vector(), by_words(), k=depth)
     else:
         hits = by_vector() if mode == "dense" else by_words()
-    told = hits.select("query_id", "id", F.col("rank").cast("int").alias("rank"), F.round("score", digits).alias("score")).join(corpus.select("id", "section_key", "text"), "id")
+    told = hits.select("query_id", "id", F.col("rank").cast("int").alias("rank"), rounded(F.col("score"), digits).alias("score")).join(corpus.select("id", "section_key", "text"), "id")
     told = told.withColumn("first_stage_score", F.lit(None).cast("double"))
     if rerank is not None:
         pairs = told.select("query_id", "id", "text").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
