@@ -21,7 +21,7 @@ of its words' hashes.  Texts of one set are one node, however many copies there
    the pairs of a text as the one before.
 
 Whole sets are compared by 32 bits of each shingle's hash: by chance, two of n shingles each share n * n / 2**32 more.
-Only the sample's recurring shingles come to the driver.
+Only the sample's recurring shingles and, while there are at most ``FEW_LINKS``, the links found come to the driver.
 
 Defined results: null and blank texts are one node without shingles; a text of fewer than five words is one shingle;
 repeated rows share a component; further columns and their names don't matter.
@@ -48,6 +48,8 @@ from .simhash import links as fingerprint_links
 WORDS = 5
 #: Shingles in whole sets that every task gets at most (16 MB).
 FEW = 4_000_000
+#: Links that are united on the driver at most (16 MB); more of them on the executors.
+FEW_LINKS = 1_000_000
 #: Least shingles by which groups are gathered.
 LOW = 4
 #: Documents of the sample that orders the shingles, and how many of its sets make a shingle a recurring one.
@@ -255,8 +257,29 @@ class _Links:
         return best.join(best.select(F.col("node").alias("v")), "v", "left_anti").select("node", F.col("v").alias("hub"), "d")
 
 
-def _classes(links: DataFrame) -> DataFrame:
-    return checkpointed(components(links).select("node", F.col("root").alias("class")))
+def _classes(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
+    """``node, class`` of links ``u, v``; at most ``few`` of them are united on the driver, which saves it the plans of dozens of jobs."""
+    if links.count() > few:
+        return checkpointed(components(links).select("node", F.col("root").alias("class")))
+    found = links.where("u <> v").toArrow()
+    node, root = united(*(found.column(k).to_numpy() for k in ("u", "v")))
+    made = pa.table([pa.array(node, pa.int64()), pa.array(root, pa.int64())], names=["node", "class"])
+    return checkpointed(links.sparkSession.createDataFrame(made, "node long, class long"))
+
+
+def united(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges u, v, ascending, and the least node that each reaches."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((up := root[root]) != root).any():
+            root = up
+        open_ = root[a] != root[b]
+        a, b = a[open_], b[open_]
+    return nodes, nodes[root]
 
 
 def anchored(nodes: DataFrame, threshold: int) -> DataFrame:

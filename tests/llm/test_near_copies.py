@@ -95,6 +95,24 @@ def test_random_groups_against_brute_force(spark, documents, monkeypatch):
     assert {r.doc_id for r in near_copies.keep_one(documents(*rows)).collect()} == plain_kept(rows)
 
 
+def test_few_links_are_united_without_rounds_of_jobs(spark):
+    rng = random.Random(5)
+    chain = [(k, k + 1) for k in range(0, 400)]  # the farther apart, the more rounds of stars
+    others = [(1000 + rng.randrange(300), 1000 + rng.randrange(300)) for _ in range(200)]
+    links = spark.createDataFrame([*chain, *others, (-(2**62), 2**62), (7, 7), (5000, 5000)], "u long, v long")
+    sc = spark.sparkContext
+    found, jobs = [], []
+    for few in (None, 3):  # as it is, then beyond the bound
+        sc.setJobGroup(f"united-{few}", "")
+        made = near_copies._classes(links) if few is None else near_copies._classes(links, few)
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"united-{few}")))
+        found.append(sorted(tuple(r) for r in made.select("node", "class").collect()))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert found[0] == found[1] and (400, 0) in found[0] and (2**62, -(2**62)) in found[0]
+    assert jobs[0] <= 6 < jobs[1], jobs
+    assert near_copies._classes(links.limit(0)).collect() == []
+
+
 def test_ids_of_text(spark):
     df = spark.createDataFrame([("b", "one two three"), ("a", "One two THREE"), (None, "x")], "doc_id string, text string")
     assert {r.doc_id for r in near_copies.keep_one(df).collect()} == {"a", None}
