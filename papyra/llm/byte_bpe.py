@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import text_slices
+from .common import remembered, text_slices
 
 #: About as many bytes of pieces and ids a worker remembers in each of two generations; a piece used again moves to the younger one.
 CACHE_BYTES, PIECE_BYTES = 56 << 20, 200
@@ -190,11 +190,11 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-_made: dict[tuple[int, str], ByteBPE] = {}
+_made: dict[tuple[int, str], ByteBPE] = remembered()
 
 
 def _coder(tokens: list[bytes], pattern: str) -> ByteBPE:
-    """One coder for each vocabulary in a worker process, kept between its tasks."""
+    """One coder for each vocabulary in a worker process, kept between its tasks until another operator's come."""
     key = (xxhash.xxh3_64_intdigest(b"\0".join(tokens)), pattern)
     if key not in _made:
         _made.clear()

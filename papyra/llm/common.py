@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -47,6 +51,47 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = SL
         yield batch.slice(start)
 
 
+#: What operators remember in a worker process between their tasks.
+_remembered: list[dict] = []
+
+
+def remembered() -> dict:
+    """A store that an operator's tasks keep in a worker process; :func:`lean` tasks of others empty it."""
+    _remembered.append(store := {})
+    return store
+
+
+def forget() -> None:
+    """Empty this process's stores of what operators remember."""
+    if any(_remembered):
+        for store in _remembered:
+            store.clear()
+        gc.collect()
+
+
+def give_back() -> None:
+    """Free memory that allocators hold goes back to the machine, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for ``mapInArrow``, so that a worker process, which Spark uses for one stage after another, doesn't add up what they held.
+
+    What tasks of another operator remember there goes first, and freed memory is given back before and after.
+    """
+
+    @wraps(run)
+    def leanly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # by name, as the function travels to the workers without this module's variables
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return leanly
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id's decimal text, modulo 3; remainder 1 is held out.  A null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3

@@ -40,7 +40,7 @@ from pyspark.sql.window import Window
 
 from papyra.operators.sizes import is_small
 
-from .common import checkpointed, let_go, text_slices
+from .common import checkpointed, lean, let_go, text_slices
 from .components import components
 from .simhash import SEED, keep_first
 from .simhash import links as fingerprint_links
@@ -99,7 +99,7 @@ def recurring(docs: DataFrame, *, text: str = "text") -> tuple[np.ndarray, np.nd
                 yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in own], pa.int64()), _lists(own)], names=["node", "s"])
 
     sample = docs.select(docs[text].cast("string").alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(share)) == 0).distinct()
-    sets = sample.mapInArrow(run, "node long, s array<long>").dropDuplicates(["node"])
+    sets = sample.mapInArrow(lean(run), "node long, s array<long>").dropDuplicates(["node"])
     found = sets.select(F.explode("s").alias("s")).groupBy("s").count().where(F.col("count") >= RECURRING).toArrow()
     keys = found.column("s").to_numpy().view(np.uint64)
     order = np.argsort(keys)
@@ -197,7 +197,7 @@ class _Sets:
                     yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(own, pa.list_(pa.int32()))], names=["node", "s"])
 
         texts = keyed.join(hint(one), "row_key").dropDuplicates(["node"])
-        self.sets = checkpointed(texts.select("node", "t").mapInArrow(whole, "node long, s array<int>"))
+        self.sets = checkpointed(texts.select("node", "t").mapInArrow(lean(whole), "node long, s array<int>"))
         held = self.sets.agg(F.sum(F.size("s").cast("long"))).first()[0] or 0
         self.hint = F.broadcast if held <= FEW else lambda df: df  # then no pair carries a set through an exchange
 
@@ -321,7 +321,7 @@ def similar(docs: DataFrame, rows: DataFrame, *, doc_id: str = "doc_id", text: s
     named = nodes.join(stars.select("node", "hub"), "node", "left").join(links.classes, "node", "left")
     placed = named.select(F.posexplode("prefix").alias("place", "s"), "n", F.coalesce("hub", "node").alias("hub"), F.coalesce("class", "node").alias("class"))
     together = placed.select("s", "hub", F.col("n").cast("long"), F.col("place").cast("long"), "class").repartition("s").sortWithinPartitions("s", "hub")
-    met = together.mapInArrow(meet, "u long, v long, k long").groupBy("u", "v").agg(F.count("*").alias("count"), F.min("k").alias("k"))
+    met = together.mapInArrow(lean(meet), "u long, v long, k long").groupBy("u", "v").agg(F.count("*").alias("count"), F.min("k").alias("k"))
     pairs = checkpointed(met.where("count >= k").select("u", "v", "count"))
     if pairs.isEmpty():
         return links.classes
@@ -364,7 +364,7 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), *made], names=["doc_id", "row_key", "node", "fp", "n", "low", "prefix"])
 
     texts = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[doc_id], docs[text]).alias("row_key"), docs[text].cast("string").alias("t"))
-    rows = checkpointed(texts.mapInArrow(run, f"doc_id {kind}, row_key long, node long, fp long, n int, low array<long>, prefix array<long>"))
+    rows = checkpointed(texts.mapInArrow(lean(run), f"doc_id {kind}, row_key long, node long, fp long, n int, low array<long>, prefix array<long>"))
     grouped = similar(docs, rows, doc_id=doc_id, text=text, threshold=threshold)
     return rows.join(grouped, "node", "left").select("doc_id", "row_key", "node", F.coalesce("class", "node").alias("root"))
 

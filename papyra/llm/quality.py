@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, text_slices
+from .common import fold, lean, text_slices
 from .hashing import grams, mixed, pack, word_hashes
 
 GRAMS = (3, 4)
@@ -128,7 +128,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", column: str = "s
                 s = model.score([t or "" for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(s, pa.float64())], names=[*kept, column])
 
-    return docs.select(*[docs[c].alias(n) for c, n in zip(kept, names, strict=True)]).mapInArrow(run, schema)
+    return docs.select(*[docs[c].alias(n) for c, n in zip(kept, names, strict=True)]).mapInArrow(lean(run), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, **bounds: int) -> Model:

@@ -20,6 +20,7 @@ null ids rank last; ids of any type that can be ordered do; further columns are
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -31,12 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import text_slices, unused
+from .common import lean, text_slices, unused
 
 UNIT = re.compile(r"[^.!?\n]*[.!?]+|[^.!?\n]+|\n")
 MIN_WORDS = 8
-#: Occurrences that a task compares before it sends their digests on.
-HELD = 400_000
+#: Occurrences that a task compares before it sends their digests on, and how many of them go to the JVM at once.
+HELD, SENT = 400_000, 1 << 16
 _LINE = np.int64(0x5851F42D4C957F2D)
 
 
@@ -93,36 +94,36 @@ class _Held:
         self.ids: list[pa.Array] = []
         self.keys: list[pa.Array] = []
         self.rows = 0
-        self.row: list[int] = []
-        self.place: list[int] = []
-        self.digests: list[bytes] = []
+        # 24 bytes for each occurrence
+        self.row, self.place = array("i"), array("i")
+        self.digests = bytearray()
 
     def add(self, ids: pa.Array, keys: pa.Array, texts: list[str | None], sentences: bool) -> None:
-        digest = xxhash.xxh3_128_digest
+        digest, digests = xxhash.xxh3_128_digest, self.digests
         for row, text in enumerate(texts, self.rows):
             for no, line in enumerate(text.split("\n") if text else ()):
                 if plain := normalised(line):
-                    self.digests.append(digest(plain.encode("utf-8", "surrogatepass")))
+                    digests += digest(plain.encode("utf-8", "surrogatepass"))
                     self.row.append(row)
                     self.place.append(-1 - no)
             for no, unit in enumerate(units(text) if text and sentences else ()):
                 if plain := normalised(unit):
-                    self.digests.append(digest(plain.encode("utf-8", "surrogatepass")))
+                    digests += digest(plain.encode("utf-8", "surrogatepass"))
                     self.row.append(row)
                     self.place.append(no)
         self.ids.append(ids)
         self.keys.append(keys)
         self.rows += len(texts)
 
-    def sent(self) -> pa.RecordBatch:
+    def sent(self) -> Iterator[pa.RecordBatch]:
         """``h1, h2, doc_id, row_key, place, sure``; sure: an earlier occurrence is here, so this one is a repeat."""
         ids, keys = pa.concat_arrays(self.ids), pa.concat_arrays(self.keys)
         order = [(i is None, 0 if i is None else i, k) for i, k in zip(ids.to_pylist(), keys.to_pylist(), strict=True)]
         ranks = {p: n for n, p in enumerate(sorted(set(order)))}  # rows alike in id and text share a rank
-        row, place = np.array(self.row, np.int64), np.array(self.place, np.int64)
-        half = np.frombuffer(b"".join(self.digests), np.int64).reshape(-1, 2)
+        row, place = np.frombuffer(self.row, np.int32), np.frombuffer(self.place, np.int32)
+        half = np.frombuffer(self.digests, np.int64).reshape(-1, 2)
         first, second = np.where(place < 0, half[:, 0] ^ _LINE, half[:, 0]), half[:, 1]
-        at = np.array([ranks[p] for p in order], np.int64)[row]
+        at = np.array([ranks[p] for p in order], np.int32)[row]
         step = np.where(place < 0, -1 - place, place)
         by = np.lexsort((step, at, second, first))
         new = np.ones(len(by), bool)
@@ -130,11 +131,14 @@ class _Held:
         earliest = by[np.flatnonzero(new)][np.cumsum(new) - 1]
         sure = np.zeros(len(by), bool)
         sure[by] = (at[by] != at[earliest]) | (step[by] != step[earliest])
-        taken = pa.array(row)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(first), pa.array(second), ids.take(taken), keys.take(taken), pa.array(place.astype(np.int32)), pa.array(sure)],
-            names=["h1", "h2", "doc_id", "row_key", "place", "sure"],
-        )
+        del by, new, earliest, at, step
+        for k in range(0, len(row), SENT):
+            some = slice(k, k + SENT)
+            taken = pa.array(row[some])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(first[some]), pa.array(second[some]), ids.take(taken), keys.take(taken), pa.array(place[some]), pa.array(sure[some])],
+                names=["h1", "h2", "doc_id", "row_key", "place", "sure"],
+            )
 
 
 def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sentences: bool = True) -> DataFrame:
@@ -145,14 +149,14 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sent
         for part in (p for batch in batches for p in text_slices(batch, "t")):
             held.add(part.column("doc_id"), part.column("row_key"), part.column("t").to_pylist(), sentences)
             if len(held.row) >= HELD:
-                yield held.sent()
+                yield from held.sent()
                 held = _Held()
         if held.row:
-            yield held.sent()
+            yield from held.sent()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[doc_id], docs[text]).alias("row_key"), docs[text].cast("string").alias("t"))
-    found = rows.mapInArrow(occurrences, f"h1 long, h2 long, doc_id {kind}, row_key long, place int, sure boolean")
+    found = rows.mapInArrow(lean(occurrences), f"h1 long, h2 long, doc_id {kind}, row_key long, place int, sure boolean")
     # sure repeats need no partner: each goes to a group of its own
     own = found.withColumn("h2", F.when(F.col("sure"), F.xxhash64("row_key", "place")).otherwise(F.col("h2")))
     own = own.withColumn("h1", F.when(F.col("sure"), F.xxhash64("place", "row_key", F.lit(7))).otherwise(F.col("h1")))
@@ -197,4 +201,4 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", remove
                 columns[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind)], names=[f.name for f in schema])
 
-    return joined.select(*[joined[c].alias(n) for c, n in zip(docs.columns, names, strict=True)], joined[places].alias("u")).mapInArrow(run, schema)
+    return joined.select(*[joined[c].alias(n) for c, n in zip(docs.columns, names, strict=True)], joined[places].alias("u")).mapInArrow(lean(run), schema)

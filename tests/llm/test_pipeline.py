@@ -1,8 +1,10 @@
 import hashlib
 from collections import Counter
 
+import pyarrow as pa
+
 import corpus_pipeline
-from papyra.llm import byte_bpe, quality, simhash
+from papyra.llm import byte_bpe, common, quality, simhash
 from tests.llm.test_mixing import plain_count
 from tests.llm.test_near_copies import plain_kept
 from tests.llm.test_substring_dedup import plain
@@ -73,3 +75,34 @@ def test_empty_and_null_documents(spark, documents, sf_dir):
     assert all(r.n_tokens >= 0 for r in got)
     assert simhash.keep_one(documents((1, None), (2, ""), (None, None))).count() == 1
     assert byte_bpe.encode(documents((1, None)), corpus_pipeline.public_tokenizers.path(corpus_pipeline.VOCABULARY), corpus_pipeline.public_tokenizers.PATTERN).first().n_tokens == 0
+
+
+def test_tasks_let_go_of_what_other_operators_remember(spark, documents, monkeypatch):
+    runs, frame = [], type(documents((1, "x")))
+    plainly = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, run, *a, **k: runs.append(run) or plainly(self, run, *a, **k))
+    docs = documents((1, "some words of a text that goes on."), (2, "other words"))
+    quality.score(docs, quality.train([], [])).count()
+    stages = dict(corpus_pipeline.STAGES)
+    stages["simhash_near_dedup"](spark, docs, SF)
+    stages["substring_dedup"](spark, docs, SF)
+    assert len(runs) >= 5
+    tokens = byte_bpe.read_ranks(corpus_pipeline.public_tokenizers.path(corpus_pipeline.VOCABULARY))
+    byte_bpe._coder(tokens, corpus_pipeline.public_tokenizers.PATTERN)
+    for run in runs:
+        if run.__module__ != "papyra.llm.simhash":
+            byte_bpe._made[1, ""] = None
+            assert list(run(iter([]))) == [] and not byte_bpe._made, run
+
+
+def test_a_worker_lets_go(spark):
+    leanly = common.lean(lambda batches: iter(()))
+
+    def probe(batches):
+        list(batches)
+        byte_bpe._coder([bytes([b]) for b in range(256)], ".")
+        before = len(byte_bpe._made)
+        list(leanly(iter([])))
+        yield pa.RecordBatch.from_arrays([pa.array([before]), pa.array([len(byte_bpe._made)])], names=["before", "after"])
+
+    assert {(r.before, r.after) for r in spark.range(2).mapInArrow(probe, "before long, after long").collect()} == {(1, 0)}

@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 
 import duckdb
+import pyarrow as pa
 
 from papyra.llm import substring_dedup as S
 from papyra.llm.queries import ORACLES, op7_substring_dedup
@@ -134,3 +136,16 @@ def test_repeated_rows_nulls_and_extra_columns(spark, documents):
     hot = documents(*[(i, "a line that every document holds, word for word.\n" + "x" * i) for i in range(300)])
     kept = [r.doc_id for r in S.dedup(hot).collect() if "every" in r.text]
     assert kept == [0]
+
+
+def test_bytes_of_held_occurrences():
+    texts = [" ".join(f"w{i}x{j}." for j in range(1000)) for i in range(20)]
+    ids = pa.array(range(len(texts)))
+    tracemalloc.start()
+    held = S._Held()
+    held.add(ids, ids, texts, True)
+    got = tracemalloc.get_traced_memory()[0] / len(held.row)
+    tracemalloc.stop()
+    assert len(held.row) == 20 * 1001 and got < 40
+    parts = list(held.sent())
+    assert sum(p.num_rows for p in parts) == len(held.row) and max(p.num_rows for p in parts) <= 1 << 16
