@@ -7,9 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def first_seen(rows: DataFrame, key: str, order: Column, *values: str) -> DataFrame:
-    """One row per key, the first by ``order``."""
-    return rows.groupBy(key).agg(*[F.min_by(v, order).alias(v) for v in values])
+def first_seen(rows: DataFrame, key: str, order: Column, *values: str, at: tuple[Column, ...] = ()) -> DataFrame:
+    """One row per key with each value of the first row by ``order`` that has both; ties to the first by ``at``.
+
+    ``at`` tells a row's place in its table (:func:`papyra.sources.tables.place`), as rows come to a task in any order.
+    """
+
+    def told(value: str) -> Column:
+        return F.min_by(value, F.when(order.isNotNull() & F.col(value).isNotNull(), F.struct(order.alias("by"), *[c.alias(f"at{i}") for i, c in enumerate(at)])))
+
+    return rows.groupBy(key).agg(*[told(v).alias(v) for v in values])
 
 
 def owned(rows: DataFrame, owner: str, user: object) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from papyra.operators import service
 from papyra.plans.catalog import query
-from papyra.sources.tables import table
+from papyra.sources.tables import place, table
 
 
 @query(
@@ -38,8 +38,8 @@ def review_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_partkey, arg_min(l_orderkey, l_orderkey * 10 + l_linenumber) AS l_orderkey, arg_min(l_suppkey, l_orderkey * 10 + l_linenumber) AS l_suppkey FROM lineitem GROUP BY l_partkey")
 def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first line of each part."""
-    return service.first_seen(table(spark, sf_dir, "lineitem"), "l_partkey", F.struct("l_orderkey", "l_linenumber"), "l_orderkey", "l_suppkey")
+    """The first line of each part; of lines with one number of one order, the first in the table."""
+    return service.first_seen(table(spark, sf_dir, "lineitem"), "l_partkey", F.col("l_orderkey") * 10 + F.col("l_linenumber"), "l_orderkey", "l_suppkey", at=place())
 
 
 @query("SELECT o_custkey, o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0)")
