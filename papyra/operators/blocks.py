@@ -28,6 +28,8 @@ from pyspark.sql.window import Window
 ROW_BLOCK, QUERY_BATCH = 32_768, 2_048
 #: Numbers in the query vectors that are given to every task at most (16 MB).
 FEW = 2_000_000
+#: Scores that a task works out at once (16 MB, and as much for each copy).
+SCORES = 2_000_000
 Found = tuple[np.ndarray, np.ndarray, np.ndarray]
 #: (query ids, query vectors) -> (query number, row number, score) of each query's best rows
 Answer = Callable[[np.ndarray, np.ndarray], Found]
@@ -62,7 +64,8 @@ class _Block:
                     yield qi[k + a], ids[b], s
 
 
-def _best(found: list[Found], k: int) -> Found:
+def best(found: list[Found], k: int) -> Found:
+    """Each query's k best of several answers, ties to the smaller row id."""
     found = [x for x in found if len(x[0])] or [_NONE]
     q, r, s = (np.concatenate(x) for x in zip(*found, strict=True))
     by_query, by_row = (np.unique(x, return_inverse=True)[1] for x in (q, r))  # ids of any type
@@ -72,7 +75,7 @@ def _best(found: list[Found], k: int) -> Found:
     return q[keep], r[keep], s[keep]
 
 
-def _batch(found: Found, kinds: list[pa.DataType]) -> pa.RecordBatch:
+def as_batch(found: Found, kinds: list[pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x if x.dtype != object else x.tolist()).cast(t) for x, t in zip(found, kinds, strict=True)], names=["query_id", "id", "score"])
 
 
@@ -91,12 +94,12 @@ def search(queries: DataFrame, rows: DataFrame, index: Index, k: int, *, score:
             found: list[Found] = []
             for batch in _and_none(batches):
                 if held and (batch is None or sum(map(len, held)) + len(batch) > row_block):
-                    found = [_best([*found, *_Block(index, pa.Table.from_batches(held)).answers(asked)] or [_NONE], k)]
+                    found = [best([*found, *_Block(index, pa.Table.from_batches(held)).answers(asked)] or [_NONE], k)]
                     held = []
                 if batch is not None and len(batch):
                     held.append(batch)
             if found:
-                yield _batch(found[0], kinds)
+                yield as_batch(found[0], kinds)
 
         met = rows.select("id", "v").mapInArrow(stay, schema)
     else:
@@ -118,7 +121,7 @@ def search(queries: DataFrame, rows: DataFrame, index: Index, k: int, *, score:
                         if block is None:
                             block, held = _Block(index, pa.Table.from_batches(held)), []
                         for found in block.answers(matrices(pa.Table.from_batches([part]))):
-                            yield _batch(_best([found], k), kinds)
+                            yield as_batch(best([found], k), kinds)
 
         met = dealt.unionByName(sent).repartition(blocks, "block").sortWithinPartitions(*order).mapInArrow(stream, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
@@ -153,8 +156,9 @@ def products(k: int, *, cosine: bool = False, digits: int | None = None) -> Inde
 
         def answer(qi: np.ndarray, qv: np.ndarray) -> Found:
             out = [_NONE]
-            for start in range(0, len(qi), 512):
-                score = unit(qv[start : start + 512]) @ turned
+            step = max(1, min(512, SCORES // max(1, len(ids))))
+            for start in range(0, len(qi), step):
+                score = unit(qv[start : start + step]) @ turned
                 if digits is not None:
                     score = np.round(score, digits) + 0.0
                 edge = np.partition(score, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]

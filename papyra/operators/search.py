@@ -86,8 +86,7 @@ def search(
         return dense.nearest(queries.select(F.col("query_id").alias("id"), "v"), rows, first)
 
     def by_words() -> DataFrame:
-        scored = lexical.bm25(corpus, queries, corpus_id="id", query_id="query_id")
-        return lexical.ranked(scored.join(allowed.where("__allowed").select("id"), "id", "left_semi"), first)
+        return lexical.best(corpus, queries, first, corpus_id="id", query_id="query_id", where=filters.allows())
 
     if mode == "hybrid":
         hits = fusion.reciprocal_ranks(by_vector(), by_words(), k=depth)

@@ -9,9 +9,10 @@ from papyra import fixed
 from papyra.functions import repair
 from papyra.functions import text as T
 from papyra.operators import agent, dense, layout, lexical, tables
+from papyra.operators.sizes import held, small
 from papyra.plans import sql as S
 from papyra.plans.catalog import query
-from papyra.plans.retrieval import PINNED, corpus, item_vectors, items, scored, titles_scored, vectors, with_source
+from papyra.plans.retrieval import PINNED, by_titles, by_words, corpus, item_vectors, items, vectors, with_source
 from papyra.plans.text import literal, values
 from papyra.sources.tables import table
 
@@ -45,10 +46,10 @@ def _search(spark: SparkSession, sf_dir: str):
         if name == "lexical":
             found = dense.nearest(item_vectors(spark, sf_dir).join(queries.select(F.col("query_id").alias("id")), "id", "left_semi"), vectors(spark, sf_dir), fixed.SEARCH_DEPTH)
         elif name == "title":
-            found = lexical.ranked(titles_scored(spark, sf_dir), 5)
+            found = by_titles(spark, sf_dir, 5)
         else:
-            found = lexical.ranked(lexical.bm25(corpus(spark, sf_dir), queries, query_id="query_id"), fixed.SEARCH_DEPTH)
-        return with_source(spark, sf_dir, found)
+            found = lexical.best(corpus(spark, sf_dir), queries, fixed.SEARCH_DEPTH, query_id="query_id")
+        return with_source(spark, sf_dir, held(found))
 
     return search
 
@@ -85,8 +86,8 @@ def agent_scripted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def excerpt_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each passage the paragraphs of its three best documents that are most like it, within the budget."""
-    hits = lexical.ranked(scored(spark, sf_dir), 3)
-    texts = corpus(spark, sf_dir).select(F.col("doc_id").alias("unit"), "text").join(hits.select(F.col("id").alias("unit")).distinct(), "unit", "left_semi")
+    hits = by_words(spark, sf_dir, 3)
+    texts = corpus(spark, sf_dir).select(F.col("doc_id").alias("unit"), "text").join(small(hits.select(F.col("id").alias("unit")).distinct()), "unit", "left_semi")
     asked = items(spark, sf_dir).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     pairs = hits.select("query_id", F.col("id").alias("unit")).join(agent.paragraphs(texts), "unit").join(asked, "query_id")
     return agent.excerpts(pairs).select("query_id", "unit", F.length("excerpt").alias("n_chars"), F.md5(F.col("excerpt").cast("binary")).alias("digest"))

@@ -11,20 +11,21 @@ from pyspark.sql.window import Window
 from papyra import fixed
 from papyra.functions import text as T
 from papyra.functions import unicode as U
-from papyra.operators import containment, evaluate, lexical
+from papyra.operators import containment, evaluate
+from papyra.operators.sizes import held, small
 from papyra.plans import sql as S
 from papyra.plans.catalog import query
-from papyra.plans.retrieval import BM25, TITLE_BM25, corpus, items, scored, titles_scored
+from papyra.plans.retrieval import BM25, TITLE_BM25, by_titles, by_words, corpus, items
 from papyra.sources.tables import table
 
 
 def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``query_id, key``: the documents that hold a passage word for word; other passages are unlabelled."""
-    return containment.passages(corpus(spark, sf_dir), items(spark, sf_dir)).select("query_id", F.col("id").alias("key"))
+    return held(containment.passages(corpus(spark, sf_dir), items(spark, sf_dir)).select("query_id", F.col("id").alias("key")))
 
 
-def hits(found: DataFrame, k: int) -> DataFrame:
-    return lexical.ranked(found, k).select("query_id", F.col("id").alias("key"), "rank")
+def hits(found: DataFrame) -> DataFrame:
+    return small(found).select("query_id", F.col("id").alias("key"), "rank")
 
 
 @query(f"WITH {S.EXPECTED} SELECT query_id, key AS doc_id FROM expected")
@@ -36,7 +37,7 @@ def relevance_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {BM25}, {S.ranked('hits', 'scored', 10)}, {S.EXPECTED}, {S.per_query('told', 'hits')} SELECT {S.METRICS} FROM told")
 def hit_mrr_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit@k, MRR@10 and Recall@10 of the search by words."""
-    return evaluate.metrics(hits(scored(spark, sf_dir), 10), expected(spark, sf_dir))
+    return evaluate.metrics(hits(by_words(spark, sf_dir, 10)), expected(spark, sf_dir))
 
 
 MODES = f"""{BM25}, {S.ranked('hits', 'scored', 10)}, {TITLE_BM25}, {S.ranked('title_hits', 'titled', 10)}, {S.EXPECTED}, {S.per_query('told', 'hits')}, {S.per_query('title_told', 'title_hits')},
@@ -45,7 +46,7 @@ both_modes AS (SELECT 'bm25' AS mode, * FROM told UNION ALL SELECT 'title', * FR
 
 def _modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = expected(spark, sf_dir)
-    rows = [evaluate.per_query(hits(found, 10), labels).withColumn("mode", F.lit(name)) for name, found in (("bm25", scored(spark, sf_dir)), ("title", titles_scored(spark, sf_dir)))]
+    rows = [evaluate.per_query(hits(found), labels).withColumn("mode", F.lit(name)) for name, found in (("bm25", by_words(spark, sf_dir, 10)), ("title", by_titles(spark, sf_dir, 10)))]
     return reduce(DataFrame.unionByName, rows)
 
 
@@ -68,7 +69,7 @@ SELECT query_id, n_expected, round(coalesce(m5, 0)::DOUBLE / n_expected, 6) AS c
 )
 def coverage_pool_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of each passage's documents among the first five and in the whole pool."""
-    return evaluate.coverage(hits(scored(spark, sf_dir), fixed.POOL_SIZE), expected(spark, sf_dir))
+    return evaluate.coverage(hits(by_words(spark, sf_dir, fixed.POOL_SIZE)), expected(spark, sf_dir))
 
 
 @query(
@@ -82,7 +83,7 @@ FROM w LEFT JOIN c USING (query_id) LEFT JOIN b USING (query_id)"""
 def selection_pr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall and precision of what is selected: the good ones among the first eight; unlabelled ones aren't judged."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), (F.col("quality") == 1).alias("selected"))
-    found = hits(scored(spark, sf_dir), fixed.MAX_SELECTED).join(labels, "key", "left")
+    found = hits(by_words(spark, sf_dir, fixed.MAX_SELECTED)).join(labels, "key", "left")
     return evaluate.selection(found, expected(spark, sf_dir))
 
 

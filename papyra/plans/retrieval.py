@@ -25,17 +25,19 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark")
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.bm25(corpus(spark, sf_dir), items(spark, sf_dir))
+def by_words(spark: SparkSession, sf_dir: str, k: int, within: DataFrame | None = None) -> DataFrame:
+    """The k best documents for each passage."""
+    return held(lexical.best(corpus(spark, sf_dir), items(spark, sf_dir), k, within=within))
 
 
-def titles_scored(spark: SparkSession, sf_dir: str, digits: int = 6) -> DataFrame:
-    return lexical.bm25(corpus(spark, sf_dir), items(spark, sf_dir), corpus_text=T.first_line(F.col("text")), empty="_", digits=digits)
+def by_titles(spark: SparkSession, sf_dir: str, k: int, digits: tuple[int, ...] = (6,)) -> DataFrame:
+    """The k documents whose first lines are best for each passage."""
+    return held(lexical.best(corpus(spark, sf_dir), items(spark, sf_dir), k, corpus_text=T.first_line(F.col("text")), empty="_", digits=digits))
 
 
 def with_source(spark: SparkSession, sf_dir: str, hits: DataFrame) -> DataFrame:
     """Hits with the section and the ranking unit: the section, but each document of the pinned one by itself."""
-    found = hits.join(corpus(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("source").alias("section")), "id")
+    found = small(hits).join(corpus(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("source").alias("section")), "id")
     return found.withColumn("unit", F.when(F.col("section") == PINNED, F.concat_ws("-", "section", F.col("id").cast("string"))).otherwise(F.col("section")))
 
 
@@ -60,7 +62,7 @@ UNIT = f"CASE WHEN source = '{PINNED}' THEN source || '-' || id ELSE source END"
 @query(f"WITH {BM25}, {S.ranked('hits', 'scored', 10)} SELECT query_id, id AS doc_id, score, rank::INTEGER AS rank FROM hits")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for each passage."""
-    return lexical.ranked(scored(spark, sf_dir), 10).select("query_id", F.col("id").alias("doc_id"), "score", "rank")
+    return by_words(spark, sf_dir, 10).select("query_id", F.col("id").alias("doc_id"), "score", "rank")
 
 
 @query(
@@ -79,7 +81,7 @@ def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_label_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As bm25_topk, only among good documents; the scores still come from the whole corpus."""
     good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
-    return lexical.ranked(scored(spark, sf_dir).join(good, "id", "left_semi"), 10).select("query_id", F.col("id").alias("doc_id"), "score", "rank")
+    return by_words(spark, sf_dir, 10, good).select("query_id", F.col("id").alias("doc_id"), "score", "rank")
 
 
 @query(
@@ -88,8 +90,7 @@ def bm25_label_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def title_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five documents whose first lines share most with each passage."""
-    found = titles_scored(spark, sf_dir).withColumn("score", F.round("score", 3))
-    return lexical.ranked(found, 5).select("query_id", F.col("id").alias("doc_id"), "score", "rank")
+    return by_titles(spark, sf_dir, 5, (6, 3)).select("query_id", F.col("id").alias("doc_id"), "score", "rank")
 
 
 @query(
@@ -131,7 +132,7 @@ fused AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60.0::DOUBLE + rank)), 9
 )
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifty hits by vector and fifty by words, fused by reciprocal ranks; numbers stand for documents and vectors alike."""
-    words = lexical.ranked(scored(spark, sf_dir), fixed.RRF_CANDIDATES)
+    words = by_words(spark, sf_dir, fixed.RRF_CANDIDATES)
     near = dense.nearest(item_vectors(spark, sf_dir), vectors(spark, sf_dir), fixed.RRF_CANDIDATES)
     return fusion.reciprocal_ranks(near, words, k=10)
 
@@ -139,9 +140,9 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unit_lists(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Three searches of each passage, with units: its words, its nearest vectors, its titles."""
     lists = {
-        "clause": with_source(spark, sf_dir, lexical.ranked(scored(spark, sf_dir), fixed.SEARCH_DEPTH)),
-        "lexical": with_source(spark, sf_dir, dense.nearest(item_vectors(spark, sf_dir), vectors(spark, sf_dir), fixed.SEARCH_DEPTH)),
-        "title": with_source(spark, sf_dir, lexical.ranked(titles_scored(spark, sf_dir), 5)),
+        "clause": with_source(spark, sf_dir, by_words(spark, sf_dir, fixed.SEARCH_DEPTH)),
+        "lexical": with_source(spark, sf_dir, held(dense.nearest(item_vectors(spark, sf_dir), vectors(spark, sf_dir), fixed.SEARCH_DEPTH))),
+        "title": with_source(spark, sf_dir, by_titles(spark, sf_dir, 5)),
     }
     return {name: held(hits) for name, hits in lists.items()}
 
@@ -198,7 +199,7 @@ SELECT query_id, id, section, (CASE WHEN d AND rank = best THEN 2 WHEN d AND ran
 )
 def pin_to_rank2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pinned section's best hit at place two, unless it is there or above anyhow."""
-    hits = with_source(spark, sf_dir, lexical.ranked(scored(spark, sf_dir), fixed.RERANK_CANDIDATES)).select("query_id", "id", "section", "rank")
+    hits = with_source(spark, sf_dir, by_words(spark, sf_dir, fixed.RERANK_CANDIDATES)).select("query_id", "id", "section", "rank")
     return fusion.pin_second(hits, PINNED).select("query_id", "id", "section", "rank", F.coalesce("pinned", F.lit(False)).alias("pinned"))
 
 
@@ -216,8 +217,8 @@ SELECT query_id, id, section, (CASE WHEN best > 2 AND rank = best THEN 2 WHEN be
 def rules_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cited documents (here: the two best titles) first, then the search without their sections."""
     columns = ["query_id", "id", "section", "rank"]
-    primary = with_source(spark, sf_dir, lexical.ranked(scored(spark, sf_dir), fixed.RERANK_CANDIDATES)).select(columns)
-    cited = with_source(spark, sf_dir, lexical.ranked(titles_scored(spark, sf_dir), 2)).select(columns)
+    primary = with_source(spark, sf_dir, by_words(spark, sf_dir, fixed.RERANK_CANDIDATES)).select(columns)
+    cited = with_source(spark, sf_dir, by_titles(spark, sf_dir, 2)).select(columns)
     return fusion.rules_ranking(cited, primary, PINNED).select(columns)
 
 
@@ -252,7 +253,7 @@ FROM once LEFT JOIN labels ON doc_id = id"""
 )
 def final_tristate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each unit once, selected if its document is labelled good, not if bad, unknown if unlabelled."""
-    hits = with_source(spark, sf_dir, lexical.ranked(scored(spark, sf_dir), fixed.SEARCH_DEPTH))
+    hits = with_source(spark, sf_dir, by_words(spark, sf_dir, fixed.SEARCH_DEPTH))
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("selected"))
     first = hits.groupBy("query_id", "unit").agg(F.min_by("id", F.struct("rank", "id")).alias("id"))
     judged = first.join(labels, "id").select("query_id", "unit", "selected")
@@ -268,9 +269,9 @@ SELECT * FROM (SELECT query_id, id, first_stage_score, score, (row_number() OVER
 )
 def overlap_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty candidates sorted anew by the share of the passage's words that they hold."""
-    hits = lexical.ranked(scored(spark, sf_dir), fixed.RERANK_CANDIDATES)
+    hits = by_words(spark, sf_dir, fixed.RERANK_CANDIDATES)
     asked = items(spark, sf_dir).select(F.col("item_id").alias("query_id"), F.array_distinct(T.tokens(F.col("text"))).alias("q"))
-    texts = corpus(spark, sf_dir).select(F.col("doc_id").alias("id"), "text").join(hits.select("id").distinct(), "id", "left_semi")
+    texts = corpus(spark, sf_dir).select(F.col("doc_id").alias("id"), "text").join(small(hits.select("id").distinct()), "id", "left_semi")
     both = hits.join(asked, "query_id").join(texts, "id")
     share = F.size(F.array_intersect("q", F.array_distinct(T.tokens(F.col("text"))))).cast("double") / F.greatest(F.size("q"), F.lit(1))
     return fusion.rerank(both, share, keep=10).select("query_id", "id", "first_stage_score", "score", "rank")
