@@ -10,6 +10,9 @@ from papyra.operators import service
 from papyra.plans.catalog import query
 from papyra.sources.tables import place, table
 
+#: Lines of orders that a task joins and counts, about.
+TASK_ROWS = 1_000_000
+
 
 @query(
     """WITH n AS (SELECT l_orderkey, count(*) AS lines, count(*) FILTER (WHERE l_returnflag = 'R') AS returned FROM lineitem GROUP BY l_orderkey)
@@ -32,7 +35,9 @@ def review_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, distinct parts that weren't returned, and returned lines, by order."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_returnflag")
     rejected = F.col("l_returnflag") == "R"
-    both = table(spark, sf_dir, "orders").select("o_orderkey").join(lines, "o_orderkey", "left")
+    # so many tasks that each has a bounded number of rows; joining and counting keep that partitioning
+    parts = max(spark.sparkContext.defaultParallelism, -(-lines.count() // TASK_ROWS))
+    both = table(spark, sf_dir, "orders").select("o_orderkey").repartition(parts, "o_orderkey").join(lines.repartition(parts, "o_orderkey"), "o_orderkey", "left")
     return both.groupBy("o_orderkey").agg(F.count("l_partkey").alias("n_lines"), F.countDistinct(F.when(~rejected, F.col("l_partkey"))).alias("n_parts"), F.count_if(rejected).alias("n_rejected"))
 
 

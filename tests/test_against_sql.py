@@ -57,3 +57,10 @@ def test_self_check_without_all_pairs(spark):
     assert got.where(F.col("id") == 100).first().found == 98
     proper = dense.self_check(df.where("id < 200"))._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence" not in proper and "cell" in proper  # no row goes to every block
+
+
+def test_review_stats_in_tasks_of_bounded_size(spark, monkeypatch):
+    from papyra.plans import service
+
+    monkeypatch.setattr(service, "TASK_ROWS", 100)
+    assert QUERIES["review_stats"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 50  # of some 6,000 lines
