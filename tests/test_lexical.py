@@ -1,12 +1,14 @@
-"""The search by words in two passes against the one by joins."""
+"""What finds words, passages and running lines in one reading of texts, against the plain ways."""
 
+import difflib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from papyra.functions import text as T
-from papyra.operators import containment, lexical
+from papyra.operators import containment, documents, lexical
 
 TEXTS = ["red green_1", "", None, "ل x", "والكتاب والكتب إلى كَتَبَ", "a bb  ccc. bb-ccc dd", "Éa é ²3 ab́c x​y", "اللون لل ــلون", "１２ 漢字 नमस्ते"]
 
@@ -50,3 +52,28 @@ def test_passages_by_words_as_by_windows(spark, monkeypatch):
     assert "explode" not in containment.passages(docs, items)._jdf.queryExecution().optimizedPlan().toString()  # a text's windows don't become rows
     monkeypatch.setattr(containment, "MOST", 0)
     assert got() == few
+
+
+def test_running_lines_below_the_first(spark, tmp_path):
+    """Every line of a text counts, wherever it stands."""
+    texts = [f"Title {'abcdefghij'[i] * 40}\nbody {'klmnopqrst'[i] * 30}\nAll rights reser{'vw'[i % 2]}ed, page {i}" for i in range(10)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in __spark_entry__.queries()["running_clusters"](spark, str(tmp_path)).collect()}
+    first = "all rights reserved, page #"
+    assert got == {("s", key, first, 10) for key in (first, first.replace("reserved", "reserwed"))}
+
+
+def test_clusters_as_by_comparing_all():
+    draw = random.Random(5)
+    for _ in range(40):
+        bases = ["".join(draw.choices("abc ", k=draw.randint(3, 14))) for _ in range(4)]
+        keys = list({"".join(draw.choice("abcd ") if draw.random() < 0.08 else c for c in draw.choice(bases)) for _ in range(60)})
+        on, least = [set(draw.choices(range(40), k=draw.randint(1, 4))) for _ in keys], draw.randint(3, 25)
+        clusters = []
+        for key, own in zip(keys, on, strict=True):
+            at = next((c for c in clusters if difflib.SequenceMatcher(None, key, c[0]).ratio() >= 0.88), None)
+            if at is None:
+                clusters.append(at := (key, [], set()))
+            at[1].append(key)
+            at[2].update(own)
+        assert sorted(documents._clusters(keys, on, 0.88, least)) == sorted((k, first, len(p)) for first, members, p in clusters if len(p) >= least for k in members)

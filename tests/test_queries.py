@@ -194,11 +194,11 @@ def test_running_clusters(spark, sf):
     files = defaultdict(list)
     for r in sorted(spark.read.parquet(f"{sf}/documents.parquet").collect(), key=lambda r: r.doc_id):
         if r.text is not None:
-            files[r.source].append(" ".join(re.sub(r"\d", "#", r.text.split("\n")[0][:200]).split()).lower())
+            files[r.source].append([" ".join(re.sub(r"\d+", "#", line).split()).lower() for line in r.text.split("\n") if len(line) <= 200])
     want = set()
     for file, keys in files.items():
         clusters = []
-        for page, key in enumerate(keys, 1):
+        for page, key in ((page, key) for page, lines in enumerate(keys, 1) for key in lines):
             if len(key) >= 2:
                 own = next((c for c in clusters if difflib.SequenceMatcher(None, key, c[0]).ratio() >= fixed.CLUSTER_RATIO), None)
                 if own is None:
